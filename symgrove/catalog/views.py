@@ -117,3 +117,79 @@ pars AS (
   WHERE r.role = 'parent' AND r.t_tok <= 2500 AND r.t_tok + coalesce(kid_tok, 0) < 2500
     AND r.t_tok + coalesce(kid_tok, 0) + cum <= 2500)
 """
+
+
+# --- V5: search queries ------------------------------------------------------
+
+_BROAD = ["Widget", "red bolt", "ring.12", "ri ngx", "and", "_19", "small_ring_1", "_1", "%",
+          "R", "  ", "a b", "---"]
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broad queries, and one per supplier so that the table grows."""
+    number = F.col("s_suppkey").cast("string")
+    kind = F.col("s_suppkey") % 6
+    text = (
+        F.when(kind == 0, _key("Widget_", number))
+        .when(kind == 1, F.concat(F.lit(" \tbolt_"), number, F.lit("\n")))
+        .when(kind == 2, _key("ring ", number))
+        .when(kind == 3, F.substring("s_name", -2, 2))
+        .when(kind == 4, F.col("s_name"))
+        .otherwise(F.concat(F.lit("gear."), number, F.lit(" GEAR")))
+    )
+    own = table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + 100).alias("qid"), text.alias("query"))
+    broad = spark.createDataFrame([(i + 1, q) for i, q in enumerate(_BROAD)],
+                                  "qid bigint, query string")
+    return broad.unionByName(own)
+
+
+SQL_V5 = """
+q AS (
+  SELECT CAST(qid AS BIGINT) AS qid, query FROM (VALUES (1,'Widget'),(2,'red bolt'),(3,'ring.12'),
+    (4,'ri ngx'),(5,'and'),(6,'_19'),(7,'small_ring_1'),(8,'_1'),(9,'%'),(10,'R'),(11,'  '),
+    (12,'a b'),(13,'---')) v(qid, query)
+  UNION ALL
+  SELECT s_suppkey + 100, CASE s_suppkey % 6
+    WHEN 0 THEN 'Widget_'||s_suppkey WHEN 1 THEN ' '||chr(9)||'bolt_'||s_suppkey||chr(10)
+    WHEN 2 THEN 'ring '||s_suppkey WHEN 3 THEN right(s_name, 2) WHEN 4 THEN s_name
+    ELSE 'gear.'||s_suppkey||' GEAR' END
+  FROM supplier),
+norm AS (
+  SELECT qid, lower(regexp_replace(query, '^\\s+|\\s+$', '', 'g')) AS q FROM q),
+live AS (SELECT * FROM norm WHERE q <> '')
+"""
+
+SQL_V5_MATCH = SQL_V1 + "," + SQL_V5 + """,
+doc AS (SELECT node_id, lower(symbol_name) AS s, greatest(length(symbol_name)-2, 0) AS dl FROM symbols),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM doc),
+ph AS (
+  SELECT qid, i AS phrase_no, p[i] AS phrase
+  FROM (SELECT qid, regexp_extract_all(q, '[\\p{L}\\p{N}_]+') AS p FROM live WHERE length(q) >= 3),
+       range(1, 50) r(i)
+  WHERE i <= len(p) AND length(p[i]) >= 3),
+tf AS (
+  SELECT qid, phrase_no, node_id, dl,
+         len(list_filter(range(1, CAST(length(s) AS BIGINT)+1),
+                         lambda x: substr(s, x, length(phrase)) = phrase)) AS tf
+  FROM ph JOIN doc ON contains(s, phrase)),
+df AS (SELECT qid, phrase_no, count(*) AS df FROM tf GROUP BY ALL),
+ntok AS (SELECT qid, count(*) AS n_phrases FROM ph GROUP BY 1),
+sc AS (
+  SELECT tf.qid, node_id, count(*) AS hit,
+         -sum(CASE WHEN (n-df+0.5)/(df+0.5) > 1 THEN ln((n-df+0.5)/(df+0.5)) ELSE 1e-6 END
+              * tf*2.2/(tf + 1.2*(0.25 + 0.75*dl/avgdl))) AS rank
+  FROM tf JOIN df USING (qid, phrase_no), st GROUP BY 1, 2),
+ranked AS (SELECT sc.qid, node_id, rank FROM sc JOIN ntok USING (qid) WHERE hit = n_phrases),
+best AS (SELECT qid, node_id, CAST(pos AS INT) AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), node_id) AS pos FROM ranked)
+  WHERE pos <= 10),
+short_hits AS (
+  SELECT qid, node_id, CAST(pos AS INT) AS pos FROM (
+    SELECT qid, node_id, row_number() OVER (PARTITION BY qid ORDER BY length(symbol_name), node_id) AS pos
+    FROM live JOIN symbols
+      ON translate(symbol_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+         LIKE '%'||q||'%'
+    WHERE length(q) < 3) WHERE pos <= 10),
+hits AS (SELECT * FROM best UNION ALL SELECT * FROM short_hits)
+"""
