@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from symgrove.catalog import context_queries, node_queries, search_queries
+from symgrove.catalog import (
+    context_queries, file_queries, node_queries, search_queries, symbol_queries)
 
-_AREAS = [context_queries, node_queries, search_queries]
+_AREAS = [file_queries, symbol_queries, node_queries, search_queries, context_queries]
 
 QUERIES = {name: fn for area in _AREAS for name, fn in area.QUERIES.items()}
 ORACLES = {name: sql for area in _AREAS for name, sql in area.ORACLES.items()}

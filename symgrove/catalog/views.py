@@ -193,3 +193,186 @@ short_hits AS (
     WHERE length(q) < 3) WHERE pos <= 10),
 hits AS (SELECT * FROM best UNION ALL SELECT * FROM short_hits)
 """
+
+
+# --- V2: files and ignore lines ----------------------------------------------
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, rel_path, content) of every document, and environment files."""
+    doc = table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+
+    def pick(modulus: int, values: list[str], other: str) -> Column:
+        expr = F.when(key % modulus == 0, values[0])
+        for i, value in enumerate(values[1:], 1):
+            expr = expr.when(key % modulus == i, value)
+        return expr.otherwise(other)
+
+    folder = pick(8, ["node_modules/m", ".git/objects", "_pkg", "src/build", "data/raw"], "src/api")
+    stem = F.when(key % 10 == 7, ".hid").when(key % 10 == 6, "__init__").otherwise("f")
+    suffix = pick(7, [".py", ".go", ".R", ".r", ".log", ".test.js"], "")
+    path = F.concat(folder, F.lit("/"), stem, key.cast("string"), suffix)
+    own = doc.select(_repo().alias("repo"), path.alias("rel_path"), F.col("text").alias("content"))
+    number = F.substring("source", 4, 9).cast("int")
+    envs = doc.where(number % 5 != 0).select(
+        _repo().alias("repo"), F.lit(REQUIRED_FILE).alias("rel_path"),
+        F.concat(F.lit("FROM image:"), (number % 4).cast("string")).alias("content")).distinct()
+    return own.unionByName(envs)
+
+
+def _repo() -> Column:
+    return F.concat(F.col("source"), F.lit("-"),
+                    F.floor(F.col("doc_id") / REPO_SPAN).cast("string"))
+
+
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(_repo().alias("repo")).distinct()
+
+
+_IGNORE_LINES = ["# note", "data/", "/_pkg", "*.log", "!keep.log", "  ", "data/", "api/f?1.*",
+                 "/src/api/.hid*", " raw \t", "_pkg/x"]
+
+
+def ignore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ignore lines of each repository; every third lacks most of them."""
+    lines = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("line"))
+                      for i, x in enumerate(_IGNORE_LINES)])
+    number = F.regexp_extract("repo", r"^src(\d+)-", 1).cast("int")
+    return repos(spark, sf_dir).select("repo", number.alias("k"), F.inline(lines)) \
+        .where((F.col("k") % 3 != 0) | (F.col("i") < 4)).select("repo", "line")
+
+
+SQL_V2 = """
+files AS (
+  SELECT source||'-'||(doc_id // 1000) AS repo,
+         CASE doc_id % 8 WHEN 0 THEN 'node_modules/m' WHEN 1 THEN '.git/objects' WHEN 2 THEN '_pkg'
+                         WHEN 3 THEN 'src/build' WHEN 4 THEN 'data/raw' ELSE 'src/api' END
+         || '/' || CASE WHEN doc_id % 10 = 7 THEN '.hid' WHEN doc_id % 10 = 6 THEN '__init__' ELSE 'f' END || doc_id
+         || CASE doc_id % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.R' WHEN 3 THEN '.r'
+                            WHEN 4 THEN '.log' WHEN 5 THEN '.test.js' ELSE '' END AS rel_path,
+         text AS content
+  FROM documents
+  UNION ALL
+  SELECT DISTINCT source||'-'||(doc_id // 1000), '.sandbox/Dockerfile',
+         'FROM image:' || (CAST(substr(source,4) AS INT) % 4)
+  FROM documents WHERE CAST(substr(source,4) AS INT) % 5 <> 0),
+repos AS (SELECT DISTINCT source||'-'||(doc_id // 1000) AS repo FROM documents),
+skip AS (SELECT unnest(['__pycache__', 'venv', 'env', 'htmlcov', 'site-packages', 'eggs', 'wheels',
+  'node_modules', 'bower_components', 'dist', 'out', 'build', 'coverage', 'vendor', 'bundle', 'target',
+  'bin', 'obj', 'Debug', 'Release', 'cmake-build-debug', 'cmake-build-release', 'Carthage', 'Pods',
+  'DerivedData', 'tool', 'blib', 'lua_modules', '_build', 'deps', 'dist-newstyle']) AS name),
+kept AS (
+  SELECT repo, rel_path, content
+  FROM (SELECT *, string_split(rel_path, '/')[:-2] AS dirs FROM files),
+       (SELECT list(name) AS names FROM skip)
+  WHERE NOT list_has_any(dirs, names)
+    AND len(list_filter(dirs, lambda d: starts_with(d, '.'))) = 0),
+typed AS (
+  SELECT *, CASE regexp_extract(rel_path, '/\\.*[^./][^/]*(\\.[^./]*)$', 1)
+            WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.R' THEN 'r'
+            WHEN '.js' THEN 'javascript' END AS language
+  FROM kept),
+supported AS (SELECT * FROM typed WHERE language IS NOT NULL),
+raw_lines AS (
+  SELECT repo, line FROM repos, (VALUES (0, '# note'), (1, 'data/'), (2, '/_pkg'), (3, '*.log'),
+    (4, '!keep.log'), (5, '  '), (6, 'data/'), (7, 'api/f?1.*'), (8, '/src/api/.hid*'),
+    (9, ' raw '||chr(9)), (10, '_pkg/x')) v(i, line)
+  WHERE CAST(regexp_extract(repo, '^src(\\d+)-', 1) AS INT) % 3 <> 0 OR i < 4),
+trimmed AS (SELECT repo, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM raw_lines),
+rules AS (
+  SELECT DISTINCT repo, rtrim(CASE WHEN starts_with(line, '/') THEN '.'||line ELSE line END, '/') AS rule
+  FROM trimmed WHERE line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '!')
+  UNION SELECT repo, name FROM repos, skip),
+patterns AS (
+  SELECT repo, '/' || replace(replace(regexp_replace(rule, '([.+^$(){}|])', '\\\\\\1', 'g'), '*', '.*'),
+                              '?', '.') || '/' AS re
+  FROM rules)
+"""
+
+
+# --- V3: source text with known symbols ----------------------------------------
+
+_CODE_LANGUAGES = ["python", "go", "ruby", "rust", "lua"]
+_CODE_SUFFIXES = [".py", ".go", ".rb", ".rs", ".lua"]
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One definition per part: (rel_path, p_partkey, language, name, body)."""
+    part = table(spark, sf_dir, "part")
+    brand = F.regexp_replace("p_brand", "Brand#", "").cast("int") % 5
+    is_class = F.col("p_partkey") % 5 == 0
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    name = F.concat(F.when(is_class, "T_").otherwise("é_"), F.regexp_replace("p_name", " ", "_"),
+                    F.lit("_"), key)
+
+    def code(template: str) -> Column:
+        return F.replace(F.replace(F.lit(template), F.lit("@n"), F.col("name")), F.lit("@s"), size)
+
+    def by_brand(values: list[Column]) -> Column:
+        expr = F.when(F.col("b") == 0, values[0])
+        for i, value in enumerate(values[1:], 1):
+            expr = expr.when(F.col("b") == i, value)
+        return expr
+
+    functions = by_brand([code(x) for x in (
+        "def @n():\n    return @s", "func @n() int {\n\treturn @s\n}", "def @n\n  @s\nend",
+        "pub fn @n() -> i32 {\n    if x { @s } else { 0 }\n}", "function @n()\n  return @s\nend")])
+    classes = by_brand([code(x) for x in (
+        "class @n:\n    x = @s", "func (t *T) @n() int {\n\treturn @s\n}", "class @n\n  X = @s\nend",
+        "struct @n {\n    x: i32,\n}", "local @n = function()\n  return @s\nend")])
+    folder = F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", "_"), F.lit("/m"),
+                      F.floor(F.col("p_partkey") / FILE_SPAN).cast("string"))
+    return part.withColumns({"b": brand, "name": name}).select(
+        F.concat(folder, by_brand([F.lit(x) for x in _CODE_SUFFIXES])).alias("rel_path"),
+        "p_partkey", by_brand([F.lit(x) for x in _CODE_LANGUAGES]).alias("language"), "name",
+        F.when(is_class, classes).otherwise(functions).alias("body"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rel_path, language, content); a file holds at most FILE_SPAN parts."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "body"))),
+                          lambda x: x.body)
+    return chunks(spark, sf_dir).groupBy("rel_path", "language").agg(
+        F.concat(F.array_join(ordered, "\n\n"), F.lit("\n")).alias("content"))
+
+
+SQL_V3 = """
+sym AS (
+  SELECT p_partkey, p_brand, p_partkey % 5 = 0 AS is_cls, CAST(p_size AS VARCHAR) AS s,
+         CAST(replace(p_brand,'Brand#','') AS INT) % 5 AS b,
+         CASE WHEN p_partkey % 5 = 0 THEN 'T_' ELSE 'é_' END || replace(p_name,' ','_')||'_'||p_partkey AS name
+  FROM part),
+chunk AS (
+  SELECT *, CASE b WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'ruby' WHEN 3 THEN 'rust' ELSE 'lua' END AS language,
+    'src/'||replace(p_brand,'#','_')||'/m'||(p_partkey // 1000)
+      ||CASE b WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.rb' WHEN 3 THEN '.rs' ELSE '.lua' END AS rel_path,
+    CASE b
+      WHEN 0 THEN CASE WHEN is_cls THEN 'class '||name||':'||chr(10)||'    x = '||s
+                       ELSE 'def '||name||'():'||chr(10)||'    return '||s END
+      WHEN 1 THEN CASE WHEN is_cls THEN 'func (t *T) ' ELSE 'func ' END||name||'() int {'||chr(10)||chr(9)||'return '||s||chr(10)||'}'
+      WHEN 2 THEN CASE WHEN is_cls THEN 'class '||name||chr(10)||'  X = '||s ELSE 'def '||name||chr(10)||'  '||s END||chr(10)||'end'
+      WHEN 3 THEN CASE WHEN is_cls THEN 'struct '||name||' {'||chr(10)||'    x: i32,'
+                       ELSE 'pub fn '||name||'() -> i32 {'||chr(10)||'    if x { '||s||' } else { 0 }' END||chr(10)||'}'
+      ELSE CASE WHEN is_cls THEN 'local '||name||' = function()' ELSE 'function '||name||'()' END||chr(10)||'  return '||s||chr(10)||'end'
+    END AS body
+  FROM sym),
+placed AS (
+  SELECT *, CAST(coalesce(sum(strlen(body)+2) OVER (PARTITION BY rel_path ORDER BY p_partkey
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset0 FROM chunk),
+expected AS (
+  SELECT rel_path, language, name AS symbol_name,
+         CASE WHEN is_cls AND b = 0 THEN 'class' WHEN is_cls AND b = 1 THEN 'method'
+              WHEN is_cls AND b = 2 THEN 'class' WHEN is_cls AND b = 3 THEN 'struct'
+              WHEN b = 2 THEN 'method' ELSE 'function' END AS tag,
+         CASE WHEN is_cls AND b = 4 THEN substr(body, 7) ELSE body END AS source_code,
+         CASE WHEN is_cls AND b = 4 THEN offset0 + 6 ELSE offset0 END AS start_byte
+  FROM placed),
+v3_nodes AS (
+  SELECT *, replace(tag, 'struct', 'class') AS node_type,
+         sha1(unhex('6ba7b8119dad11d180b400c04fd430c8')||encode(rel_path||':'||start_byte||':'||symbol_name)) AS h
+  FROM expected),
+v3_ids AS (
+  SELECT *, substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||
+         substr('89ab', CAST(('0x'||substr(h,17,1))::INT % 4 + 1 AS INT), 1)||substr(h,18,3)||'-'||substr(h,21,12) AS node_id
+  FROM v3_nodes)
+"""
