@@ -376,3 +376,71 @@ v3_ids AS (
          substr('89ab', CAST(('0x'||substr(h,17,1))::INT % 4 + 1 AS INT), 1)||substr(h,18,3)||'-'||substr(h,21,12) AS node_id
   FROM v3_nodes)
 """
+
+
+# --- V4: attempts and telemetry ------------------------------------------------
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per event, not yet numbered within its run."""
+    ev = table(spark, sf_dir, "events")
+    number = F.col("event_id").cast("string")
+    kind = F.col("event_type")
+    verdict = (F.when(kind == "purchase", "VULNERABILITY_FOUND")
+               .when(kind.isin("signup", "click"), "SYSTEM_SECURE").otherwise("SYNTAX_ERROR"))
+    return ev.select(
+        F.col("user_id").alias("run_id"), "ts", "event_id",
+        F.when(F.col("user_id") % 2 == 0, "baseline").otherwise("adversarial").alias("mode"),
+        verdict.alias("verdict"), (F.col("user_id") % 4 + 2).cast("int").alias("max_retries"),
+        _key("fb ", number).alias("feedback"),
+        F.create_map(F.lit("Authorization"), _key("Bearer ", number))
+        .alias("extracted_auth_headers"),
+        F.create_map(F.lit("sid"), F.when(F.col("event_id") % 4 == 0, "").otherwise(number))
+        .alias("extracted_cookies"),
+        F.create_map(_key("u", (F.col("event_id") % 3).cast("string")), number)
+        .alias("extracted_mock_credentials"),
+        F.create_map(F.lit("k"), F.get_json_object("props", "$.k"))
+        .alias("extracted_seeded_entities"),
+        F.create_map(F.lit("db"), _key("localhost:", number)).alias("extracted_dynamic_endpoints"),
+        F.array(_key("/tmp/", number), F.lit("/tmp/shared")).alias("extracted_ephemeral_files"))
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), "event_id",
+        F.when(kind.isin("click", "signup"), 0).when(kind == "error", 1).alias("status_code"),
+        (F.col("value") / 7).alias("elapsed"), F.lit(30).alias("timeout_seconds"),
+        (kind == "purchase").alias("disconnected"),
+        (F.col("event_id") % 17 == 0).alias("api_error"), (F.col("event_id") % 11 == 0).alias("oom"))
+
+
+SQL_V4 = """
+attempts AS (
+  SELECT user_id AS run_id, event_id,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS attempt,
+         CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'adversarial' END AS mode,
+         CASE event_type WHEN 'purchase' THEN 'VULNERABILITY_FOUND' WHEN 'signup' THEN 'SYSTEM_SECURE'
+                         WHEN 'click' THEN 'SYSTEM_SECURE' ELSE 'SYNTAX_ERROR' END AS verdict,
+         CAST(2 + user_id % 4 AS INT) AS max_retries, 'fb '||event_id AS feedback,
+         CASE WHEN event_id % 4 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS sid,
+         json_extract_string(props, '$.k') AS k
+  FROM events),
+judged AS (
+  SELECT *, CASE WHEN verdict = 'VULNERABILITY_FOUND' OR (mode = 'baseline' AND verdict = 'SYSTEM_SECURE')
+                 THEN 'completed' WHEN attempt >= max_retries THEN 'failed' ELSE 'pending' END AS status,
+    CASE WHEN attempt >= max_retries THEN 'end'
+         WHEN verdict = 'SYNTAX_ERROR' THEN CASE mode WHEN 'baseline' THEN 'baseline_coder' ELSE 'adversary_coder' END
+         WHEN verdict = 'VULNERABILITY_FOUND' OR mode = 'baseline' THEN 'end' ELSE 'adversary_coder' END AS next_step
+  FROM attempts),
+folded AS (
+  SELECT run_id, min(attempt) FILTER (next_step = 'end') AS end_attempt,
+         coalesce(arg_min(verdict, attempt) FILTER (next_step = 'end'), arg_max(verdict, attempt)) AS verdict,
+         coalesce(arg_min(status, attempt) FILTER (next_step = 'end'), 'pending') AS status
+  FROM judged GROUP BY run_id),
+telemetry AS (
+  SELECT user_id AS run_id, event_id,
+         CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'signup' THEN 0 END AS status_code,
+         value / 7 AS elapsed, 30 AS timeout_seconds, event_type = 'purchase' AS disconnected,
+         event_id % 17 = 0 AS api_error, event_id % 11 = 0 AS oom
+  FROM events)
+"""

@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from symgrove import constants as c
 from symgrove.schemas import CODE_NODES, SEARCH_COLUMNS
 
 NODE_COLUMNS = CODE_NODES.fieldNames()
 _LIST = "array<string>"
+_STORED = T.StructType([*CODE_NODES.fields, T.StructField("batch", T.StringType())])
 
 
 def with_list_defaults(nodes: DataFrame) -> DataFrame:
@@ -49,9 +51,9 @@ def assert_unique_key(batch: DataFrame, stored: DataFrame | None = None,
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{path}/nodes")
+        return spark.read.schema(_STORED).parquet(f"{path}/nodes")
     except Exception as error:  # the table does not exist before the first append
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+        if "PATH_NOT_FOUND" in str(error):
             return None
         raise
 
@@ -63,23 +65,25 @@ def append_nodes(nodes: DataFrame, path: str, batch_id: str | None = None) -> bo
     same batch is replayed, so a lost executor or a repeated stream batch
     cannot leave a part of it or store it twice.
     """
-    rows = with_list_defaults(nodes)
-    if rows.isEmpty():
-        return False
     batch_id = batch_id or uuid.uuid4().hex
-    stored = _stored(nodes.sparkSession, path)
-    if stored is not None:
-        stored = stored.where(F.col("batch").cast("string") != batch_id)
-    assert_unique_key(rows, stored)
-    rows.write.mode("overwrite").partitionBy("language").parquet(
-        f"{path}/nodes/batch={batch_id}")
+    rows = with_list_defaults(nodes).persist(StorageLevel.DISK_ONLY)
+    try:
+        if rows.isEmpty():
+            return False
+        stored = _stored(nodes.sparkSession, path)
+        if stored is not None:
+            stored = stored.where(F.col("batch") != batch_id)
+        assert_unique_key(rows, stored)
+        rows.write.mode("overwrite").partitionBy("language").parquet(
+            f"{path}/nodes/batch={batch_id}")
+    finally:
+        rows.unpersist()
     return True
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     """All appended nodes; pruned by language when filtered on it."""
-    schema = CODE_NODES.add("batch", "string") if "batch" not in NODE_COLUMNS else CODE_NODES
-    return with_list_defaults(spark.read.schema(schema).parquet(f"{path}/nodes"))
+    return with_list_defaults(spark.read.schema(_STORED).parquet(f"{path}/nodes"))
 
 
 # --- R2: JSON text for exchange ----------------------------------------------
