@@ -8,6 +8,7 @@ a constant so that their number, not their size, grows with the data.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 REPO_SPAN = 1000
 FILE_SPAN = 1000
@@ -15,8 +16,15 @@ REQUIRED_FILE = ".sandbox/Dockerfile"
 BUDGET = 2500
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read for the schema once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _key(prefix: str, column: str | Column) -> Column:

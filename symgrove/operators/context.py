@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from symgrove.constants import CHILD_LIMIT, MAX_TOKENS, PARENT_LIMIT
 
 TokenCounter = Callable[[Column], Column]
+_SALTS = 64
 
 
 def default_token_count(text: Column) -> Column:
@@ -38,17 +39,22 @@ def build_adjacency(edges: DataFrame, chunk_size: int = 4096) -> DataFrame:
     A node has one row per role while its degree is at most ``chunk_size``.
     The lists of hotter nodes are spread over ``ceil(degree / chunk_size)``
     rows by a hash of the neighbour id, so no task builds an unbounded array.
+    The few hot keys are copied to every salt and edges join on (key, salt):
+    the edges of one hot key meet them in ``_SALTS`` tasks, not in one.
     """
     key = ["target_id", "role"]
     ends = directed_edges(edges)
+    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")
     hot = (
         ends.groupBy(*key).agg(F.count("*").alias("degree"))
         .where(F.col("degree") > chunk_size)
-        .select(*key, F.ceil(F.col("degree") / chunk_size).alias("chunks"))
+        .select(*key, F.ceil(F.col("degree") / chunk_size).alias("chunks"),
+                F.explode(salts).alias("salt"))
     )
     slot = F.conv(F.substring(F.md5("nbr_id"), 1, 8), 16, 10).cast("long")
     return (
-        ends.join(hot, key, "left")
+        ends.withColumn("salt", F.pmod(F.xxhash64("nbr_id"), F.lit(_SALTS)))
+        .join(hot, [*key, "salt"], "left")
         .withColumn("chunk", F.coalesce(slot % F.col("chunks"), F.lit(0)).cast("long"))
         .groupBy(*key, "chunk")
         .agg(F.sort_array(F.collect_set("nbr_id")).alias("neighbours"))

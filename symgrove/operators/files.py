@@ -8,6 +8,7 @@ from symgrove import constants as c
 from symgrove.functions import paths as p
 from symgrove.functions.ids import fingerprint
 from symgrove.functions.text import strip_space
+from symgrove.plans.sizing import fits_broadcast, hinted
 
 
 def literal_map(values: dict[str, str]) -> Column:
@@ -96,17 +97,21 @@ def _compiled_rules(rules: DataFrame) -> DataFrame:
         F.concat(F.lit("/"), p.glob_regex(rule), F.lit("/")).alias("regex"))
 
 
-def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+def apply_ignore_rules(files: DataFrame, rules: DataFrame,
+                       small: bool | None = None) -> DataFrame:
     """files that no rule of their repository matches.
 
     Rules match whole names at any depth, or from the root if they start with
     ``./``; a matched directory drops what is below it. Rules without
     wildcards, the bulk, join on (repo, component). The rest join on repo.
-    Give it a manifest without contents where possible.
+    Rules of a measured small size are broadcast and files stay in place;
+    otherwise give it a manifest without contents, as both joins shuffle.
     """
+    small = fits_broadcast(rules, "rule") if small is None else small
     compiled = _compiled_rules(rules)
     plain = compiled.where(F.col("first").isNotNull()).select("repo", "first", "needle")
     globs = compiled.where(F.col("first").isNull()).select("repo", "needle", "regex")
+    plain, globs = hinted(plain, small), hinted(globs, small)
     padded = F.concat(F.lit("/./"), F.col("rel_path"), F.lit("/"))
     parts = files.select(
         "repo", "rel_path", padded.alias("padded"),

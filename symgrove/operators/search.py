@@ -3,7 +3,9 @@
 Queries of three or more characters use trigrams. Each distinct query is
 joined to the symbols on one trigram only, the one that occurs in the fewest
 symbols; every token is then verified, and the rank computed, inside the row.
-Symbols are never grouped or shuffled by query, only the best k hits are.
+Symbols are never grouped by query, only the best k hits are. The query side
+is measured first: within a fixed size it is broadcast and symbols are not
+shuffled at all (``small``), beyond it the same joins shuffle.
 Shorter queries are LIKE patterns; the few shapes they can take are turned
 into join keys, so they need no theta join either.
 """
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from symgrove.constants import BM25_B, BM25_K1, BM25_MIN_IDF, SEARCH_LIMIT
 from symgrove.functions import text as t
 from symgrove.operators.nodes import project_search
+from symgrove.plans.sizing import fits_broadcast, hinted
 
 MIN_GRAM = 3
 
@@ -89,17 +92,18 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 # --- S6, S7: matching and rank ---------------------------------------------------
 
-def phrase_anchors(phrases: DataFrame, postings: DataFrame) -> DataFrame:
+def phrase_anchors(phrases: DataFrame, postings: DataFrame, small: bool = False) -> DataFrame:
     """(phrase, tri, tri_df): the rarest trigram of each phrase."""
     grams = phrases.select(
         "phrase", F.explode(F.array_distinct(t.ngrams(F.col("phrase"), MIN_GRAM))).alias("tri"))
     freq = (
-        postings.join(grams.select("tri").distinct(), "tri", "left_semi")
+        postings.select("tri")
+        .join(hinted(grams.select("tri").distinct(), small), "tri", "left_semi")
         .groupBy("tri").agg(F.count("*").alias("tri_df"))
     )
     rarity = F.struct(F.coalesce("tri_df", F.lit(0)).alias("tri_df"), "tri")
     return (
-        grams.join(freq, "tri", "left")
+        grams.join(hinted(freq, small), "tri", "left")
         .groupBy("phrase").agg(F.min(rarity).alias("a"))
         .select("phrase", "a.tri", "a.tri_df")
     )
@@ -111,10 +115,11 @@ def _token_rows(texts: DataFrame) -> DataFrame:
         .groupBy("q", "phrase").agg(F.count("*").alias("uses"))
 
 
-def document_frequency(anchors: DataFrame, postings: DataFrame) -> DataFrame:
+def document_frequency(anchors: DataFrame, postings: DataFrame,
+                       small: bool = False) -> DataFrame:
     """(phrase, df): symbols that contain each phrase."""
     return (
-        postings.join(anchors.select("phrase", "tri"), "tri")
+        postings.select("tri", "s").join(hinted(anchors.select("phrase", "tri"), small), "tri")
         .where(F.contains("s", "phrase")).groupBy("phrase").agg(F.count("*").alias("df"))
     )
 
@@ -124,36 +129,41 @@ def inverse_frequency(df: Column, n_docs: Column) -> Column:
     return F.when(ratio > 1, F.log(ratio)).otherwise(BM25_MIN_IDF)
 
 
-def match_trigrams(texts: DataFrame, postings: DataFrame) -> DataFrame:
+def match_trigrams(texts: DataFrame, postings: DataFrame,
+                   small: bool | None = None) -> DataFrame:
     """(q, node_id) where the symbol contains every token of the query."""
+    small = fits_broadcast(texts, "q") if small is None else small
     tokens = _token_rows(texts)
-    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings)
+    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, small)
     plans = (
-        tokens.join(anchors, "phrase").groupBy("q")
+        tokens.join(hinted(anchors, small), "phrase").groupBy("q")
         .agg(F.min(F.struct("tri_df", "tri")).alias("a"), F.collect_list("phrase").alias("tokens"))
         .select("q", "a.tri", "tokens")
     )
     held = F.forall("tokens", lambda w: F.contains(F.col("s"), w))
-    return postings.join(plans, "tri").where(held).select("q", "node_id")
+    return postings.join(hinted(plans, small), "tri").where(held).select("q", "node_id")
 
 
-def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame,
+                 small: bool | None = None) -> DataFrame:
     """(q, node_id, rank) of every match; a lower rank is better.
 
     ``stats`` has one row. Its values enter as scalar subqueries.
     """
+    small = fits_broadcast(texts, "q") if small is None else small
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     tokens = _token_rows(texts)
-    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings)
-    weighted = tokens.join(anchors, "phrase").join(document_frequency(anchors, postings), "phrase")
+    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, small)
+    frequent = document_frequency(anchors, postings, small)
+    phrases = anchors.join(hinted(frequent, small), "phrase", "left")
     token = F.struct("phrase", (F.col("uses") * inverse_frequency(F.col("df"), n_docs))
                      .alias("weight"))
-    wanted = _token_rows(texts).groupBy("q").agg(F.count("*").alias("n_tokens"))
     plans = (
-        weighted.groupBy("q")
+        tokens.join(hinted(phrases, small), "phrase").groupBy("q")
         .agg(F.min(F.struct("tri_df", "tri")).alias("a"),
-             F.sort_array(F.collect_list(token)).alias("tokens"))
-        .join(wanted, "q").where(F.size("tokens") == F.col("n_tokens"))
+             F.sort_array(F.collect_list(token)).alias("tokens"),
+             F.count("*").alias("n_tokens"), F.count("df").alias("n_found"))
+        .where(F.col("n_found") == F.col("n_tokens"))
         .select("q", "a.tri", "tokens")
     )
     held = F.forall("tokens", lambda w: F.contains(F.col("s"), w.phrase))
@@ -165,7 +175,7 @@ def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame) -> Dat
 
     rank = F.aggregate("tokens", F.lit(0.0), lambda acc, w: acc - score(w))
     return (
-        postings.join(plans, "tri").where(held).withColumn("avgdl", avgdl)
+        postings.join(hinted(plans, small), "tri").where(held).withColumn("avgdl", avgdl)
         .select("q", "node_id", rank.alias("rank"))
     )
 
@@ -202,13 +212,15 @@ def _symbol_keys(s: Column) -> Column:
         tagged("after:", t.ngrams(rest, 1)), tagged("before:", t.ngrams(head, 1))))
 
 
-def short_search(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT) -> DataFrame:
+def short_search(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
+                 small: bool | None = None) -> DataFrame:
     """S3: (q, node_id, rank, pos), the k shortest names matching ``%q%``."""
+    small = fits_broadcast(texts, "q") if small is None else small
     keys = texts.select("q", _short_key(F.col("q")).alias("key"))
     names = nodes.select(
         "node_id", F.length("symbol_name").cast("double").alias("rank"),
         F.explode(_symbol_keys(t.ascii_lower(F.col("symbol_name")))).alias("key"))
-    hits = names.join(keys.select("key").distinct(), "key", "left_semi")
+    hits = names.join(hinted(keys.select("key").distinct(), small), "key", "left_semi")
     return keys.join(top_k(hits, "key", k), "key").select("q", "node_id", "rank", "pos")
 
 
@@ -234,27 +246,32 @@ def format_hit(name: Column, kind: Column, path: Column) -> Column:
     return F.concat(name, F.lit(" ["), F.upper(kind), F.lit("]\n ↳ "), path)
 
 
-def ranked_hits(queries: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
-                index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(qid, pos, node_id) for a query table.
-
-    Equal query texts are searched once, then fanned out to their ids.
-    ``index`` is what :func:`read_index` returns; without it postings and
-    statistics are derived from ``nodes``.
-    """
-    routed = route_queries(normalize_queries(queries))
-    texts = routed.select("q", "route").distinct()
+def text_hits(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
+              index: tuple[DataFrame, DataFrame] | None = None,
+              small: bool | None = None) -> DataFrame:
+    """(q, pos, node_id) of distinct normalised texts with their route."""
+    small = fits_broadcast(texts, "q") if small is None else small
     docs = symbol_docs(nodes)
     postings, stats = index or (trigram_postings(docs), corpus_stats(docs))
-    long_hits = top_k(rank_matches(texts.where("route = 'trigram'"), postings, stats), "q", k)
-    short_hits = short_search(texts.where("route = 'short'"), nodes, k)
-    hits = long_hits.select("q", "node_id", "pos").unionByName(
-        short_hits.select("q", "node_id", "pos"))
-    return routed.join(hits, "q").select("qid", "pos", "node_id")
+    long_hits = top_k(
+        rank_matches(texts.where("route = 'trigram'"), postings, stats, small), "q", k)
+    short_hits = short_search(texts.where("route = 'short'"), nodes, k, small)
+    return long_hits.select("q", "pos", "node_id").unionByName(
+        short_hits.select("q", "pos", "node_id"))
 
 
 def search_symbols(queries: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
                    index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(qid, pos, node_id, symbol_name, node_type, file_path)."""
-    return attach_metadata(ranked_hits(queries, nodes, k, index), nodes).select(
+    """(qid, pos, node_id, symbol_name, node_type, file_path).
+
+    Equal query texts are searched, and their hits joined to the nodes, once;
+    the last join fans the finished rows out to the query ids. ``index`` is
+    what :func:`read_index` returns; without it postings and statistics are
+    derived from ``nodes``.
+    """
+    routed = route_queries(normalize_queries(queries))
+    texts = routed.select("q", "route").distinct()
+    small = fits_broadcast(texts, "q")
+    hits = attach_metadata(text_hits(texts, nodes, k, index, small), nodes)
+    return routed.join(hits, "q").select(
         "qid", "pos", "node_id", "symbol_name", "node_type", "file_path")
