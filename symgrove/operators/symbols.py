@@ -5,9 +5,10 @@ window below is satisfied by that partitioning: lines, which are far more
 than files, are sorted but never shuffled, and their text is dropped as soon
 as its facts (indentation, braces, rule match) are known.
 
-Line rules are an approximation of a parse: one definition per rule and line;
-strings and comments that span lines are only known for triple quotes and for
-comment lines with a leading marker.
+Strings and comments are blanked out first, in place and by one regex per
+language over the whole file, so that every line has a twin of equal length
+that holds code only. Line rules remain an approximation of a parse: they
+find at most one definition per line.
 """
 
 from __future__ import annotations
@@ -21,9 +22,7 @@ from symgrove.constants import TAG_NODE_TYPE
 from symgrove.functions.ids import symbol_id
 from symgrove.operators.files import lookup
 
-_STRINGS_AND_COMMENTS = (
-    r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)'|'(?:[^'\\{}]|\\.)*'|`[^`]*`|/\*.*?\*/|//.*$")
-_HASH_COMMENT = r"(?:^|\s)#.*$"
+_OPEN, _MARK = "\x02", "\x01"
 _HIT = "struct<tag:string,name:string,skip:int,extent:string>"
 
 
@@ -50,12 +49,35 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def _by_language(cases: dict[str, Column], default: Column) -> Column:
+def _by_language(cases: dict[str, Column], default: Column | None = None) -> Column:
     expr = None
     for name, value in cases.items():
         same = F.col("language") == name
         expr = F.when(same, value) if expr is None else expr.when(same, value)
-    return expr.otherwise(default)
+    return expr if default is None else expr.otherwise(default)
+
+
+def _masked(token: Column) -> Column:
+    """Blanks for a comment; for a string, marks that keep its byte length.
+
+    A string starts with ``_OPEN``, so that a line which starts with ``_MARK``
+    starts inside a string.
+    """
+    marks = F.regexp_replace(F.substring(token, F.lit(2), F.length(token)), r"[\x00-\x09\x0b-\x7f]", _MARK)
+    marks = F.regexp_replace(marks, r"\n([^\x00-\x7f])", f"\n{_MARK}$1")
+    return F.when(token.rlike(ru.COMMENT_START), F.regexp_replace(token, r"[^\n]", " ")) \
+        .otherwise(F.concat(F.lit(_OPEN), marks))
+
+
+def code_only(content: Column, languages: Sequence[str]) -> Column:
+    """The text with strings and comments masked; lines stay aligned."""
+    def masked(language: str) -> Column:
+        pattern = ru.token_pattern(language)
+        return F.array_join(F.zip_with(
+            F.split(content, pattern, -1), F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
+            lambda code, token: F.concat(code, F.coalesce(_masked(token), F.lit("")))), "")
+
+    return _by_language({name: masked(name) for name in languages})
 
 
 def partition_by_file(files: DataFrame, key: Sequence[str] = ("rel_path",),
@@ -74,40 +96,40 @@ def partition_by_file(files: DataFrame, key: Sequence[str] = ("rel_path",),
 
 def _line_facts(files: DataFrame, key: Sequence[str],
                 rules: dict[str, list[ru.Rule]]) -> DataFrame:
-    line = F.col("line")
-    lines = files.select(*key, "language",
-                         F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line"))
-    lead = F.regexp_extract(line, r"^([ \t]*)", 1)
-    comment = _by_language({n: line.rlike(pat) for n, pat in ru.COMMENT.items()},
-                           line.rlike(ru.SLASH_COMMENT))
+    line, code = F.col("line"), F.col("code")
+    twins = F.arrays_zip(
+        F.split("content", "\n", -1).alias("line"),
+        F.split(code_only(F.col("content"), list(rules)), "\n", -1).alias("code"))
+    lines = files.select(*key, "language", F.posexplode(twins).alias("line_no", "twin")) \
+        .select(*key, "language", "line_no", "twin.line", "twin.code")
     braced = ~F.col("language").isin(ru.INDENT_LANGUAGES + list(ru.CLOSING_WORD))
-    code = F.regexp_replace(line, _STRINGS_AND_COMMENTS, "")
-    code = F.when(F.col("language").isin("r", "perl", "bash"),
-                  F.regexp_replace(code, _HASH_COMMENT, "")).otherwise(code)
-    code = F.when(braced & ~F.col("comment"), code).otherwise("")
+    quoted = F.startswith(code, F.lit(_MARK))
     closing = _by_language(
-        {n: F.regexp_extract(line, f"({pat})", 1) for n, pat in ru.CLOSING_WORD.items()},
+        {n: F.regexp_extract(code, f"({pat})", 1) for n, pat in ru.CLOSING_WORD.items()},
         F.lit(""))
-    triple = F.when(F.col("language").isin(ru.TRIPLE_QUOTED),
-                    F.regexp_count(line, F.lit("\"\"\"|'''"))).otherwise(0)
-    no_break = F.when(F.col("language").isin(ru.INDENT_LANGUAGES), line.rlike(r"^\s*[)\]}]")) \
-        .otherwise(line.rlike(ru.MID_BLOCK) | line.rlike(r"^\s*[)\]]"))
+    no_break = F.when(F.col("language").isin(ru.INDENT_LANGUAGES), code.rlike(r"^\s*[)\]}]")) \
+        .otherwise(code.rlike(ru.MID_BLOCK) | code.rlike(r"^\s*[)\]]"))
+    lead = F.regexp_extract(code, r"^([ \t]*)", 1)
+    trimmed = F.regexp_replace(F.when(quoted, line).otherwise(code), r"\s+$", "")
+    is_text = ~code.rlike(r"^\s*$")
+    head = r"^([^(]*\((?:[^()]++|\([^()]*\))*+\))"
+
+    def braces(char: str) -> Column:
+        return F.when(F.col("braced"), _count(code, char)).otherwise(0)
+
     return (
-        lines.withColumn("comment", comment)
-        .withColumn("code", code)
+        lines.withColumn("braced", braced)
         .select(
-            *key, "language", "line_no", braced.alias("braced"), "comment",
-            F.octet_length("line").alias("n_bytes"),
-            F.octet_length(F.regexp_replace(line, r"\s+$", "")).alias("text_bytes"),
-            line.rlike(r"^\s*$").alias("blank"),
+            *key, "line_no", "braced", is_text.alias("is_text"), quoted.alias("quoted"),
+            F.octet_length("line").alias("n_bytes"), F.octet_length(trimmed).alias("text_bytes"),
             F.length(F.replace(lead, F.lit("\t"), F.lit(" " * 8))).alias("indent"),
-            _count(F.col("code"), "{").alias("opens"), _count(F.col("code"), "}").alias("closes"),
-            F.octet_length(F.regexp_extract(line, r"^(.*\})", 1)).alias("brace_bytes"),
-            F.octet_length(F.regexp_extract(line, r"^(.*?)\s*(?:\{|=>|;|$)", 1)).alias("head_bytes"),
+            braces("{").alias("opens"), braces("}").alias("closes"),
+            F.octet_length(F.regexp_extract(code, r"^(.*\})", 1)).alias("brace_bytes"),
+            F.octet_length(F.regexp_extract(code, head, 1)).alias("head_bytes"),
             F.octet_length(closing).alias("closing_bytes"),
             F.endswith(F.rtrim("code"), F.lit(";")).alias("ends_stmt"),
-            triple.alias("triple"), no_break.alias("no_break"),
-            _rule_hit(F.col("language"), line, rules).alias("hit"))
+            no_break.alias("no_break"),
+            F.when(is_text & ~quoted, _rule_hit(F.col("language"), line, rules)).alias("hit"))
     )
 
 
@@ -119,27 +141,29 @@ def _placed(facts: DataFrame, key: Sequence[str]) -> DataFrame:
         "start": F.coalesce(F.sum(F.col("n_bytes") + 1).over(before), F.lit(0)),
         "depth": F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)),
         "opened": F.coalesce(F.sum("opens").over(before), F.lit(0)),
-        "quoted": F.coalesce(F.sum("triple").over(before), F.lit(0)) % 2 == 1,
     }
-    text = ~F.col("blank") & (F.col("quoted") | ~F.col("comment"))
     after = F.col("depth") + F.col("opens") - F.col("closes")
-    plain = text & ~F.col("quoted")
+    breaks = F.col("is_text") & ~F.col("quoted") & ~F.col("no_break")
     return (
         facts.withColumns(running)
         .withColumns({
-            "text_end": F.when(text, F.col("start") + F.col("text_bytes")),
+            "text_end": F.when(F.col("is_text"), F.col("start") + F.col("text_bytes")),
             "after": after,
-            "hit": F.when(plain, F.col("hit")),
             "ends_level": F.when(F.col("braced"), F.when(F.col("closes") > 0, after))
-            .otherwise(F.when(plain & ~F.col("no_break"), F.col("indent").cast("bigint"))),
+            .otherwise(F.when(breaks, F.col("indent").cast("bigint"))),
+            "is_variant": F.coalesce(F.col("hit.tag") == "variant", F.lit(False)),
+        })
+        .withColumns({
+            "level": F.when(F.col("hit").isNotNull() & ~F.col("is_variant"),
+                            F.when(F.col("braced"), F.col("depth"))
+                            .otherwise(F.col("indent").cast("bigint"))),
+            "inside": F.when(F.col("is_variant"), F.col("depth")),
         })
-        .withColumn("level", F.when(F.col("hit").isNotNull(),
-                                    F.when(F.col("braced"), F.col("depth"))
-                                    .otherwise(F.col("indent").cast("bigint"))))
         .withColumns({
             "text_end_before": F.max("text_end").over(before),
             "file_end": F.max("text_end").over(whole),
             "levels": F.collect_set("level").over(whole),
+            "blocks": F.collect_set("inside").over(whole),
         })
     )
 
@@ -156,14 +180,27 @@ def scan_definitions(files: DataFrame, key: Sequence[str] = ("rel_path",),
     placed = _placed(_line_facts(files, key, ru.rules_for(extended)), key)
     ends = F.coalesce(F.col("ends_level"), F.lit(1 << 40))
     reach = F.filter("levels", lambda v: (v >= ends) | F.coalesce(v == F.col("level"), F.lit(False)))
+    # Blocks that hold variants are groups of their own, numbered below zero:
+    # the line that opens such a block, its variants, the line that closes it.
+    opens_block = F.when(F.col("opens") > F.col("closes"), F.col("depth") + 1)
+    closes_block = F.col("ends_level") + 1
+    touched = F.transform(
+        F.filter("blocks", lambda v: (v == opens_block) | (v == F.col("inside")) | (v == closes_block)),
+        lambda v: -v)
     row = F.struct("start", "indent", "after", "opened", "brace_bytes", "closing_bytes",
                    "text_end_before", F.coalesce(F.col("level") == F.col("at"), F.lit(False))
                    .alias("is_def"))
     by_level = W.partitionBy(*key, "at").orderBy("line_no")
+    opener = F.when(-F.col("at") == opens_block, F.coalesce(F.col("hit.tag") == "enum", F.lit(False)))
+    is_def = F.coalesce(F.col("level") == F.col("at"), F.lit(False))
+    in_enum = F.coalesce(-F.col("at") == F.col("inside"), F.lit(False)) & F.col("under_enum")
     defs = (
-        placed.withColumn("at", F.explode(reach))
-        .withColumn("next", F.lead(row).over(by_level))
-        .where(F.col("level") == F.col("at"))
+        placed.withColumn("at", F.explode(F.concat(reach, touched)))
+        .withColumns({
+            "next": F.lead(row).over(by_level),
+            "under_enum": F.coalesce(F.last(opener, ignorenulls=True).over(
+                by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))})
+        .where(is_def | in_enum)
     )
     own_line = F.col("start") + F.col("text_bytes")
     nxt = F.col("next")
@@ -182,9 +219,11 @@ def scan_definitions(files: DataFrame, key: Sequence[str] = ("rel_path",),
     end = (
         F.when(F.col("hit.extent") == "line", own_line)
         .when(F.col("hit.extent") == "head", F.col("start") + F.col("head_bytes"))
+        .when(F.col("is_variant"), F.coalesce(nxt.text_end_before, F.col("file_end")))
         .when(F.col("braced"), brace_end).otherwise(indent_end))
     return defs.select(
-        *key, F.col("hit.tag").alias("tag"), F.col("hit.name").alias("symbol_name"),
+        *key, F.when(F.col("is_variant"), "struct").otherwise(F.col("hit.tag")).alias("tag"),
+        F.col("is_variant").alias("is_variant"), F.col("hit.name").alias("symbol_name"),
         (F.col("start") + F.col("hit.skip")).cast("long").alias("start_byte"),
         end.cast("long").alias("end_byte"))
 
@@ -198,9 +237,12 @@ def definition_text(definitions: DataFrame, files: DataFrame,
     size = (F.col("end_byte") - F.col("start_byte")).cast("int")
     text = F.substring(F.col("content").cast("binary"), (F.col("start_byte") + 1).cast("int"), size)
     source = text.cast("string")
-    source = F.when(F.col("language") == "erlang", F.regexp_replace(source, r"[.;]\s*$", "")) \
-        .otherwise(source)
-    return definitions.join(files, list(key)).withColumn("source_code", source).drop("content")
+    source = (
+        F.when(F.col("language") == "erlang", F.regexp_replace(source, r"[.;]\s*$", ""))
+        .when(F.col("is_variant"), F.regexp_replace(source, r",?\s*(?:(?:#\[[^\]]*\]|//[^\n]*)\s*)*$", ""))
+        .otherwise(source))
+    return definitions.join(files, list(key)).withColumn("source_code", source) \
+        .drop("content", "is_variant")
 
 
 def match_filter(matches: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 Group 1 of a pattern is the text before the definition starts, group 2 its
 name. Within a language the first matching rule wins. ``extent`` overrides how
 the end is found: ``line`` ends on the same line, ``head`` before the body.
+A ``variant`` only counts directly inside the block of an ``enum``.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ RULES: dict[str, list[Rule]] = {
         Rule("interface", rf"^(\s*){_RS}(?:unsafe\s+)?(?:auto\s+)?trait\s+({NAME})"),
         Rule("macro", rf"^(\s*)macro_rules!\s*({NAME})"),
         Rule("enum", rf"^(\s*){_RS}enum\s+({NAME})"),
+        Rule("variant", r"^(\s*)([A-Z]\w*)\s*(?:,|\(|\{|=[^=>]|$)"),
     ],
     "ruby": [
         Rule("method", r"^(\s*(?:(?:private|protected|public|module_function)\s+)?)def\s+"
@@ -166,13 +168,50 @@ INDENT_LANGUAGES = ["python", "erlang", "haskell"]
 CLOSING_WORD = {"ruby": r"^\s*end\b", "lua": r"^\s*end\b", "elixir": r"^\s*end\b",
                 "scala": r"^\s*\}"}
 MID_BLOCK = r"^\s*(?:rescue|ensure|else|elsif|elseif|when|in|catch|after)\b"
-COMMENT = {
-    **dict.fromkeys(["python", "ruby", "r", "elixir", "perl", "bash"], r"^\s*#"),
-    **dict.fromkeys(["lua", "haskell"], r"^\s*--"),
-    "erlang": r"^\s*%",
+
+# Strings and comments, read left to right over a whole file. Loops are
+# possessive so that long tokens need no deep regex stack.
+_TRIPLE_DOUBLE = r'"""[^"\\]*+(?:(?:\\.|"{1,2}(?!"))[^"\\]*+)*+"""'
+_TRIPLE_SINGLE = _TRIPLE_DOUBLE.replace('"', "'")
+_DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_SINGLE = _DOUBLE.replace('"', "'")
+_DOUBLE_LINES = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_SINGLE_LINES = _DOUBLE_LINES.replace('"', "'")
+_CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,8}?)'"
+_BACKTICK = r"`[^`]*+`"
+_SLASHES = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
+_HASH = r"(?<![^\s;(){}\[\],])#[^\n]*+"
+_C_LIKE = [_SLASHES, _DOUBLE, _CHAR]
+TOKENS: dict[str, list[str]] = {
+    "python": [_TRIPLE_DOUBLE, _TRIPLE_SINGLE, _DOUBLE, _SINGLE, r"#[^\n]*+"],
+    "elixir": [_TRIPLE_DOUBLE, _TRIPLE_SINGLE, _DOUBLE_LINES, _SINGLE, _HASH],
+    "ruby": [r"(?<![^\n])=begin\b(?:[^\n]++|\n(?!=end))*+\n=end", _DOUBLE_LINES, _SINGLE_LINES, _HASH],
+    "go": [*_C_LIKE, _BACKTICK],
+    "rust": [_SLASHES, r'r#"(?:[^"]++|"(?!#))*+"#', _DOUBLE_LINES, _CHAR],
+    "c-sharp": [_SLASHES, _TRIPLE_DOUBLE, r'@"[^"]*+"', _DOUBLE, _CHAR],
+    "swift": [_SLASHES, _TRIPLE_DOUBLE, _DOUBLE],
+    "php": [_SLASHES, _DOUBLE_LINES, _SINGLE_LINES, _HASH],
+    "dart": [_SLASHES, _TRIPLE_DOUBLE, _TRIPLE_SINGLE, _DOUBLE, _SINGLE],
+    "perl": [_DOUBLE_LINES, _SINGLE, _HASH],
+    "lua": [r"--\[\[(?:[^\]]++|\](?!\]))*+\]\]", r"--[^\n]*+", r"\[\[(?:[^\]]++|\](?!\]))*+\]\]",
+            _DOUBLE, _SINGLE],
+    "r": [_DOUBLE_LINES, _SINGLE_LINES, _HASH],
+    "erlang": [r"%[^\n]*+", _DOUBLE_LINES],
+    "haskell": [r"\{-(?:[^-]++|-(?!\}))*+-\}", r"--[^\n]*+", _DOUBLE, _CHAR],
+    "scala": [_SLASHES, _TRIPLE_DOUBLE, _DOUBLE, _CHAR],
+    "java": [_SLASHES, _TRIPLE_DOUBLE, _DOUBLE, _CHAR],
+    "javascript": [_SLASHES, _DOUBLE, _SINGLE, _BACKTICK],
+    "typescript": [_SLASHES, _DOUBLE, _SINGLE, _BACKTICK],
+    "c": _C_LIKE,
+    "cpp": _C_LIKE,
+    "kotlin": [_SLASHES, _TRIPLE_DOUBLE, _DOUBLE, _CHAR],
+    "bash": [_DOUBLE_LINES, _SINGLE_LINES, _HASH],
 }
-SLASH_COMMENT = r"^\s*(?://|/\*|\*(?:\s|/|$))"
-TRIPLE_QUOTED = ["python", "elixir"]
+COMMENT_START = r"^(?:#|--|%|//|/\*|\{-|=begin)"
+
+
+def token_pattern(language: str) -> str:
+    return "(?s)" + "|".join(TOKENS[language])
 
 
 def rules_for(extended: bool = False) -> dict[str, list[Rule]]:
