@@ -51,14 +51,20 @@ def symbol_docs(nodes: DataFrame) -> DataFrame:
 
 def trigram_positions(docs: DataFrame) -> DataFrame:
     """(tri, node_id, pos), one row per trigram occurrence."""
-    return docs.select("node_id", F.posexplode(t.ngrams(F.col("s"), MIN_GRAM)).alias("pos", "tri")) \
+    grams = F.posexplode_outer(t.ngrams(F.col("s"), MIN_GRAM))
+    return docs.select("node_id", grams.alias("pos", "tri")).where(F.col("tri").isNotNull()) \
         .select("tri", "node_id", "pos")
 
 
 def trigram_postings(docs: DataFrame) -> DataFrame:
-    """(tri, node_id, s, dl), one row per distinct trigram of a symbol."""
+    """(tri, node_id, s, dl), one row per distinct trigram of a symbol.
+
+    The outer explode builds each array once: an inner one would be tested
+    for emptiness first. Rows without a trigram go in the filter.
+    """
     grams = F.array_distinct(t.ngrams(F.col("s"), MIN_GRAM))
-    return docs.select(F.explode(grams).alias("tri"), "node_id", "s", "dl")
+    return docs.select(F.explode_outer(grams).alias("tri"), "node_id", "s", "dl") \
+        .where(F.col("tri").isNotNull())
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -219,7 +225,7 @@ def short_search(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
     keys = texts.select("q", _short_key(F.col("q")).alias("key"))
     names = nodes.select(
         "node_id", F.length("symbol_name").cast("double").alias("rank"),
-        F.explode(_symbol_keys(t.ascii_lower(F.col("symbol_name")))).alias("key"))
+        F.explode_outer(_symbol_keys(t.ascii_lower(F.col("symbol_name")))).alias("key"))
     hits = names.join(hinted(keys.select("key").distinct(), small), "key", "left_semi")
     return keys.join(top_k(hits, "key", k), "key").select("q", "node_id", "rank", "pos")
 

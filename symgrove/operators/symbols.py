@@ -23,16 +23,18 @@ from symgrove.functions.ids import symbol_id
 from symgrove.operators.files import lookup
 
 _OPEN, _MARK = "\x02", "\x01"
-_HIT = "struct<tag:string,name:string,skip:int,extent:string>"
+_SPACE = " \t\r\f\x0b"
 
 
-def _rule_hit(language: Column, line: Column, rules: dict[str, list[ru.Rule]]) -> Column:
+def _rule_hit(language: Column, line: Column, code: Column,
+              rules: dict[str, list[ru.Rule]]) -> Column:
     """First matching rule as a struct, or null; patterns stay literals."""
     def hit(rule: ru.Rule) -> Column:
+        head = F.octet_length(F.regexp_extract(code, ru.HEAD, 1)) if rule.extent == "head" else F.lit(0)
         return F.struct(
             F.lit(rule.tag).alias("tag"), F.regexp_extract(line, rule.pattern, 2).alias("name"),
             F.octet_length(F.regexp_extract(line, rule.pattern, 1)).alias("skip"),
-            F.lit(rule.extent).alias("extent"))
+            F.lit(rule.extent).alias("extent"), head.alias("head_bytes"))
 
     chosen = None
     for name, group in rules.items():
@@ -42,7 +44,7 @@ def _rule_hit(language: Column, line: Column, rules: dict[str, list[ru.Rule]]) -
             inner = F.when(case, hit(rule)) if inner is None else inner.when(case, hit(rule))
         same = language == name
         chosen = F.when(same, inner) if chosen is None else chosen.when(same, inner)
-    return chosen.cast(_HIT)
+    return chosen
 
 
 def _count(text: Column, char: str) -> Column:
@@ -96,40 +98,54 @@ def partition_by_file(files: DataFrame, key: Sequence[str] = ("rel_path",),
 
 def _line_facts(files: DataFrame, key: Sequence[str],
                 rules: dict[str, list[ru.Rule]]) -> DataFrame:
-    line, code = F.col("line"), F.col("code")
+    """One narrow row per line.
+
+    The facts are built by a lambda over each file's array of lines. It is
+    evaluated expression by expression, which suits many small regexes: as
+    generated code they would make one method too long to be compiled. The
+    outer explode keeps Spark from testing the array's size below the shuffle,
+    which would build it twice; a file has at least one line.
+    """
+    language = F.col("language")
+    braced = ~language.isin(ru.INDENT_LANGUAGES + list(ru.CLOSING_WORD))
     twins = F.arrays_zip(
         F.split("content", "\n", -1).alias("line"),
         F.split(code_only(F.col("content"), list(rules)), "\n", -1).alias("code"))
-    lines = files.select(*key, "language", F.posexplode(twins).alias("line_no", "twin")) \
-        .select(*key, "language", "line_no", "twin.line", "twin.code")
-    braced = ~F.col("language").isin(ru.INDENT_LANGUAGES + list(ru.CLOSING_WORD))
-    quoted = F.startswith(code, F.lit(_MARK))
-    closing = _by_language(
-        {n: F.regexp_extract(code, f"({pat})", 1) for n, pat in ru.CLOSING_WORD.items()},
-        F.lit(""))
-    no_break = F.when(F.col("language").isin(ru.INDENT_LANGUAGES), code.rlike(r"^\s*[)\]}]")) \
-        .otherwise(code.rlike(ru.MID_BLOCK) | code.rlike(r"^\s*[)\]]"))
-    lead = F.regexp_extract(code, r"^([ \t]*)", 1)
-    trimmed = F.regexp_replace(F.when(quoted, line).otherwise(code), r"\s+$", "")
-    is_text = ~code.rlike(r"^\s*$")
-    head = r"^([^(]*\((?:[^()]++|\([^()]*\))*+\))"
-
-    def braces(char: str) -> Column:
-        return F.when(F.col("braced"), _count(code, char)).otherwise(0)
+
+    def facts(twin: Column) -> Column:
+        line, code = twin.line, twin.code
+        body = F.ltrim(code, F.lit(_SPACE))
+        first = F.substring(body, 1, 1)
+        lead = F.octet_length(code) - F.octet_length(body)
+        tabs = _count(F.substring(code, F.lit(1), lead), "\t")
+        quoted = F.startswith(code, F.lit(_MARK))
+        is_text = body != ""
+        closes = F.when(braced, _count(code, "}")).otherwise(0)
+        closing = _by_language(
+            {n: F.octet_length(F.regexp_extract(body, pat, 1)) for n, pat in ru.CLOSING_WORD.items()},
+            F.lit(0))
+        no_break = F.when(language.isin(ru.INDENT_LANGUAGES), first.isin(")", "]", "}")) \
+            .otherwise(first.isin(")", "]") | body.rlike(ru.MID_BLOCK))
+        return F.struct(
+            is_text.alias("is_text"), quoted.alias("quoted"),
+            F.octet_length(line).alias("n_bytes"),
+            F.octet_length(F.rtrim(F.when(quoted, line).otherwise(code), F.lit(_SPACE)))
+            .alias("text_bytes"),
+            (lead + 7 * tabs).cast("bigint").alias("indent"),
+            F.when(braced, _count(code, "{")).otherwise(0).alias("opens"), closes.alias("closes"),
+            F.when(closes > 0, F.octet_length(F.call_function(
+                "substring_index", code, F.lit("}"), closes)) + 1).otherwise(0)
+            .alias("brace_bytes"),
+            F.when(is_text, closing + lead * F.signum(closing).cast("int")).otherwise(0)
+            .alias("closing_bytes"),
+            F.endswith(F.rtrim(code, F.lit(_SPACE)), F.lit(";")).alias("ends_stmt"),
+            F.when(is_text & ~braced, no_break).otherwise(False).alias("no_break"),
+            F.when(is_text & ~quoted, _rule_hit(language, line, code, rules)).alias("hit"))
 
     return (
-        lines.withColumn("braced", braced)
-        .select(
-            *key, "line_no", "braced", is_text.alias("is_text"), quoted.alias("quoted"),
-            F.octet_length("line").alias("n_bytes"), F.octet_length(trimmed).alias("text_bytes"),
-            F.length(F.replace(lead, F.lit("\t"), F.lit(" " * 8))).alias("indent"),
-            braces("{").alias("opens"), braces("}").alias("closes"),
-            F.octet_length(F.regexp_extract(code, r"^(.*\})", 1)).alias("brace_bytes"),
-            F.octet_length(F.regexp_extract(code, head, 1)).alias("head_bytes"),
-            F.octet_length(closing).alias("closing_bytes"),
-            F.endswith(F.rtrim("code"), F.lit(";")).alias("ends_stmt"),
-            no_break.alias("no_break"),
-            F.when(is_text & ~quoted, _rule_hit(F.col("language"), line, rules)).alias("hit"))
+        files.select(*key, braced.alias("braced"), F.transform(twins, facts).alias("facts"))
+        .select(*key, "braced", F.posexplode_outer("facts").alias("line_no", "f"))
+        .select(*key, "braced", "line_no", "f.*")
     )
 
 
@@ -150,13 +166,13 @@ def _placed(facts: DataFrame, key: Sequence[str]) -> DataFrame:
             "text_end": F.when(F.col("is_text"), F.col("start") + F.col("text_bytes")),
             "after": after,
             "ends_level": F.when(F.col("braced"), F.when(F.col("closes") > 0, after))
-            .otherwise(F.when(breaks, F.col("indent").cast("bigint"))),
+            .otherwise(F.when(breaks, F.col("indent"))),
             "is_variant": F.coalesce(F.col("hit.tag") == "variant", F.lit(False)),
         })
         .withColumns({
             "level": F.when(F.col("hit").isNotNull() & ~F.col("is_variant"),
                             F.when(F.col("braced"), F.col("depth"))
-                            .otherwise(F.col("indent").cast("bigint"))),
+                            .otherwise(F.col("indent"))),
             "inside": F.when(F.col("is_variant"), F.col("depth")),
         })
         .withColumns({
@@ -218,7 +234,7 @@ def scan_definitions(files: DataFrame, key: Sequence[str] = ("rel_path",),
         .otherwise(F.coalesce(nxt.text_end_before, F.col("file_end"))))
     end = (
         F.when(F.col("hit.extent") == "line", own_line)
-        .when(F.col("hit.extent") == "head", F.col("start") + F.col("head_bytes"))
+        .when(F.col("hit.extent") == "head", F.col("start") + F.col("hit.head_bytes"))
         .when(F.col("is_variant"), F.coalesce(nxt.text_end_before, F.col("file_end")))
         .when(F.col("braced"), brace_end).otherwise(indent_end))
     return defs.select(

@@ -165,9 +165,10 @@ EXTENDED_RULES: dict[str, list[Rule]] = {
 # How a body ends: by indentation, by a closing word at the same indentation,
 # or (all other languages) by balanced braces.
 INDENT_LANGUAGES = ["python", "erlang", "haskell"]
-CLOSING_WORD = {"ruby": r"^\s*end\b", "lua": r"^\s*end\b", "elixir": r"^\s*end\b",
-                "scala": r"^\s*\}"}
-MID_BLOCK = r"^\s*(?:rescue|ensure|else|elsif|elseif|when|in|catch|after)\b"
+CLOSING_WORD = {"ruby": r"^(end)\b", "lua": r"^(end)\b", "elixir": r"^(end)\b", "scala": r"^(\})"}
+# The part of a line up to the end of its first parameter list.
+HEAD = r"^([^(]*\((?:[^()]++|\([^()]*\))*+\))"
+MID_BLOCK = r"^(?:rescue|ensure|else|elsif|elseif|when|in|catch|after)\b"
 
 # Strings and comments, read left to right over a whole file. Loops are
 # possessive so that long tokens need no deep regex stack.
