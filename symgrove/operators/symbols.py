@@ -22,31 +22,38 @@ from symgrove.constants import TAG_NODE_TYPE
 from symgrove.functions.ids import symbol_id
 from symgrove.operators.files import lookup
 
-_OPEN, _MARK = "\x02", "\x01"
+_OPEN, _MARK, _NUL = "\x02", "\x01", "\x00"
 _SPACE = " \t\r\f\x0b"
 
 
-def _rule_hit(language: Column, line: Column, code: Column,
-              rules: dict[str, list[ru.Rule]]) -> Column:
-    """First matching rule as a struct, or null; patterns stay literals."""
-    def hit(rule: ru.Rule) -> Column:
-        head = F.octet_length(F.regexp_extract(code, ru.HEAD, 1)) if rule.extent == "head" else F.lit(0)
-        return F.struct(
-            F.lit(rule.tag).alias("tag"), F.regexp_extract(line, rule.pattern, 2).alias("name"),
-            F.octet_length(F.regexp_extract(line, rule.pattern, 1)).alias("skip"),
-            F.lit(rule.extent).alias("extent"), head.alias("head_bytes"))
-
+def _first_rule(language: Column, line: Column, rules: dict[str, list[ru.Rule]]) -> Column:
+    """The first matching rule as ``tag NUL extent NUL pattern``, or null."""
     chosen = None
     for name, group in rules.items():
         inner = None
         for rule in group:
-            case = line.rlike(rule.pattern)
-            inner = F.when(case, hit(rule)) if inner is None else inner.when(case, hit(rule))
+            case, text = line.rlike(rule.pattern), _NUL.join((rule.tag, rule.extent, rule.pattern))
+            inner = F.when(case, text) if inner is None else inner.when(case, text)
         same = language == name
         chosen = F.when(same, inner) if chosen is None else chosen.when(same, inner)
     return chosen
 
 
+def _rule_hit(rule: Column, line: Column, code: Column) -> Column:
+    """What a matched rule says about its line, or null."""
+    parts = F.split(rule, _NUL)
+    tag, extent, pattern = (F.get(parts, F.lit(i)) for i in range(3))
+
+    def group(number: int) -> Column:
+        return F.call_function("regexp_extract", line, pattern, F.lit(number))
+
+    return F.when(rule.isNotNull(), F.struct(
+        tag.alias("tag"), extent.alias("extent"), group(2).alias("name"),
+        F.octet_length(group(1)).alias("skip"),
+        F.when(extent == "head", F.octet_length(F.regexp_extract(code, ru.HEAD, 1)))
+        .alias("head_bytes")))
+
+
 def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
@@ -73,13 +80,13 @@ def _masked(token: Column) -> Column:
 
 def code_only(content: Column, languages: Sequence[str]) -> Column:
     """The text with strings and comments masked; lines stay aligned."""
-    def masked(language: str) -> Column:
-        pattern = ru.token_pattern(language)
-        return F.array_join(F.zip_with(
-            F.split(content, pattern, -1), F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
-            lambda code, token: F.concat(code, F.coalesce(_masked(token), F.lit("")))), "")
-
-    return _by_language({name: masked(name) for name in languages})
+    patterns = {name: ru.token_pattern(name) for name in languages}
+    pieces = _by_language({n: F.split(content, pat, -1) for n, pat in patterns.items()})
+    tokens = _by_language({n: F.regexp_extract_all(content, F.lit(pat), F.lit(0))
+                           for n, pat in patterns.items()})
+    return F.array_join(F.zip_with(
+        pieces, tokens,
+        lambda code, token: F.concat(code, F.coalesce(_masked(token), F.lit("")))), "")
 
 
 def partition_by_file(files: DataFrame, key: Sequence[str] = ("rel_path",),
@@ -140,12 +147,15 @@ def _line_facts(files: DataFrame, key: Sequence[str],
             .alias("closing_bytes"),
             F.endswith(F.rtrim(code, F.lit(_SPACE)), F.lit(";")).alias("ends_stmt"),
             F.when(is_text & ~braced, no_break).otherwise(False).alias("no_break"),
-            F.when(is_text & ~quoted, _rule_hit(language, line, code, rules)).alias("hit"))
+            F.when(is_text & ~quoted, _first_rule(language, line, rules)).alias("rule"),
+            line.alias("line"), code.alias("code"))
 
     return (
         files.select(*key, braced.alias("braced"), F.transform(twins, facts).alias("facts"))
         .select(*key, "braced", F.posexplode_outer("facts").alias("line_no", "f"))
-        .select(*key, "braced", "line_no", "f.*")
+        .select(*key, "braced", "line_no", "f.*",
+                _rule_hit(F.col("f.rule"), F.col("f.line"), F.col("f.code")).alias("hit"))
+        .drop("rule", "line", "code")
     )
 
 
