@@ -29,12 +29,24 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def characters(text: Column) -> Column:
+    """The characters in order; empty for empty text."""
+    return F.filter(F.split(text, ""), lambda ch: ch != "")
+
+
 def ngrams(text: Column, n: int) -> Column:
-    """Overlapping n-character windows in order; empty for shorter text."""
-    last = F.length(text) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last),
-                                        lambda i: F.substring(text, i, F.lit(n)))) \
-        .otherwise(F.array().cast("array<string>"))
+    """Overlapping n-character windows in order; empty for shorter text.
+
+    Shifted copies of the character array are zipped: inside a lambda over
+    positions the text itself would be computed again for every window.
+    """
+    chars = characters(text)
+    count = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+    grams = F.slice(chars, F.lit(1), count)
+    for shift in range(1, n):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(shift + 1), count),
+                           lambda left, right: F.concat(left, right))
+    return grams
 
 
 def occurrences(text: Column, phrase: Column) -> Column:

@@ -209,13 +209,14 @@ def _symbol_keys(s: Column) -> Column:
     def tagged(tag: str, grams: Column) -> Column:
         return F.transform(grams, lambda g: F.concat(F.lit(tag), g))
 
-    rest = F.substring(s, F.lit(2), F.greatest(F.length(s) - 1, F.lit(0)))
-    head = F.substring(s, F.lit(1), F.greatest(F.length(s) - 1, F.lit(0)))
+    chars = t.characters(s)
+    inner = F.greatest(F.size(chars) - 1, F.lit(0))
     lengths = F.filter(F.array(F.lit("len0"), F.when(F.length(s) >= 1, "len1"),
                                F.when(F.length(s) >= 2, "len2")), lambda k: k.isNotNull())
     return F.array_distinct(F.concat(
-        lengths, tagged("char:", t.ngrams(s, 1)), tagged("pair:", t.ngrams(s, 2)),
-        tagged("after:", t.ngrams(rest, 1)), tagged("before:", t.ngrams(head, 1))))
+        lengths, tagged("char:", chars), tagged("pair:", t.ngrams(s, 2)),
+        tagged("after:", F.slice(chars, F.lit(2), inner)),
+        tagged("before:", F.slice(chars, F.lit(1), inner))))
 
 
 def short_search(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
