@@ -50,6 +50,11 @@ def ngrams(text: Column, n: int) -> Column:
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
-    """Number of overlapping occurrences of phrase; text must contain it."""
+    """Number of overlapping occurrences of phrase; text must contain it.
+
+    Every start is only tried where a second occurrence exists.
+    """
     starts = F.sequence(F.lit(1), F.length(text) - F.length(phrase) + 1)
-    return F.size(F.filter(starts, lambda i: F.substring(text, i, F.length(phrase)) == phrase))
+    second = F.call_function("locate", phrase, text, F.call_function("locate", phrase, text) + 1)
+    return F.when(second == 0, 1).otherwise(F.size(F.filter(
+        starts, lambda i: F.substring(text, i, F.length(phrase)) == phrase)))

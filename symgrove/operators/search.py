@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from symgrove.constants import BM25_B, BM25_K1, BM25_MIN_IDF, SEARCH_LIMIT
 from symgrove.functions import text as t
 from symgrove.operators.nodes import project_search
-from symgrove.plans.sizing import fits_broadcast, hinted
+from symgrove.plans.sizing import fits_broadcast, gathered, hinted
 
 MIN_GRAM = 3
 
@@ -109,7 +109,7 @@ def phrase_anchors(phrases: DataFrame, postings: DataFrame, small: bool = False)
     )
     rarity = F.struct(F.coalesce("tri_df", F.lit(0)).alias("tri_df"), "tri")
     return (
-        grams.join(hinted(freq, small), "tri", "left")
+        grams.join(hinted(freq, small), "tri", "left")  # one row per trigram asked for
         .groupBy("phrase").agg(F.min(rarity).alias("a"))
         .select("phrase", "a.tri", "a.tri_df")
     )
@@ -139,7 +139,7 @@ def match_trigrams(texts: DataFrame, postings: DataFrame,
                    small: bool | None = None) -> DataFrame:
     """(q, node_id) where the symbol contains every token of the query."""
     small = fits_broadcast(texts, "q") if small is None else small
-    tokens = _token_rows(texts)
+    tokens = _token_rows(gathered(texts, small))
     anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, small)
     plans = (
         tokens.join(hinted(anchors, small), "phrase").groupBy("q")
@@ -158,7 +158,7 @@ def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame,
     """
     small = fits_broadcast(texts, "q") if small is None else small
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    tokens = _token_rows(texts)
+    tokens = _token_rows(gathered(texts, small))
     anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, small)
     frequent = document_frequency(anchors, postings, small)
     phrases = anchors.join(hinted(frequent, small), "phrase", "left")
@@ -223,7 +223,7 @@ def short_search(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
                  small: bool | None = None) -> DataFrame:
     """S3: (q, node_id, rank, pos), the k shortest names matching ``%q%``."""
     small = fits_broadcast(texts, "q") if small is None else small
-    keys = texts.select("q", _short_key(F.col("q")).alias("key"))
+    keys = gathered(texts, small).select("q", _short_key(F.col("q")).alias("key"))
     names = nodes.select(
         "node_id", F.length("symbol_name").cast("double").alias("rank"),
         F.explode_outer(_symbol_keys(t.ascii_lower(F.col("symbol_name")))).alias("key"))

@@ -1,0 +1,46 @@
+"""End-to-end jobs: trees to stored symbols, queries to context."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from symgrove.constants import MAX_TOKENS, SEARCH_LIMIT
+from symgrove.operators import context as g
+from symgrove.operators.files import split_readable
+from symgrove.operators.nodes import append_nodes, read_nodes
+from symgrove.operators.search import read_index, search_symbols, symbol_docs, write_index
+from symgrove.operators.symbols import symbol_nodes
+from symgrove.sources.tree import scan_files
+
+
+def ingest_trees(roots: DataFrame, path: str, extended: bool = False,
+                 batch_id: str | None = None) -> DataFrame:
+    """Scan (repo, root) trees, store their symbols under path and index them.
+
+    With several repositories the repository is part of each symbol's id; a
+    single one keeps ids of its relative paths. Returns the stored nodes.
+    """
+    spark = roots.sparkSession
+    files, _unreadable = split_readable(scan_files(roots))
+    several = roots.select("repo").distinct().limit(2).count() > 1
+    id_path = F.concat_ws("/", "repo", "rel_path") if several else None
+    append_nodes(symbol_nodes(files, ("repo", "rel_path"), extended, id_path), path, batch_id)
+    nodes = read_nodes(spark, path)
+    write_index(symbol_docs(nodes), f"{path}/index")
+    return nodes
+
+
+def search_stored(spark: SparkSession, path: str, queries: DataFrame,
+                  k: int = SEARCH_LIMIT) -> DataFrame:
+    """Search the symbols stored under path by their index."""
+    return search_symbols(queries, read_nodes(spark, path), k, read_index(spark, f"{path}/index"))
+
+
+def context_of_best_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame,
+                         max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """Budgeted context, with source text, of each query's best hit."""
+    best = hits.where("pos = 1").select("qid", F.col("node_id").alias("target_id"))
+    sizes = g.count_tokens(nodes)
+    radius = g.blast_radius(g.limit_neighbours(edges, targets=best), sizes)
+    kept = g.attach_source(g.prune_context(radius, sizes, max_tokens, best), nodes)
+    return best.join(kept, "target_id")

@@ -22,3 +22,8 @@ def hinted(df: DataFrame, small: bool) -> DataFrame:
     turn into broadcasts or split where a key is skewed.
     """
     return F.broadcast(df) if small else df
+
+
+def gathered(df: DataFrame, small: bool) -> DataFrame:
+    """A measured small table in one partition, so that grouping it needs no shuffle."""
+    return df.coalesce(1) if small else df
