@@ -11,24 +11,32 @@ from symgrove.streaming.folding import fold_stream, latest_runs
 from symgrove.streaming.ingest import ingest_stream
 
 
+def _parts(spark: SparkSession) -> tuple[int, int]:
+    """Files to write, and files per batch so that a stream has a few batches."""
+    parts = max(spark.sparkContext.defaultParallelism, 3)
+    return parts, -(-parts // 3)
+
+
 def append_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "ingest-stream")
+    parts, per_batch = _parts(spark)
     v.code_files(spark, sf).select(
         F.lit("code").alias("repo"), "rel_path", F.col("content").cast("binary").alias("content")) \
-        .repartition(4, "rel_path").write.parquet(f"{base}/drop")
+        .repartition(parts, "rel_path").write.parquet(f"{base}/drop")
     ingest_stream(spark, f"{base}/drop", f"{base}/table", f"{base}/checkpoint",
-                  files_per_batch=2).awaitTermination()
+                  files_per_batch=per_batch).awaitTermination()
     return read_nodes(spark, f"{base}/table").select(
         "node_id", "node_type", "file_path", "symbol_name", "source_code", "language")
 
 
 def fold_run_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "fold-stream")
+    parts, per_batch = _parts(spark)
     rows = run_queries.attempts(spark, sf).select(
         "run_id", "attempt", "mode", "verdict", "max_retries")
     # Hashing by attempt scatters each run over the files: arrival is out of order.
-    rows.repartition(3, "attempt").write.parquet(f"{base}/attempts")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1) \
+    rows.repartition(parts, "run_id", "attempt").write.parquet(f"{base}/attempts")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch) \
         .parquet(f"{base}/attempts")
     fold_stream(stream, f"{base}/runs", f"{base}/checkpoint").awaitTermination()
     return latest_runs(spark, f"{base}/runs")
