@@ -55,7 +55,8 @@ def build_adjacency(edges: DataFrame, chunk_size: int = 4096) -> DataFrame:
     return (
         ends.withColumn("salt", F.pmod(F.xxhash64("nbr_id"), F.lit(_SALTS)))
         .join(hot, [*key, "salt"], "left")
-        .withColumn("chunk", F.coalesce(slot % F.col("chunks"), F.lit(0)).cast("long"))
+        .withColumn("chunk", F.when(F.col("chunks").isNotNull(), slot % F.col("chunks"))
+                    .otherwise(0).cast("long"))
         .groupBy(*key, "chunk")
         .agg(F.sort_array(F.collect_set("nbr_id")).alias("neighbours"))
         .select(F.col("target_id").alias("node_id"), "role", "chunk", "neighbours")
