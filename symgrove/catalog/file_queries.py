@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,22 +16,17 @@ from symgrove.sources import tree
 
 def write_tree(files: DataFrame, root: str) -> DataFrame:
     """Write (repo, rel_path, content) as files below root/repo; returns roots."""
-    base = tree.local_path(root)
-
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for repo, rel, content in zip(batch["repo"], batch["rel_path"], batch["content"]):
-                path = os.path.join(base, repo, rel)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "w", encoding="utf-8", newline="") as out:
-                    out.write(content)
+                tree.write_bytes(f"{root}/{repo}/{rel}", content.encode())
             yield pd.DataFrame({"n": [len(batch)]})
 
     tasks = files.sparkSession.sparkContext.defaultParallelism
     files.repartition(tasks, "repo", "rel_path").mapInPandas(write, "n long") \
         .agg(F.sum("n")).collect()
     return files.select("repo").distinct().withColumn(
-        "root", F.concat(F.lit(f"{base}/"), F.col("repo")))
+        "root", F.concat(F.lit(f"{root}/"), F.col("repo")))
 
 
 def scan(spark: SparkSession, sf: str) -> DataFrame:

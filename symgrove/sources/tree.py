@@ -9,6 +9,7 @@ next is read. Spark's own file sources hide names that start with ``_`` or
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,12 +25,29 @@ _READ_BYTES = 32 << 20
 
 
 def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+    """A ``file:`` address as a plain path; other addresses stay as they are."""
+    return re.sub(r"^file:(?://)?(?=/)", "", path)
+
+
+def write_bytes(path: str, content: bytes) -> None:
+    """Write one file, with the folders above it, to a mounted or remote path."""
+    path = local_path(path)
+    if "://" in path:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path)
+        system.create_dir(base.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(base) as stream:
+            stream.write(content)
+        return
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as stream:
+        stream.write(content)
 
 
 def _children(root: str, rel_dir: str) -> Iterator[tuple[str, bool]]:
     """(name, is_dir) of one directory; links to directories are left out."""
-    full = os.path.join(root, rel_dir) if rel_dir else root
+    full = local_path(os.path.join(root, rel_dir) if rel_dir else root)
     if "://" in full:
         from pyarrow import fs
 
@@ -38,7 +56,7 @@ def _children(root: str, rel_dir: str) -> Iterator[tuple[str, bool]]:
             yield info.base_name, info.type == fs.FileType.Directory
         return
     try:
-        with os.scandir(local_path(full)) as entries:
+        with os.scandir(full) as entries:
             for entry in entries:
                 if not entry.is_dir():
                     yield entry.name, False
@@ -63,13 +81,14 @@ def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _read_bytes(path: str) -> bytes:
+    path = local_path(path)
     if "://" in path:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(path)
         with system.open_input_stream(base) as stream:
             return stream.read()
-    with open(local_path(path), "rb") as stream:
+    with open(path, "rb") as stream:
         return stream.read()
 
 

@@ -57,7 +57,7 @@ def test_unreadable_file_is_kept_apart(spark, tmp_path):
 
 def test_two_roots_and_missing_root(spark, tmp_path):
     _write(tmp_path, {"one/x.py": "1", "two/x.py": "2"})
-    roots = _roots(spark, ("one", str(tmp_path / "one")), ("two", str(tmp_path / "two")),
+    roots = _roots(spark, ("one", str(tmp_path / "one")), ("two", f"file://{tmp_path}/two"),
                    ("none", str(tmp_path / "none")))
     assert {(r.repo, bytes(r.content)) for r in tree.scan_files(roots).collect()} == \
         {("one", b"1"), ("two", b"2")}
