@@ -23,9 +23,9 @@ import pyarrow as pa
 
 from symgrove.llm.words import binary_array, text_slices
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 # Pieces that a worker remembers between slices, and the longest of them.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 REMEMBERED_BYTES = 24
 # New pieces that are encoded as one text.
 JOINED = 200
