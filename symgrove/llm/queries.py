@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from symgrove.llm import packing, token_files
+from symgrove.llm import exact_dedup, near_dups, packing, token_files, toxicity
+from symgrove.llm.words import fold
 from symgrove.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -15,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP5_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM hashed WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = _table(spark, sf_dir, "documents"), scratch_path(spark, "token-files")
     files = token_files.write_token_files(docs, path, public_tokenizers.path(TOKENIZER), end_id=0)
@@ -22,11 +37,26 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), length=2048, end_id=1)
     return packing.digest(pieces).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op6_token_files": op6_token_files, "op9_pack": op9_pack}
-ORACLES: dict[str, str] = {}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES = {
+    "op5_exact_dedup": op5_exact_dedup, "op6_token_files": op6_token_files, "op7_toxicity": op7_toxicity,
+    "op9_pack": op9_pack, "op10_near_duplicates": op10_near_duplicates,
+}
+ORACLES = {"op5_exact_dedup": OP5_SQL}

@@ -9,12 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 # Texts of about this many bytes are worked on at a time; a longer text is a slice alone.
 SLICE_BYTES = 8 << 20
+SLICE_ROWS = 4096
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -45,7 +47,7 @@ def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
     begin = 0
     while begin < len(texts):
         end = int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1
-        end = min(max(end, begin + 1), len(texts))
+        end = min(max(end, begin + 1), len(texts), begin + SLICE_ROWS)
         yield begin, end, data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin]
         begin = end
 
@@ -76,3 +78,48 @@ def coded_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     words, first = split_words(data, offsets, lower)
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, first
+
+
+_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_FIRST, _SECOND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every input bit."""
+    h = (h ^ (h >> np.uint64(30))) * _FIRST
+    h = (h ^ (h >> np.uint64(27))) * _SECOND
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of distinct words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each row's distinct shingles of width words, sorted by both.
+
+    A row of fewer words, but one at least, has its whole sequence as only shingle.
+    """
+    codes, distinct, first = coded_words(data, offsets)
+    hashed = word_hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    counts = np.diff(first)
+    row = np.repeat(np.arange(len(counts)), counts)
+    n = max(len(codes) - width + 1, 0)
+    rolled = np.full(n, width, dtype=np.uint64)
+    for i in range(width):
+        rolled = rolled * _MULTIPLY + hashed[i:i + n]
+    whole = row[:n] == row[width - 1:] if n else np.zeros(0, bool)
+    rows, values = [row[:n][whole]], [mixed(rolled[whole])]
+    for r in np.flatnonzero((counts > 0) & (counts < width)):
+        one = np.uint64(counts[r])
+        for h in hashed[first[r]:first[r + 1]]:
+            one = np.uint64((int(one) * int(_MULTIPLY) + int(h)) & 0xFFFFFFFFFFFFFFFF)
+        rows.append(np.array([r]))
+        values.append(mixed(np.array([one], dtype=np.uint64)))
+    rows, values = np.concatenate(rows), np.concatenate(values)
+    order = np.lexsort((values, rows))
+    rows, values = rows[order], values[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+    return rows[new], values[new]
