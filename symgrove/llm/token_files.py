@@ -4,8 +4,8 @@ Rows are dealt to files by ranges of the key, so that files in the order of
 their names hold documents in ascending key order (null keys first). A task
 sorts its rows, encodes them once and streams them into ``tokens-N.arrow``:
 batches with the columns ``ids`` (fixed-size lists of unsigned integers) and
-``mask`` (fixed-size lists of 0 and 1; 0 marks filling after the file's last
-id). All sequences of all files have one length, so sequence i of a file is
+``mask`` (fixed-size lists of bits; unset ones mark filling after the file's
+last id). All sequences of all files have one length, so sequence i of a file is
 found by arithmetic, and a mapped file gives ids and masks without a copy.
 ``documents-N.arrow`` says where each document lies; the id that ends a
 document may also stand inside a text, so it can't tell.
@@ -53,7 +53,7 @@ class _Writer:
 
     def __init__(self, system, path: str, length: int, id_type: pa.DataType):
         self.length, self.type = length, id_type
-        self.schema = pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.stream = system.open_output_stream(path)
         self.file = ipc.new_file(self.stream, self.schema)
         self.waiting, self.held, self.total, self.rows = [], 0, 0, 0
@@ -71,10 +71,9 @@ class _Writer:
             self.waiting, self.held = [ids[len(ids) - rest:].copy()], rest
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(ids)) < real
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x, t), self.length)
-                  for x, t in ((ids, self.type), (mask, pa.uint8()))]
+                  for x, t in ((ids, self.type), (mask, pa.bool_()))]
         self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.rows += len(ids) // self.length
 
@@ -146,15 +145,15 @@ class TokenFile:
         self.reader = ipc.open_file(pa.memory_map(place) if local else system.open_input_file(place))
         self.length = self.reader.schema.field("ids").type.list_size
 
-    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of batch i, flat."""
         batch = self.reader.get_batch(i)
-        return tuple(batch.column(c).flatten().to_numpy() for c in (0, 1))
+        return batch.column(0).flatten().to_numpy(), batch.column(1).flatten()
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         ids, mask = self.batch(i // BATCH)
         low = i % BATCH * self.length
-        return ids[low:low + self.length], mask[low:low + self.length]
+        return ids[low:low + self.length], mask.slice(low, self.length)
 
     def ids(self, start: int, count: int):
         """Ids start to start + count of the file's stream, as one array per batch that holds some."""
