@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from symgrove.llm import exact_dedup, near_dups, packing, token_files, toxicity
+from symgrove.llm import (
+    class_lm, exact_dedup, langid, mixing, near_dups, packing, token_files, topk, toxicity, url_filter)
 from symgrove.llm.words import fold
 from symgrove.session import scratch_path
 
@@ -16,6 +17,67 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Verdict, host and path of the rules.
+URL_RULES = """VALUES
+  ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')"""
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM ({URL_RULES}) AS rules(verdict, host, path)")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP1_SQL = f"""
+WITH rules(verdict, host, path) AS ({URL_RULES}),
+after AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (
+  SELECT page_id, row_number() OVER () AS n,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM after),
+fits AS (
+  SELECT n, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS best
+  FROM parsed p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY n)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM parsed LEFT JOIN fits USING (n)
+"""
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(_table(spark, sf_dir, "embeddings"), is_query="id % 50 = 0", k=5, scale=256.0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+OP2_SQL = """
+WITH known AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM known q JOIN known c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(F.col("doc_id"), 3) != 1))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,6 +107,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = class_lm.class_scores(docs, fold(F.col("doc_id"), 7) != 2)
+    return scored.select(F.col("key").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), length=2048, end_id=1)
     return packing.digest(pieces).select(
@@ -56,7 +125,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter, "op2_top_k": op2_top_k, "op3_language": op3_language, "op4_mix": op4_mix,
     "op5_exact_dedup": op5_exact_dedup, "op6_token_files": op6_token_files, "op7_toxicity": op7_toxicity,
-    "op9_pack": op9_pack, "op10_near_duplicates": op10_near_duplicates,
+    "op8_class_lm": op8_class_lm, "op9_pack": op9_pack, "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_top_k": OP2_SQL, "op5_exact_dedup": OP5_SQL}
