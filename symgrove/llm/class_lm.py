@@ -135,7 +135,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     weight = bigrams.sum(axis=0) + bigrams.sum(axis=1)
     order = np.argsort(-weight[1:], kind="stable") + 1
     of = np.zeros(n, dtype=np.int64)
-    of[order] = 1 + np.arange(n - 1) % (classes - 1)
+    of[order] = np.minimum(1 + np.arange(n - 1), classes - 1)    # the most frequent alone, the others together
     member = np.zeros((n, classes))
     member[np.arange(n), of] = 1
     table = member.T @ bigrams @ member

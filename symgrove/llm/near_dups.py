@@ -15,9 +15,9 @@ in 10^6; a true pair at the threshold shares no band with a chance of 3 in
 No group emits all its pairs at once. Documents of equal sets are one member
 of the join. Within a key, every member is compared with the one that meets
 most others (the centre of a group of near copies), whose links already join
-nearly all; only members that are then still in different components are
-compared with each other. So hot keys cost their size, and no link that could
-change a component is lost. All steps are joins and aggregations on tables in
+nearly all. Members of keys that then still span components are compared across
+components where prefix filtering of their full sets allows a link. So hot keys cost
+their size, and no link that could change a component is lost. All steps are joins and aggregations on tables in
 the shared folder, whose skewed keys adaptive execution can split.
 
 Defined results: a null, empty or blank text has an empty set and is linked
@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from symgrove.llm.components import components
@@ -179,6 +179,57 @@ def verified(pairs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "ra", "ha", "rb", "hb").mapInArrow(confirm, "a bigint, b bigint")
 
 
+def _listed(member: DataFrame) -> DataFrame:
+    """(member, rep, label, n, h): the hashes of each member's full set, one a row."""
+
+    def rows(batches):
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(2)).to_numpy() // 8
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            for low in range(0, batch.num_rows, 256):
+                high = min(low + 256, batch.num_rows)
+                which = np.repeat(np.arange(low, high), sizes[low:high])
+                data = b"".join(batch.column(2).slice(low, high - low).to_pylist())
+                at = pa.array(which)
+                yield pa.RecordBatch.from_arrays(
+                    [pc.take(batch.column(3), at), pc.take(batch.column(0), at), pc.take(batch.column(1), at),
+                     pa.array(sizes[which]), pa.array(np.frombuffer(data, np.int64)[:edges[high] - edges[low]])],
+                    names=["member", "rep", "label", "n", "h"])
+
+    named = member.select("rep", "label", "hashes", F.xxhash64("rep", "hashes").alias("member"))
+    return named.mapInArrow(rows, "member long, rep long, label long, n long, h long")
+
+
+def pairs_apart(member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, label, hashes) of different labels that can reach the threshold.
+
+    Prefix filtering: with every set ordered from its rarest shingle, two sets
+    that reach the threshold share a shingle within their first places, and
+    what stands behind the places of the first shared one must suffice for the
+    overlap. Sets with many shingles of their own thus meet nobody. No pair
+    that reaches the threshold is lost, and at each shingle only members
+    outside its largest label look for partners.
+    """
+    listed = stored(_listed(member), "member-shingles")
+    common = stored(listed.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common-shingles")
+    shared = stored(listed.join(common, "h"), "shared-shingles")
+    places = Window.partitionBy("member").orderBy("df", "h")
+    total = Window.partitionBy("member")
+    # Shingles of one member alone come first, unlisted.
+    placed = shared.withColumn("place", F.row_number().over(places) - 1 + F.col("n") - F.count("*").over(total))
+    first = stored(placed.where(100 * F.col("place") <= (100 - percent) * F.col("n")).select("h", "rep", "label", "n", "place"), "prefixes")
+    largest = stored(first.groupBy("h", "label").agg(F.count("*").alias("members")).groupBy("h").agg(
+        F.max(F.struct("members", "label"))["label"].alias("largest"), F.count("*").alias("labels")).where("labels > 1")
+        .select("h", "largest"), "largest-labels")
+    seekers = stored(first.join(largest, "h").where("label != largest").select(
+        "h", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a")), "seekers")
+    left = F.least(F.col("n") - F.col("place"), F.col("n_a") - F.col("place_a"))
+    enough = left * (100 + percent) >= percent * (F.col("n") + F.col("n_a"))
+    met = seekers.join(first, "h").where((F.col("label") != F.col("label_a")) & enough
+                                         & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")))
+    return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).where("a != b").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
@@ -220,11 +271,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                     .select("band", "rep", F.coalesce("label", "rep").alias("label")), "marked")
     open_bands = stored(marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                         .where("low != high").select("band"), "open-bands")
-    rest = stored(marked.join(open_bands, "band"), "open-postings")
-    other = rest.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-    apart = (rest.withColumnRenamed("rep", "a").join(other, "band").where("a < b AND label != label_b")
-             .select("a", "b").distinct())
-    apart = stored(apart.join(star, ["a", "b"], "left_anti"), "pairs-apart")
+    rest = stored(marked.join(open_bands, "band").select("rep", "label").distinct(), "members-apart")
+    apart = stored(pairs_apart(member.join(rest, "rep").select("rep", "label", "hashes"), percent)
+                   .join(star, ["a", "b"], "left_anti"), "pairs-apart")
     edges = edges.union(stored(verified(apart, member, percent), "links-apart"))
     labels = components(edges)
 

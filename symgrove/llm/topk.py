@@ -17,7 +17,8 @@ only skip what can't be among the best.
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do rows with a null id; of rows with one id the smallest
 vector counts; shorter vectors are extended by zeros; ties go to the smaller
-id; a query alone has no rows, an empty table none. Other columns are not read.
+id; products must fit into
+64 bits; a query alone has no rows, an empty table none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,32 +109,37 @@ def search_block(query: tuple[np.ndarray, np.ndarray], block: tuple[np.ndarray,
     bound = statistics(q, SEGMENTS[0]) @ statistics(x, SEGMENTS[0]).T
     own = query_ids[:, None] == ids[None, :]
     bound[own] = -np.inf
-    # The vectors that look best at the coarsest resolution set a first threshold.
-    k = min(best.k, len(ids))
-    seeds = np.argpartition(-bound, k - 1, axis=1)[:, :k]
-    rows, columns = np.repeat(np.arange(len(q)), k), seeds.ravel()
+    threshold = best.threshold
+    rows, columns = np.nonzero(bound >= _least(threshold)[:, None])
     real = ~own[rows, columns]
     rows, columns = rows[real], columns[real]
-    trial = _Best(len(q), best.k)
-    trial.add(rows, ids[columns], _exact(q, x, rows, columns))
-    threshold = np.maximum(best.threshold, trial.threshold)
-    slack = 1e-9 * (1 + np.abs(threshold)) + 1e-6
-    rows, columns = np.nonzero(bound >= np.where(np.isfinite(threshold), threshold - slack, -np.inf)[:, None])
-    real = ~own[rows, columns]
-    rows, columns = rows[real], columns[real]
-    for segments in SEGMENTS[1:]:
-        a, b = statistics(q, segments), statistics(x, segments)
-        if len(rows) * 4 > len(q) * len(ids):
-            finer = (a @ b.T)[rows, columns]
-        else:
-            finer = np.concatenate([np.einsum("ij,ij->i", a[rows[i:i + PAIRS]], b[columns[i:i + PAIRS]])
-                                    for i in range(0, len(rows), PAIRS)] or [np.zeros(0)])
-        alive = finer >= (threshold - slack)[rows]
+    bounds = bound[rows, columns]
+    for level, segments in enumerate(SEGMENTS):
+        if level:
+            a, b = statistics(q, segments), statistics(x, segments)
+            if len(rows) * 4 > len(q) * len(ids):
+                bounds = (a @ b.T)[rows, columns]
+            else:
+                bounds = np.concatenate([np.einsum("ij,ij->i", a[rows[i:i + PAIRS]], b[columns[i:i + PAIRS]])
+                                         for i in range(0, len(rows), PAIRS)] or [np.zeros(0)])
+        # The vectors that look best at this resolution raise the threshold.
+        order = np.lexsort((-bounds, rows))
+        rank = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
+        probes = order[rank < best.k]
+        trial = _Best(len(q), best.k)
+        trial.add(rows[probes], ids[columns[probes]], _exact(q, x, rows[probes], columns[probes]))
+        threshold = np.maximum(threshold, trial.threshold)
+        alive = bounds >= _least(threshold)[rows]
         rows, columns = rows[alive], columns[alive]
     best.add(rows, ids[columns], _exact(q, x, rows, columns))
     return len(rows)
 
 
+def _least(threshold: np.ndarray) -> np.ndarray:
+    """Bounds below this can't reach the threshold, whatever a bound's rounding."""
+    return np.where(np.isfinite(threshold), threshold - 1e-9 * np.abs(threshold) - 1e-6, -np.inf)
+
+
 def top_k(vectors: DataFrame, is_query: str, key: str = "vec_id", vector: str = "embedding", k: int = 5,
           scale: float = 256.0) -> DataFrame:
     """query_id, rank, key and score of the k largest integer products of every query with the other rows.
