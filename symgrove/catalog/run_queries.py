@@ -15,7 +15,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 def classify_execution(spark: SparkSession, sf: str) -> DataFrame:
     return r.classify_execution(v.telemetry(spark, sf)).select(
-        "event_id", "exit_code", "timed_out", "oom_killed", "duration_seconds", "run_class")
+        "event_id", "exit_code", "timed_out", "oom_killed", "duration_seconds", "run_class", "stdout", "stderr")
 
 
 def clean_log_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,6 +29,15 @@ def retry_counter(spark: SparkSession, sf: str) -> DataFrame:
     return attempts(spark, sf).select("run_id", "event_id", "attempt")
 
 
+def retry_counter_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts of a log in which some run ids and some times are unknown."""
+    log = v.run_log(spark, sf)
+    unknown = log.withColumns({
+        "run_id": F.when(F.col("event_id") % 5 != 0, F.col("run_id")),
+        "ts": F.when(F.col("event_id") % 7 != 0, F.col("ts"))})
+    return r.number_attempts(unknown).select("run_id", "event_id", "attempt")
+
+
 def derive_status(spark: SparkSession, sf: str) -> DataFrame:
     return attempts(spark, sf).select("event_id", r.derive_status().alias("status"))
 
@@ -113,6 +122,7 @@ QUERIES = {
     "l_classify_execution": classify_execution,
     "l_clean_log_text": clean_log_text,
     "l_retry_counter": retry_counter,
+    "l_retry_counter_nulls": retry_counter_nulls,
     "l_derive_status": derive_status,
     "l_route_start": route_start,
     "l_route_next": route_next,
@@ -136,11 +146,18 @@ SELECT event_id,
   late AND NOT host AS timed_out, oom AND NOT host AS oom_killed,
   CASE WHEN host THEN 0.0::DOUBLE ELSE round_even(elapsed, 2) END AS duration_seconds,
   CASE WHEN host THEN 'host_error' WHEN oom THEN 'oom' WHEN late THEN 'timeout'
-       WHEN status_code = 0 THEN 'clean' ELSE 'failed' END AS run_class
+       WHEN status_code = 0 THEN 'clean' ELSE 'failed' END AS run_class,
+  CASE WHEN host THEN '' ELSE coalesce(stdout, '') END AS stdout,
+  CASE WHEN host THEN 'Host-Level Docker API Error: lost '||event_id ELSE coalesce(stderr, '') END AS stderr
 FROM y""",
     "l_clean_log_text": """SELECT doc_id, text||chr(65533)||'A' AS text,
   round_even(n_chars / 7, 2) AS seconds FROM documents""",
     "l_retry_counter": f"WITH {v.SQL_V4} SELECT run_id, event_id, attempt FROM attempts",
+    "l_retry_counter_nulls": """WITH log AS (
+  SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN user_id END AS run_id,
+         CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM events)
+SELECT run_id, event_id, CAST(row_number() OVER (
+  PARTITION BY run_id ORDER BY ts NULLS FIRST, event_id) AS INT) AS attempt FROM log""",
     "l_derive_status": f"WITH {v.SQL_V4} SELECT event_id, status FROM judged",
     "l_route_start": """SELECT event_id,
   CASE WHEN user_id % 2 = 0 THEN 'baseline_coder' ELSE 'adversary_coder' END AS first_step FROM events""",
@@ -161,7 +178,7 @@ UNION ALL SELECT run_id, 'ephemeral_files', NULL, '/tmp/shared', attempt, 1 FROM
     "l_merge_env_step": f"""WITH {v.SQL_V4},
 x AS (SELECT *, mode = 'baseline' AND verdict = 'SYSTEM_SECURE' AS m, event_id % 2 = 0 AS h FROM attempts)
 SELECT event_id,
-  CASE WHEN m AND h THEN 'X=kept,Authorization=Bearer '||event_id WHEN m THEN 'Authorization=Bearer '||event_id
+  CASE WHEN m AND h THEN 'Authorization=Bearer '||event_id||',X=kept' WHEN m THEN 'Authorization=Bearer '||event_id
        WHEN h THEN 'Authorization=old,X=kept' ELSE '' END AS auth_headers,
   CASE WHEN m THEN 'sid='||sid WHEN h THEN 'sid=' ELSE '' END AS cookies,
   CASE WHEN m AND h AND event_id % 3 <> 0 THEN 'u0=quote" é'||chr(10)||',u'||(event_id % 3)||'='||event_id

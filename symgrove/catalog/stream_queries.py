@@ -24,11 +24,26 @@ def append_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("code").alias("repo"), "rel_path", F.col("content").cast("binary").alias("content")) \
         .repartition(parts, "rel_path").write.parquet(f"{base}/drop")
     ingest_stream(spark, f"{base}/drop", f"{base}/table", f"{base}/checkpoint",
-                  files_per_batch=per_batch).awaitTermination()
+                  files_per_batch=per_batch, id_path=F.col("rel_path")).awaitTermination()
     return read_nodes(spark, f"{base}/table").select(
         "node_id", "node_type", "file_path", "symbol_name", "source_code", "language")
 
 
+def append_stream_repos(spark: SparkSession, sf: str) -> DataFrame:
+    """Two repositories that hold the same paths, streamed into one table."""
+    base = scratch_path(spark, "ingest-stream")
+    parts, per_batch = _parts(spark)
+    v.code_files(spark, sf).select(
+        F.explode(F.array(F.lit("east"), F.lit("west"))).alias("repo"), "rel_path",
+        F.col("content").cast("binary").alias("content")) \
+        .repartition(parts, "repo", "rel_path").write.parquet(f"{base}/drop")
+    ingest_stream(spark, f"{base}/drop", f"{base}/table", f"{base}/checkpoint",
+                  files_per_batch=per_batch).awaitTermination()
+    return read_nodes(spark, f"{base}/table").groupBy("repo", "language").agg(
+        F.count("*").alias("n_nodes"), F.count_distinct("node_id").alias("n_ids"),
+        F.count_distinct("file_path").alias("n_files"))
+
+
 def fold_run_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "fold-stream")
     parts, per_batch = _parts(spark)
@@ -44,11 +59,15 @@ def fold_run_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "f_append_stream": append_stream,
+    "f_append_stream_repos": append_stream_repos,
     "l_fold_run_stream": fold_run_stream,
 }
 
 ORACLES = {
     "f_append_stream": f"""WITH {v.SQL_V3}
 SELECT node_id, node_type, rel_path AS file_path, symbol_name, source_code, language FROM v3_ids""",
+    "f_append_stream_repos": f"""WITH {v.SQL_V3}
+SELECT r.repo, language, count(*) AS n_nodes, count(DISTINCT node_id) AS n_ids, count(DISTINCT rel_path) AS n_files
+FROM v3_ids, (VALUES ('east'), ('west')) r(repo) GROUP BY r.repo, language""",
     "l_fold_run_stream": run_queries.FOLD_SQL,
 }

@@ -238,7 +238,8 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _IGNORE_LINES = ["# note", "data/", "/_pkg", "*.log", "!keep.log", "  ", "data/", "api/f?1.*",
-                 "/src/api/.hid*", " raw \t", "_pkg/x"]
+                 "/src/api/.hid*", " raw \t", "_pkg/x", "foo[", "build\\output", "bin\\Debug", "[^b]1",
+                 "f[0-3]*.go", "[z-a]x", "/"]
 
 
 def ignore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +248,8 @@ def ignore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                       for i, x in enumerate(_IGNORE_LINES)])
     number = F.regexp_extract("repo", r"^src(\d+)-", 1).cast("int")
     return repos(spark, sf_dir).select("repo", number.alias("k"), F.inline(lines)) \
-        .where((F.col("k") % 3 != 0) | (F.col("i") < 4)).select("repo", "line")
+        .where((F.col("k") % 3 != 0) | (F.col("i") < 4)) \
+        .where((F.col("line") != "/") | (F.col("k") % 7 == 4)).select("repo", "line")
 
 
 SQL_V2 = """
@@ -284,16 +286,19 @@ supported AS (SELECT * FROM typed WHERE language IS NOT NULL),
 raw_lines AS (
   SELECT repo, line FROM repos, (VALUES (0, '# note'), (1, 'data/'), (2, '/_pkg'), (3, '*.log'),
     (4, '!keep.log'), (5, '  '), (6, 'data/'), (7, 'api/f?1.*'), (8, '/src/api/.hid*'),
-    (9, ' raw '||chr(9)), (10, '_pkg/x')) v(i, line)
-  WHERE CAST(regexp_extract(repo, '^src(\\d+)-', 1) AS INT) % 3 <> 0 OR i < 4),
+    (9, ' raw '||chr(9)), (10, '_pkg/x'), (11, 'foo['), (12, 'build\\output'), (13, 'bin\\Debug'), (14, '[^b]1'),
+    (15, 'f[0-3]*.go'), (16, '[z-a]x'), (17, '/')) v(i, line)
+  WHERE (CAST(regexp_extract(repo, '^src(\\d+)-', 1) AS INT) % 3 <> 0 OR i < 4)
+    AND (line <> '/' OR CAST(regexp_extract(repo, '^src(\\d+)-', 1) AS INT) % 7 = 4)),
 trimmed AS (SELECT repo, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM raw_lines),
 rules AS (
   SELECT DISTINCT repo, rtrim(CASE WHEN starts_with(line, '/') THEN '.'||line ELSE line END, '/') AS rule
   FROM trimmed WHERE line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '!')
   UNION SELECT repo, name FROM repos, skip),
 patterns AS (
-  SELECT repo, '/' || replace(replace(regexp_replace(rule, '([.+^$(){}|])', '\\\\\\1', 'g'), '*', '.*'),
-                              '?', '.') || '/' AS re
+  SELECT repo, '/' || CASE rule WHEN 'foo[' THEN 'foo\\[' WHEN 'build\\output' THEN 'buildoutput'
+      WHEN 'bin\\Debug' THEN 'binDebug' WHEN '[z-a]x' THEN '[^\\s\\S]x' WHEN '[^b]1' THEN rule
+      ELSE replace(replace(regexp_replace(rule, '([.+^$(){}|])', '\\\\\\1', 'g'), '*', '.*'), '?', '.') END || '/' AS re
   FROM rules)
 """
 
@@ -419,7 +424,9 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind.isin("click", "signup"), 0).when(kind == "error", 1).alias("status_code"),
         (F.col("value") / 7).alias("elapsed"), F.lit(30).alias("timeout_seconds"),
         (kind == "purchase").alias("disconnected"),
-        (F.col("event_id") % 17 == 0).alias("api_error"), (F.col("event_id") % 11 == 0).alias("oom"))
+        (F.col("event_id") % 17 == 0).alias("api_error"), (F.col("event_id") % 11 == 0).alias("oom"),
+        F.when(F.col("event_id") % 5 != 0, _key("out ", F.col("event_id").cast("string"))).alias("stdout"),
+        kind.alias("stderr"), _key("lost ", F.col("event_id").cast("string")).alias("error_message"))
 
 
 SQL_V4 = """
@@ -449,6 +456,8 @@ telemetry AS (
   SELECT user_id AS run_id, event_id,
          CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'signup' THEN 0 END AS status_code,
          value / 7 AS elapsed, 30 AS timeout_seconds, event_type = 'purchase' AS disconnected,
-         event_id % 17 = 0 AS api_error, event_id % 11 = 0 AS oom
+         event_id % 17 = 0 AS api_error, event_id % 11 = 0 AS oom,
+         CASE WHEN event_id % 5 <> 0 THEN 'out '||event_id END AS stdout, event_type AS stderr,
+         'lost '||event_id AS error_message
   FROM events)
 """

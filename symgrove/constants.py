@@ -132,6 +132,7 @@ CPU_PERIOD = 100000
 TIMEOUT_GRACE_SECONDS = 1
 TIMEOUT_EXIT_CODE = 137
 HOST_ERROR_EXIT_CODE = -1
+HOST_ERROR_PREFIX = "Host-Level Docker API Error: "
 MISSING_STATUS_EXIT_CODE = 1
 FINGERPRINT_CHARS = 12
 SECRET_MASK = "**********"

@@ -91,7 +91,8 @@ def _compiled_rules(rules: DataFrame) -> DataFrame:
         F.when(literal, F.concat(slash, rule, slash))
         .when(head, F.concat(F.substring(rule, F.lit(2), F.length(rule)), slash))
         .when(tail, F.concat(slash, F.substring(rule, F.lit(1), F.length(rule) - 1))))
-    first = F.when(literal, F.element_at(F.split(F.regexp_replace(rule, r"^\./", ""), "/"), 1))
+    # The rule "." is the root itself and drops every file.
+    first = F.when(literal & (rule != "."), F.element_at(F.split(F.regexp_replace(rule, r"^\./", ""), "/"), 1))
     return rules.select(
         "repo", first.alias("first"), needle.alias("needle"),
         F.concat(F.lit("/"), p.glob_regex(rule), F.lit("/")).alias("regex"))

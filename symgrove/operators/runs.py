@@ -27,11 +27,13 @@ def classify_execution(telemetry: DataFrame) -> DataFrame:
     """L1: report columns of each run from its raw telemetry.
 
     A lost connection at or past the timeout (less the grace) is a timeout;
-    any earlier one, and any host error, leaves no result at all.
+    any earlier one, and any host error, leaves no result at all: no output,
+    and the error in place of the error output. An unknown elapsed time is no
+    timeout.
     """
     limit = F.coalesce("timeout_seconds", F.lit(c.PROFILE_TIMEOUT)) - c.TIMEOUT_GRACE_SECONDS
     lost = F.coalesce("disconnected", F.lit(False))
-    late = lost & (F.col("elapsed") >= limit)
+    late = lost & F.coalesce(F.col("elapsed") >= limit, F.lit(False))
     host_error = F.coalesce("api_error", F.lit(False)) | (lost & ~late)
     exit_code = (
         F.when(host_error, c.HOST_ERROR_EXIT_CODE).when(late, c.TIMEOUT_EXIT_CODE)
@@ -43,6 +45,9 @@ def classify_execution(telemetry: DataFrame) -> DataFrame:
         .when(exit_code == 0, "clean").otherwise("failed"))
     return telemetry.withColumns({
         "exit_code": exit_code.cast("int"), "timed_out": timed_out, "oom_killed": oom,
+        "stdout": F.when(host_error, "").otherwise(F.coalesce("stdout", F.lit(""))),
+        "stderr": F.when(host_error, F.concat(F.lit(c.HOST_ERROR_PREFIX), F.coalesce("error_message", F.lit(""))))
+        .otherwise(F.coalesce("stderr", F.lit(""))),
         "duration_seconds": F.when(host_error, 0.0).otherwise(round_seconds(F.col("elapsed"))),
         "run_class": run_class})
 
@@ -128,12 +133,13 @@ def _merges() -> Column:
 def merge_env_row(rows: DataFrame) -> DataFrame:
     """L9 for one step: current state columns updated by ``extracted_*``.
 
-    Later keys win and files are appended; rows that do not merge are kept
-    as they are.
+    Later values win, in the place that their key has already; new keys and
+    files are appended; rows that do not merge are kept as they are.
     """
     def updated(now: Column, new: Column) -> Column:
-        kept = F.map_filter(now, lambda key, _value: ~F.map_contains_key(new, key))
-        return F.when(_merges(), F.map_concat(kept, new)).otherwise(now)
+        kept = F.transform_values(now, lambda key, value: F.when(F.map_contains_key(new, key), F.element_at(new, key)).otherwise(value))
+        added = F.map_filter(new, lambda key, _value: ~F.map_contains_key(now, key))
+        return F.when(_merges(), F.map_concat(kept, added)).otherwise(now)
 
     merged = {name: updated(_map(name), _map(f"extracted_{name}"))
               for name in c.SECRET_MAPS + c.CLEAR_MAPS}

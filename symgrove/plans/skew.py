@@ -15,7 +15,8 @@ def sliced_row_number(rows: DataFrame, keys: Sequence[str], order: Sequence[str]
     example the hour of a leading timestamp. Each (key, slice) is numbered by
     itself and shifted by the sizes of the slices before it, so a key that
     holds a third of all rows is spread over its slices. The counts shuffle
-    one row per (key, slice), the rows themselves shuffle once.
+    one row per (key, slice), the rows themselves shuffle once. Null keys and
+    null slices keep their rows; null slices come first.
     """
     part = [*keys, "_slice"]
     sliced = rows.withColumn("_slice", slice_of)
@@ -23,8 +24,11 @@ def sliced_row_number(rows: DataFrame, keys: Sequence[str], order: Sequence[str]
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     local = W.partitionBy(*part).orderBy(*order)
+    # Null keys and null slices are groups like others.
+    shifts = shifts.select(*[F.col(n).alias(f"_of_{n}") for n in part], "_shift")
+    same = [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in part]
     return (
-        sliced.join(shifts, part)
+        sliced.join(shifts, same)
         .withColumn(name, (F.col("_shift") + F.row_number().over(local)).cast("int"))
-        .drop("_slice", "_shift")
+        .drop("_slice", "_shift", *[f"_of_{n}" for n in part])
     )

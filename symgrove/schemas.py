@@ -39,7 +39,7 @@ ENV_STATE = _struct(
 TELEMETRY = _struct(
     run_id=T.LongType(), attempt=T.IntegerType(), status_code=T.IntegerType(),
     elapsed=T.DoubleType(), timeout_seconds=T.IntegerType(), disconnected=T.BooleanType(),
-    api_error=T.BooleanType(), oom=T.BooleanType(),
+    api_error=T.BooleanType(), oom=T.BooleanType(), stdout=_S, stderr=_S, error_message=_S,
 )
 ATTEMPTS = _struct(
     run_id=T.LongType(), attempt=T.IntegerType(), mode=_S, verdict=_S,

@@ -138,3 +138,19 @@ def test_test_file_names(spark):
     assert got["rust"].run_command == "rustc t.rs && ./t"
     assert got["c-sharp"].run_command == "csc tTests.cs && mono tTests.exe"
     assert all(r.test_file in r.run_command or lang == "erlang" for lang, r in got.items())
+
+
+def test_ignore_rules_that_are_no_plain_globs(spark):
+    lines = ["foo[", "build\\output", "bin\\Debug", "[^b]1", "[!c]2", "[z-a]x", "q[]]", "t\\", "[a&&b]7", "\\*s"]
+    paths = ["foo[", "foo", "buildoutput", "builds/output", "binDebug", "binxebug", "a1", "b1/c", "c2", "d2/e", "mx", "q]", "q",
+             "t\\", "&7", "a7", "*s", "xs"]
+    rules = f.normalize_ignore_rules(spark.createDataFrame([("r", x) for x in lines], "repo string, line string"),
+                                     spark.createDataFrame([("r",)], "repo string"))
+    files = spark.createDataFrame([("r", x) for x in paths], "repo string, rel_path string")
+    for small in (True, False):
+        kept = {r.rel_path for r in f.apply_ignore_rules(files, rules, small).collect()}
+        assert set(paths) - kept == {"foo[", "buildoutput", "binDebug", "a1", "d2/e", "q]", "t\\", "&7", "a7", "*s"}
+    root = f.normalize_ignore_rules(spark.createDataFrame([("r", "/")], "repo string, line string"),
+                                    spark.createDataFrame([("r",)], "repo string"))
+    for small in (True, False):
+        assert f.apply_ignore_rules(files, root, small).count() == 0

@@ -70,7 +70,7 @@ def test_hot_run_is_numbered_by_slices(spark):
 
 
 TELEMETRY = ("status_code int, elapsed double, timeout_seconds int, disconnected boolean, "
-             "api_error boolean, oom boolean")
+             "api_error boolean, oom boolean, stdout string, stderr string, error_message string")
 
 
 @pytest.mark.parametrize("row,want", [
@@ -84,8 +84,16 @@ TELEMETRY = ("status_code int, elapsed double, timeout_seconds int, disconnected
     ((2, 1.0, None, None, None, None), (2, False, False, 1.0, "failed")),
 ])
 def test_execution_classes(spark, row, want):
-    got = r.classify_execution(spark.createDataFrame([row], TELEMETRY)).first()
+    got = r.classify_execution(spark.createDataFrame([(*row, "out", None, "gone")], TELEMETRY)).first()
     assert (got.exit_code, got.timed_out, got.oom_killed, got.duration_seconds, got.run_class) == want
+    lost = got.run_class == "host_error"
+    assert (got.stdout, got.stderr) == (("", "Host-Level Docker API Error: gone") if lost else ("out", ""))
+
+
+def test_lost_connection_without_a_time_is_a_host_error(spark):
+    row = (None, None, 3, True, None, None, "out", "err", None)
+    got = r.classify_execution(spark.createDataFrame([row], TELEMETRY)).first()
+    assert (got.run_class, got.exit_code, got.stdout, got.stderr) == ("host_error", -1, "", "Host-Level Docker API Error: ")
 
 
 def test_invalid_utf8_is_replaced_like_python(spark):
@@ -108,6 +116,12 @@ def _row(mode, verdict, now, new, files, new_files):
     return (mode, verdict, *[now] * 5, *[new] * 5, files, new_files)
 
 
+def test_attempts_of_unknown_runs_and_times_are_numbered(spark):
+    log = spark.createDataFrame([(None, None, 1), (None, "2024-01-02", 2), (7, None, 3), (7, "2024-01-01", 4), (7, "2024-01-03", 5)],
+                                "run_id bigint, ts string, event_id bigint").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {(x.event_id, x.attempt) for x in r.number_attempts(log).collect()} == {(1, 1), (2, 2), (3, 1), (4, 2), (5, 3)}
+
+
 def test_environment_merge_steps(spark):
     rows = [_row("baseline", "SYSTEM_SECURE", {"a": "1", "b": "2"}, {"b": "9", "c": "3"}, ["x"], ["x", "y"]),
             _row("adversarial", "SYSTEM_SECURE", {"a": "1"}, {"a": "2"}, ["x"], ["y"]),
@@ -115,6 +129,7 @@ def test_environment_merge_steps(spark):
             _row("baseline", "SYSTEM_SECURE", None, None, None, None)]
     got = r.merge_env_row(_state(spark, rows)).collect()
     assert [x.auth_headers for x in got] == [{"a": "1", "b": "9", "c": "3"}, {"a": "1"}, {}, {}]
+    assert list(got[0].auth_headers) == ["a", "b", "c"]           # an overwritten key keeps its place
     assert [x.ephemeral_files for x in got] == [["x", "x", "y"], ["x"], [], []]
     assert got[0].dynamic_endpoints == got[0].auth_headers
 
