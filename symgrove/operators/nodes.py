@@ -5,24 +5,28 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from symgrove import constants as c
 from symgrove.schemas import CODE_NODES, SEARCH_COLUMNS
+from symgrove.session import scratch_path
 
 NODE_COLUMNS = CODE_NODES.fieldNames()
 _LIST = "array<string>"
-_STORED = T.StructType([*CODE_NODES.fields, T.StructField("batch", T.StringType())])
+STORED_COLUMNS = [*NODE_COLUMNS, "repo"]
+_STORED = T.StructType([*CODE_NODES.fields, T.StructField("repo", T.StringType()),
+                        T.StructField("batch", T.StringType())])
 
 
-def with_list_defaults(nodes: DataFrame) -> DataFrame:
-    """All node columns; absent or null neighbour lists read as empty."""
+def with_list_defaults(nodes: DataFrame, columns: list[str] = NODE_COLUMNS) -> DataFrame:
+    """All node columns; absent or null neighbour lists read as empty, an absent repository as null."""
     lists = {}
     for name in ("child_nodes", "parent_nodes"):
         empty = F.array().cast(_LIST)
         lists[name] = F.coalesce(F.col(name), empty) if name in nodes.columns else empty
-    return nodes.withColumns(lists).select(*NODE_COLUMNS)
+    if "repo" in columns and "repo" not in nodes.columns:
+        lists["repo"] = F.lit(None).cast("string")
+    return nodes.withColumns(lists).select(*columns)
 
 
 # --- R1, R3: append with a key check ----------------------------------------
@@ -33,7 +37,8 @@ def duplicate_keys(batch: DataFrame, stored: DataFrame | None = None,
     counts = batch.groupBy(key).agg(F.count("*").alias("n"))
     if stored is None:
         return counts.withColumn("is_stored", F.lit(False)).where(F.col("n") > 1)
-    known = stored.select(key).distinct().withColumn("is_stored", F.lit(True))
+    # Stored keys are unique already; only those that the batch names are looked at.
+    known = stored.select(key).join(counts.select(key), key, "left_semi").withColumn("is_stored", F.lit(True))
     return (
         counts.join(known, key, "left")
         .withColumn("is_stored", F.coalesce("is_stored", F.lit(False)))
@@ -63,27 +68,28 @@ def append_nodes(nodes: DataFrame, path: str, batch_id: str | None = None) -> bo
 
     Each batch owns one folder, written by a single commit and replaced if the
     same batch is replayed, so a lost executor or a repeated stream batch
-    cannot leave a part of it or store it twice.
+    cannot leave a part of it or store it twice. The batch is staged once in
+    the shared folder, so its input is parsed once whoever is lost meanwhile.
     """
     batch_id = batch_id or uuid.uuid4().hex
-    rows = with_list_defaults(nodes).persist(StorageLevel.DISK_ONLY)
-    try:
-        if rows.isEmpty():
-            return False
-        stored = _stored(nodes.sparkSession, path)
-        if stored is not None:
-            stored = stored.where(F.col("batch") != batch_id)
-        assert_unique_key(rows, stored)
-        rows.write.mode("overwrite").partitionBy("language").parquet(
-            f"{path}/nodes/batch={batch_id}")
-    finally:
-        rows.unpersist()
+    spark = nodes.sparkSession
+    staged = scratch_path(spark, "staged-nodes")
+    with_list_defaults(nodes, STORED_COLUMNS).write.parquet(staged)
+    rows = spark.read.schema(_STORED).parquet(staged).drop("batch")
+    if rows.isEmpty():
+        return False
+    stored = _stored(spark, path)
+    if stored is not None:
+        stored = stored.where(F.col("batch") != batch_id)
+    assert_unique_key(rows, stored)
+    rows.write.mode("overwrite").partitionBy("language").parquet(f"{path}/nodes/batch={batch_id}")
     return True
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """All appended nodes; pruned by language when filtered on it."""
-    return with_list_defaults(spark.read.schema(_STORED).parquet(f"{path}/nodes"))
+    """All appended nodes, none before the first; pruned by language when filtered on it."""
+    stored = _stored(spark, path)
+    return with_list_defaults(spark.createDataFrame([], _STORED) if stored is None else stored, STORED_COLUMNS)
 
 
 # --- R2: JSON text for exchange ----------------------------------------------
@@ -131,6 +137,15 @@ EVALUATION_RULES = RowRules(
     required=("verdict",), members={"verdict": c.VERDICTS}, defaults={"feedback": ""})
 
 
+def _fits(value: Column, kind: str) -> Column:
+    """True if a value that is not null can be of this type without losing anything."""
+    castable = value.try_cast(kind).isNotNull()
+    if kind != "int":
+        return castable
+    number = value.try_cast("double")
+    return castable & (number.isNull() | (number == F.floor(number)))
+
+
 def validate_rows(rows: DataFrame, rules: RowRules) -> DataFrame:
     """Rows with defaults and types applied and an ``errors`` array.
 
@@ -142,8 +157,7 @@ def validate_rows(rows: DataFrame, rules: RowRules) -> DataFrame:
     checks += [F.when(F.col(n).isNotNull() & ~F.col(n).isin(allowed),
                       F.lit(f"{n}: not a member"))
                for n, allowed in rules.members.items()]
-    checks += [F.when(F.col(n).isNotNull() & F.col(n).try_cast(kind).isNull(),
-                      F.lit(f"{n}: not {kind}"))
+    checks += [F.when(F.col(n).isNotNull() & ~_fits(F.col(n), kind), F.lit(f"{n}: not {kind}"))
                for n, kind in rules.types.items()]
     errors = F.array_compact(F.array(*checks)) if checks else F.array().cast(_LIST)
     fixed = {n: F.col(n).try_cast(kind) for n, kind in rules.types.items()}
@@ -192,7 +206,7 @@ def get_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     Order by node_id at the edge if order matters. Spark broadcasts the ids
     when their measured size allows and shuffles otherwise.
     """
-    return nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi")
+    return nodes.join(ids.select("node_id"), "node_id", "left_semi")
 
 
 def project_search(nodes: DataFrame) -> DataFrame:

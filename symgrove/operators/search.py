@@ -72,6 +72,11 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+# Given on reading, so that the index of an empty table reads as empty.
+_POSTINGS = "tri string, node_id string, s string, dl int, bucket int"
+_STATISTICS = "n_docs bigint, avgdl double"
+
+
 def write_index(docs: DataFrame, path: str, buckets: int = 64, salts: int = 8) -> None:
     """Store postings and statistics for repeated searches.
 
@@ -92,8 +97,8 @@ def write_index(docs: DataFrame, path: str, buckets: int = 64, salts: int = 8) -
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(postings, statistics) of a stored index."""
-    return spark.read.parquet(f"{path}/postings").drop("bucket"), \
-        spark.read.parquet(f"{path}/stats")
+    return spark.read.schema(_POSTINGS).parquet(f"{path}/postings").drop("bucket"), \
+        spark.read.schema(_STATISTICS).parquet(f"{path}/stats")
 
 
 # --- S6, S7: matching and rank ---------------------------------------------------

@@ -301,14 +301,16 @@ def symbol_nodes(files: DataFrame, key: Sequence[str] = ("rel_path",),
                  extended: bool = False, id_path: Column | None = None) -> DataFrame:
     """Node rows of all files.
 
-    ``id_path`` replaces rel_path in the id where several repositories share
-    one table.
+    An id is scoped by ``id_path``: by default the path below its repository's
+    name if files carry one, whatever the number of repositories, else
+    rel_path. Nodes keep the repository as a column ``repo``.
     """
     parted = partition_by_file(files, key, extended)
     rows = classify_tag(definition_text(scan_definitions(parted, key, extended), parted, key))
-    path = F.col("rel_path") if id_path is None else id_path
+    repo = ["repo"] if "repo" in key else []
+    path = F.concat_ws("/", *repo, "rel_path") if id_path is None else id_path
     empty = F.array().cast("array<string>")
     return rows.select(
         symbol_id(path, F.col("start_byte"), F.col("symbol_name")).alias("node_id"),
         "node_type", F.col("rel_path").alias("file_path"), "symbol_name", "source_code",
-        empty.alias("child_nodes"), empty.alias("parent_nodes"), "language")
+        empty.alias("child_nodes"), empty.alias("parent_nodes"), "language", *repo)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from symgrove.constants import MAX_TOKENS, SEARCH_LIMIT
 from symgrove.operators import context as g
@@ -14,17 +16,19 @@ from symgrove.sources.tree import scan_files
 
 
 def ingest_trees(roots: DataFrame, path: str, extended: bool = False,
-                 batch_id: str | None = None) -> DataFrame:
+                 batch_id: str | None = None, id_path: Column | None = None) -> DataFrame:
     """Scan (repo, root) trees, store their symbols under path and index them.
 
-    With several repositories the repository is part of each symbol's id; a
-    single one keeps ids of its relative paths. Returns the stored nodes.
+    Ids are scoped by repository, however many there are, so repositories may
+    come together, one after another or as a stream and keep their ids. Files
+    that could not be read are rows of ``path/unreadable``, with the error.
+    Returns the stored nodes; a table without symbols is empty and searchable.
     """
     spark = roots.sparkSession
-    files, _unreadable = split_readable(scan_files(roots))
-    several = roots.select("repo").distinct().limit(2).count() > 1
-    id_path = F.concat_ws("/", "repo", "rel_path") if several else None
+    batch_id = batch_id or uuid.uuid4().hex
+    files, unreadable = split_readable(scan_files(roots))
     append_nodes(symbol_nodes(files, ("repo", "rel_path"), extended, id_path), path, batch_id)
+    unreadable.write.mode("overwrite").parquet(f"{path}/unreadable/batch={batch_id}")
     nodes = read_nodes(spark, path)
     write_index(symbol_docs(nodes), f"{path}/index")
     return nodes

@@ -17,6 +17,7 @@ def ingest_stream(spark: SparkSession, drop_dir: str, nodes_path: str, checkpoin
     """Append the symbols of every file table dropped so far, then stop.
 
     A batch is stored under its own id: a replay after a failure replaces it.
+    Ids are scoped by repository unless ``id_path`` says otherwise.
     """
     source = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch) \
         .parquet(drop_dir)

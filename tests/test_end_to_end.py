@@ -31,3 +31,25 @@ def test_stored_files_table(spark, tmp_path):
     rows = spark.createDataFrame([("r", "a.py", bytearray(b"x"))], "repo string, rel_path string, content binary")
     rows.write.parquet(str(tmp_path / "files"))
     assert files_table(spark, str(tmp_path / "files")).columns == ["repo", "rel_path", "content"]
+
+
+def test_repositories_with_equal_paths_keep_their_ids(spark, tmp_path):
+    for repo in "xy":
+        (tmp_path / repo / "src").mkdir(parents=True)
+        (tmp_path / repo / "src" / "main.py").write_text("def main():\n    pass\n")
+    roots = [(repo, str(tmp_path / repo)) for repo in "xy"]
+    kind = "repo string, root string"
+    together = ingest_trees(spark.createDataFrame(roots, kind), str(tmp_path / "both")).collect()
+    for root in roots:
+        apart = ingest_trees(spark.createDataFrame([root], kind), str(tmp_path / "one"))
+    assert {(r.repo, r.node_id) for r in together} == {(r.repo, r.node_id) for r in apart.collect()}
+    assert len({r.node_id for r in together}) == 2 and {r.repo for r in together} == {"x", "y"}
+
+
+def test_empty_repository_is_an_empty_searchable_table(spark, tmp_path):
+    (tmp_path / "nothing").mkdir()
+    table = str(tmp_path / "table")
+    nodes = ingest_trees(spark.createDataFrame([("r", str(tmp_path / "nothing"))], "repo string, root string"), table)
+    assert nodes.count() == 0
+    queries = spark.createDataFrame([(1, "payment"), (2, "ab")], "qid bigint, query string")
+    assert search_stored(spark, table, queries).count() == 0

@@ -25,7 +25,7 @@ def test_round_trip_and_defaults(spark, tmp_path):
     assert r.get_node(stored, "child_1").first().child_nodes == []
     assert r.get_node(stored, "zzz").isEmpty() and r.get_node(stored, "").isEmpty()
     assert not r.append_nodes(spark.createDataFrame([], SCHEMA), path)
-    assert stored.columns == r.NODE_COLUMNS
+    assert stored.columns == r.STORED_COLUMNS
 
 
 def test_1500_ids(spark):
@@ -116,3 +116,11 @@ def test_profile_defaults(spark):
         ("none", "512m", 1.0, 30)
     assert first.environment_vars == {} and first.cpu_units == 100000
     assert second.cpu_units == int(0.299 * 100000)
+
+
+def test_a_fraction_is_no_integer(spark):
+    rows = spark.createDataFrame([(2.7, "a"), (3.0, "a"), (None, "a")], "retry_count double, mode string")
+    rules = r.RowRules(types={"retry_count": "int"}, defaults={"retry_count": 0})
+    got = r.validate_rows(rows, rules).collect()
+    assert [list(x.errors) for x in got] == [["retry_count: not int"], [], []]
+    assert [x.retry_count for x in got[1:]] == [3, 0]
