@@ -184,7 +184,7 @@ def _listed(member: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            sizes = pc.binary_length(batch.column(2)).to_numpy() // 8
+            sizes = pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) // 8
             edges = np.concatenate([[0], np.cumsum(sizes)])
             for low in range(0, batch.num_rows, 256):
                 high = min(low + 256, batch.num_rows)
