@@ -21,7 +21,7 @@ def _radius(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    return g.build_adjacency(v.edges(spark, sf), chunk_size=256).select(
+    return g.build_adjacency(v.edges(spark, sf)).select(
         "node_id", "role", "chunk", F.size("neighbours").cast("long").alias("n"),
         F.array_join("neighbours", ",").alias("neighbours"))
 
@@ -80,7 +80,7 @@ both_ends AS (
 deg AS (SELECT node_id, role, count(*) AS d FROM both_ends GROUP BY ALL),
 slotted AS (
   SELECT node_id, role, nbr_id,
-         CASE WHEN d > 256 THEN CAST('0x'||substr(md5(nbr_id),1,8) AS BIGINT) % CAST(ceil(d/256.0) AS BIGINT)
+         CASE WHEN d > 4096 THEN CAST('0x'||substr(md5(nbr_id),1,8) AS BIGINT) % CAST(ceil(d/4096.0) AS BIGINT)
               ELSE 0 END AS chunk
   FROM both_ends JOIN deg USING (node_id, role))
 SELECT node_id, role, chunk, count(*) AS n, string_agg(nbr_id, ',' ORDER BY nbr_id) AS neighbours

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symgrove.catalog import views as v
 from symgrove.operators import search as s
+from symgrove.operators.nodes import read_nodes, with_list_defaults
+from symgrove.plans.storage import append_indexed
+from symgrove.session import scratch_path
 
 
 def _normalized(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,6 +68,19 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(s.top_k(ranked, "q"), "q").select("qid", "node_id", "pos")
 
 
+def search_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """S11 on a stored table: nodes and index appended in two batches, then searched."""
+    path = scratch_path(spark, "search-table")
+    symbols = v.symbols(spark, sf)
+    rows = with_list_defaults(symbols.withColumns({
+        c: F.lit("").alias(c) for c in ("source_code", "language") if c not in symbols.columns}))
+    first = F.pmod(F.xxhash64("node_id"), F.lit(2)) == 0
+    for batch, part in (("1", rows.where(first)), ("2", rows.where(~first))):
+        append_indexed(part, path, batch)
+    index = s.read_index(spark, f"{path}/index")
+    return s.search_symbols(v.search_queries(spark, sf), read_nodes(spark, path), index=index)
+
+
 def attach_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return s.attach_metadata(top_k(spark, sf), v.symbols(spark, sf))
 
@@ -90,6 +106,7 @@ QUERIES = {
     "s_top_k": top_k,
     "s_attach_metadata": attach_metadata,
     "s_format_hit": format_hit,
+    "s_search_stored": search_stored,
     "s_search": search,
 }
 
@@ -112,6 +129,8 @@ SELECT node_id, qid, pos, symbol_name, node_type, file_path FROM best JOIN symbo
     "s_format_hit": f"""WITH {v.SQL_V5_MATCH}
 SELECT qid, node_id, symbol_name||' ['||upper(node_type)||']'||chr(10)||' ↳ '||file_path AS shown
 FROM hits JOIN symbols USING (node_id) WHERE pos <= 5""",
+    "s_search_stored": f"""WITH {v.SQL_V5_MATCH}
+SELECT qid, pos, node_id, symbol_name, node_type, file_path FROM hits JOIN symbols USING (node_id)""",
     "s_search": f"""WITH {v.SQL_V5_MATCH}
 SELECT qid, pos, node_id, symbol_name, node_type, file_path FROM hits JOIN symbols USING (node_id)""",
 }

@@ -33,12 +33,24 @@ def directed_edges(edges: DataFrame) -> DataFrame:
     return edges.select("caller_id", "callee_id").distinct().select(ends)
 
 
+def _edges_of(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """directed_edges() of some targets: each direction meets them before any edge is shuffled for being distinct.
+
+    What is distinct is dealt by whole edge, so a callee used everywhere stays
+    spread until the limit has cut it in every task.
+    """
+    ends = [
+        edges.select(F.col(near).alias("target_id"), F.lit(role).alias("role"), F.col(far).alias("nbr_id"))
+        .join(targets.select("target_id"), "target_id", "left_semi")
+        for role, near, far in (("child", "caller_id", "callee_id"), ("parent", "callee_id", "caller_id"))]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
 def build_adjacency(edges: DataFrame, chunk_size: int = 4096) -> DataFrame:
     """G1: neighbour arrays per node and role, both directions.
 
-    A node has one row per role while its degree is at most ``chunk_size``.
-    The lists of hotter nodes are spread over ``ceil(degree / chunk_size)``
-    rows by a hash of the neighbour id, so no task builds an unbounded array.
+    Every node's list is dealt over ``ceil(degree / chunk_size)`` rows by a
+    hash of the neighbour id, so no task builds an unbounded array.
     The few hot keys are copied to every salt and edges join on (key, salt):
     the edges of one hot key meet them in ``_SALTS`` tasks, not in one.
     """
@@ -71,9 +83,7 @@ def limit_neighbours(edges: DataFrame, children: int = CHILD_LIMIT,
     ``row_number() <= k`` lets Spark drop surplus rows before the shuffle, so
     a symbol called from everywhere sends at most k rows per map task.
     """
-    ends = directed_edges(edges)
-    if targets is not None:
-        ends = ends.join(targets.select("target_id").distinct(), "target_id", "left_semi")
+    ends = directed_edges(edges) if targets is None else _edges_of(edges, targets)
     w = W.partitionBy("target_id", "role").orderBy("nbr_id")
     cap = F.when(F.col("role") == "child", children).otherwise(parents)
     return (

@@ -86,9 +86,11 @@ def append_nodes(nodes: DataFrame, path: str, batch_id: str | None = None) -> bo
     return True
 
 
-def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """All appended nodes, none before the first; pruned by language when filtered on it."""
+def read_nodes(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
+    """All appended nodes, or one batch's; none before the first. Pruned by language when filtered on it."""
     stored = _stored(spark, path)
+    if stored is not None and batch_id is not None:
+        stored = stored.where(F.col("batch") == batch_id)
     return with_list_defaults(spark.createDataFrame([], _STORED) if stored is None else stored, STORED_COLUMNS)
 
 

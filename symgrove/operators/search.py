@@ -73,32 +73,51 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 # Given on reading, so that the index of an empty table reads as empty.
-_POSTINGS = "tri string, node_id string, s string, dl int, bucket int"
-_STATISTICS = "n_docs bigint, avgdl double"
+_POSTINGS = "tri string, node_id string, s string, dl int, batch string, bucket int"
+_STATISTICS = "n_docs bigint, sum_dl bigint, batch string"
+BUCKETS = 64
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = 64, salts: int = 8) -> None:
-    """Store postings and statistics for repeated searches.
+def _bucket(tri: Column) -> Column:
+    return F.pmod(F.hash(tri), F.lit(BUCKETS))
 
-    Postings are laid out by a bucket of the trigram and sorted by trigram
-    within files, so a search reads the row groups of its own trigrams. The
-    salt spreads a trigram found in many symbols over several write tasks.
+
+def write_index(docs: DataFrame, path: str, batch_id: str = "all", salts: int = 8) -> None:
+    """Store the postings and statistics of one batch of symbols; a replayed batch replaces itself.
+
+    Postings are laid out by a bucket of the trigram, so a search reads the
+    buckets of its own trigrams, and sorted by trigram within files. The salt
+    spreads a trigram found in many symbols over several write tasks.
     """
     (
         trigram_postings(docs)
-        .withColumn("bucket", F.pmod(F.hash("tri"), F.lit(buckets)))
+        .withColumn("bucket", _bucket(F.col("tri")))
         .withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(salts)))
         .repartition("bucket", "salt").drop("salt")
         .sortWithinPartitions("bucket", "tri")
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch_id}")
     )
-    corpus_stats(docs).write.mode("overwrite").parquet(f"{path}/stats")
+    docs.agg(F.count("*").alias("n_docs"), F.sum("dl").cast("bigint").alias("sum_dl")) \
+        .write.mode("overwrite").parquet(f"{path}/stats/batch={batch_id}")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics) of a stored index."""
-    return spark.read.schema(_POSTINGS).parquet(f"{path}/postings").drop("bucket"), \
-        spark.read.schema(_STATISTICS).parquet(f"{path}/stats")
+    """(postings with their bucket, statistics of all batches) of a stored index."""
+    stats = spark.read.schema(_STATISTICS).parquet(f"{path}/stats")
+    return spark.read.schema(_POSTINGS).parquet(f"{path}/postings").drop("batch"), \
+        stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), (F.sum("sum_dl") / F.sum("n_docs")).alias("avgdl"))
+
+
+def _join_postings(postings: DataFrame, asked: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """Postings of the trigrams asked for; of a stored index only their buckets are read."""
+    if "bucket" not in postings.columns:
+        return postings.join(hinted(asked, small), "tri", how)
+    asked = asked.withColumn("bucket", _bucket(F.col("tri")))
+    return postings.join(hinted(asked, small), ["bucket", "tri"], how)
+
+
+def _narrow(postings: DataFrame, *columns: str) -> DataFrame:
+    return postings.select(*columns, *[n for n in ("bucket",) if n in postings.columns])
 
 
 # --- S6, S7: matching and rank ---------------------------------------------------
@@ -108,8 +127,7 @@ def phrase_anchors(phrases: DataFrame, postings: DataFrame, small: bool = False)
     grams = phrases.select(
         "phrase", F.explode(F.array_distinct(t.ngrams(F.col("phrase"), MIN_GRAM))).alias("tri"))
     freq = (
-        postings.select("tri")
-        .join(hinted(grams.select("tri").distinct(), small), "tri", "left_semi")
+        _join_postings(_narrow(postings, "tri"), grams.select("tri").distinct(), small, "left_semi")
         .groupBy("tri").agg(F.count("*").alias("tri_df"))
     )
     rarity = F.struct(F.coalesce("tri_df", F.lit(0)).alias("tri_df"), "tri")
@@ -130,7 +148,7 @@ def document_frequency(anchors: DataFrame, postings: DataFrame,
                        small: bool = False) -> DataFrame:
     """(phrase, df): symbols that contain each phrase."""
     return (
-        postings.select("tri", "s").join(hinted(anchors.select("phrase", "tri"), small), "tri")
+        _join_postings(_narrow(postings, "tri", "s"), anchors.select("phrase", "tri"), small)
         .where(F.contains("s", "phrase")).groupBy("phrase").agg(F.count("*").alias("df"))
     )
 
@@ -152,7 +170,7 @@ def match_trigrams(texts: DataFrame, postings: DataFrame,
         .select("q", "a.tri", "tokens")
     )
     held = F.forall("tokens", lambda w: F.contains(F.col("s"), w))
-    return postings.join(hinted(plans, small), "tri").where(held).select("q", "node_id")
+    return _join_postings(postings, plans, small).where(held).select("q", "node_id")
 
 
 def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame,
@@ -186,7 +204,7 @@ def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame,
 
     rank = F.aggregate("tokens", F.lit(0.0), lambda acc, w: acc - score(w))
     return (
-        postings.join(hinted(plans, small), "tri").where(held).withColumn("avgdl", avgdl)
+        _join_postings(postings, plans, small).where(held).withColumn("avgdl", avgdl)
         .select("q", "node_id", rank.alias("rank"))
     )
 

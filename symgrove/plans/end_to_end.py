@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from symgrove.constants import MAX_TOKENS, SEARCH_LIMIT
 from symgrove.operators import context as g
 from symgrove.operators.files import split_readable
-from symgrove.operators.nodes import append_nodes, read_nodes
-from symgrove.operators.search import read_index, search_symbols, symbol_docs, write_index
+from symgrove.operators.nodes import read_nodes
+from symgrove.operators.search import read_index, search_symbols
 from symgrove.operators.symbols import symbol_nodes
+from symgrove.plans.storage import append_indexed
 from symgrove.sources.tree import scan_files
 
 
@@ -27,11 +28,9 @@ def ingest_trees(roots: DataFrame, path: str, extended: bool = False,
     spark = roots.sparkSession
     batch_id = batch_id or uuid.uuid4().hex
     files, unreadable = split_readable(scan_files(roots))
-    append_nodes(symbol_nodes(files, ("repo", "rel_path"), extended, id_path), path, batch_id)
+    append_indexed(symbol_nodes(files, ("repo", "rel_path"), extended, id_path), path, batch_id)
     unreadable.write.mode("overwrite").parquet(f"{path}/unreadable/batch={batch_id}")
-    nodes = read_nodes(spark, path)
-    write_index(symbol_docs(nodes), f"{path}/index")
-    return nodes
+    return read_nodes(spark, path)
 
 
 def search_stored(spark: SparkSession, path: str, queries: DataFrame,

@@ -22,12 +22,15 @@ SETTINGS = {
 }
 
 
-def build_session(name: str = "symgrove", cores: int = 8, **extra: str) -> SparkSession:
-    """A local session with the settings the operators are tuned for."""
-    builder = (
-        SparkSession.builder.master(f"local[{cores}]").appName(name)
-        .config("spark.sql.shuffle.partitions", str(cores))
-    )
+def build_session(name: str = "symgrove", cores: int | None = 8, **extra: str) -> SparkSession:
+    """A session with the settings the operators are tuned for.
+
+    With cores it is a local one with as many shuffle partitions; without,
+    master, partitions and resources are those that the job was submitted with.
+    """
+    builder = SparkSession.builder.appName(name)
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(cores))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -36,11 +39,15 @@ def build_session(name: str = "symgrove", cores: int = 8, **extra: str) -> Spark
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where that setting is unset, as in a
-    local test session.
+    Where that setting is unset a machine-local folder is made in a local
+    session, as in tests; on a cluster no such folder would be shared, so that
+    is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="symgrove-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")

@@ -1,4 +1,4 @@
-"""files that arrive in a folder become stored nodes."""
+"""files that arrive in a folder become stored, searchable nodes."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from symgrove.operators.files import map_language, prune_dirs
-from symgrove.operators.nodes import append_nodes
 from symgrove.operators.symbols import symbol_nodes
+from symgrove.plans.storage import append_indexed
 from symgrove.schemas import FILES
 
 
@@ -24,7 +24,7 @@ def ingest_stream(spark: SparkSession, drop_dir: str, nodes_path: str, checkpoin
 
     def store(batch: DataFrame, batch_id: int) -> None:
         files = map_language(prune_dirs(batch))
-        append_nodes(symbol_nodes(files, key, id_path=id_path), nodes_path, str(batch_id))
+        append_indexed(symbol_nodes(files, key, id_path=id_path), nodes_path, str(batch_id))
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

@@ -81,7 +81,7 @@ def test_all_hits_and_ranks(spark, sqlite_search, small):
 
 def test_search_order_and_stored_index(spark, sqlite_search, tmp_path):
     nodes, queries = _nodes(spark), _queries(spark)
-    s.write_index(s.symbol_docs(nodes), str(tmp_path), buckets=4, salts=2)
+    s.write_index(s.symbol_docs(nodes), str(tmp_path), salts=2)
     index = s.read_index(spark, str(tmp_path))
     for found in (s.search_symbols(queries, nodes, 5), s.search_symbols(queries, nodes, 5, index)):
         got = {}
