@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symgrove.catalog import views as v
+from symgrove.functions.text import size_columns
 from symgrove.operators import context as g
 
 
@@ -60,6 +61,21 @@ def prune_context(spark: SparkSession, sf: str) -> DataFrame:
     return g.prune_context(_radius(spark, sf), _sizes(spark, sf), v.BUDGET)
 
 
+def limit_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """G2 on arrays filled from the edges with room to spare."""
+    wide = g.limit_neighbours(v.edges(spark, sf), children=40, parents=40)
+    return g.limit_stored_neighbours(g.fill_neighbours(v.symbols(spark, sf), wide))
+
+
+def prune_context_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """G9 for some targets: every supplier's symbol."""
+    nodes = v.nodes(spark, sf).withColumns(size_columns())
+    targets = v.symbols(spark, sf).where("node_id LIKE 'supp:%'").select(F.col("node_id").alias("target_id"))
+    sizes = g.count_tokens(nodes)
+    radius = g.blast_radius(g.limit_neighbours(v.edges(spark, sf), targets=targets), sizes)
+    return g.prune_context(radius, sizes, v.BUDGET, targets)
+
+
 QUERIES = {
     "g_adjacency": adjacency,
     "g_limit_neighbours": limit_neighbours,
@@ -70,6 +86,8 @@ QUERIES = {
     "g_pack_parents": pack_parents,
     "g_prune_stats": prune_stats,
     "g_prune_context": prune_context,
+    "g_limit_stored": limit_stored,
+    "g_prune_context_targets": prune_context_targets,
 }
 
 ORACLES = {
@@ -111,4 +129,11 @@ FROM sizes s LEFT JOIN k ON k.target_id = s.node_id LEFT JOIN a ON a.target_id =
 SELECT node_id AS target_id, 'target' AS role, 0 AS rank, node_id, n_tok AS tokens FROM sizes
 UNION ALL SELECT target_id, role, rank, nbr_id, n_tok FROM kids
 UNION ALL SELECT target_id, role, rank, nbr_id, n_tok FROM pars""",
+    "g_limit_stored": f"""WITH {v.SQL_V1_RADIUS}
+SELECT target_id, role, nbr_id, CAST(pos AS INT) AS pos FROM lim WHERE target_id IN (SELECT node_id FROM symbols)""",
+    "g_prune_context_targets": f"""WITH {v.SQL_V1_PACK},
+x AS (SELECT node_id AS target_id, 'target' AS role, 0 AS rank, node_id, n_tok AS tokens FROM sizes
+UNION ALL SELECT target_id, role, rank, nbr_id, n_tok FROM kids
+UNION ALL SELECT target_id, role, rank, nbr_id, n_tok FROM pars)
+SELECT * FROM x WHERE starts_with(target_id, 'supp:')""",
 }

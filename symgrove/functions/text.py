@@ -58,3 +58,13 @@ def occurrences(text: Column, phrase: Column) -> Column:
     second = F.call_function("locate", phrase, text, F.call_function("locate", phrase, text) + 1)
     return F.when(second == 0, 1).otherwise(F.size(F.filter(
         starts, lambda i: F.substring(text, i, F.length(phrase)) == phrase)))
+
+
+def default_token_count(text: Column) -> Column:
+    """Token estimate used where no counter or token column is given."""
+    return F.ceil(F.length(text) / F.lit(4.0)).cast("long")
+
+
+def size_columns() -> dict[str, Column]:
+    """n_len and n_tok of a node's source text."""
+    return {"n_len": F.length("source_code").cast("long"), "n_tok": default_token_count(F.col("source_code"))}

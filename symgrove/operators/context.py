@@ -12,16 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from symgrove.constants import CHILD_LIMIT, MAX_TOKENS, PARENT_LIMIT
+from symgrove.functions.text import default_token_count
 
 TokenCounter = Callable[[Column], Column]
 _SALTS = 64
 
 
-def default_token_count(text: Column) -> Column:
-    """Token estimate used where no counter or token column is given."""
-    return F.ceil(F.length(text) / F.lit(4.0)).cast("long")
-
-
 def directed_edges(edges: DataFrame) -> DataFrame:
     """Distinct edges seen from both ends: (target_id, role, nbr_id)."""
     ends = F.inline(F.array(
@@ -108,9 +104,27 @@ def limit_stored_neighbours(nodes: DataFrame, children: int = CHILD_LIMIT,
     return parts[0].unionByName(parts[1])
 
 
+def fill_neighbours(nodes: DataFrame, limited: DataFrame) -> DataFrame:
+    """Nodes with child_nodes and parent_nodes from limited neighbours, which bound the arrays."""
+    def ids(role: str) -> Column:
+        held = F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("pos", "nbr_id"))))
+        return F.transform(held, lambda x: x.nbr_id)
+
+    lists = limited.groupBy(F.col("target_id").alias("node_id")).agg(
+        ids("child").alias("child_nodes"), ids("parent").alias("parent_nodes"))
+    empty = F.array().cast("array<string>")
+    return nodes.drop("child_nodes", "parent_nodes").join(lists, "node_id", "left").withColumns(
+        {n: F.coalesce(n, empty) for n in ("child_nodes", "parent_nodes")})
+
+
 def count_tokens(nodes: DataFrame, counter: TokenCounter = default_token_count,
                  token_column: str | None = None) -> DataFrame:
-    """(node_id, n_len, n_tok), the only facts packing needs of a node."""
+    """(node_id, n_len, n_tok), the only facts packing needs of a node.
+
+    Stored nodes carry both, so their text is only read for another counter.
+    """
+    if {"n_len", "n_tok"} <= set(nodes.columns) and counter is default_token_count and not token_column:
+        return nodes.select("node_id", "n_len", "n_tok")
     tokens = F.col(token_column) if token_column else counter(F.col("source_code"))
     return nodes.select("node_id", F.length("source_code").cast("long").alias("n_len"),
                         tokens.cast("long").alias("n_tok"))

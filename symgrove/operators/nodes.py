@@ -8,14 +8,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from symgrove import constants as c
+from symgrove.functions.text import size_columns
 from symgrove.schemas import CODE_NODES, SEARCH_COLUMNS
 from symgrove.session import scratch_path
 
 NODE_COLUMNS = CODE_NODES.fieldNames()
 _LIST = "array<string>"
-STORED_COLUMNS = [*NODE_COLUMNS, "repo"]
-_STORED = T.StructType([*CODE_NODES.fields, T.StructField("repo", T.StringType()),
-                        T.StructField("batch", T.StringType())])
+# Beside the node: its repository, and the two facts that packing needs of its text.
+STORED_COLUMNS = [*NODE_COLUMNS, "repo", "n_len", "n_tok"]
+_STORED = T.StructType([
+    *CODE_NODES.fields, T.StructField("repo", T.StringType()), T.StructField("n_len", T.LongType()),
+    T.StructField("n_tok", T.LongType()), T.StructField("batch", T.StringType())])
 
 
 def with_list_defaults(nodes: DataFrame, columns: list[str] = NODE_COLUMNS) -> DataFrame:
@@ -24,8 +27,9 @@ def with_list_defaults(nodes: DataFrame, columns: list[str] = NODE_COLUMNS) -> D
     for name in ("child_nodes", "parent_nodes"):
         empty = F.array().cast(_LIST)
         lists[name] = F.coalesce(F.col(name), empty) if name in nodes.columns else empty
-    if "repo" in columns and "repo" not in nodes.columns:
-        lists["repo"] = F.lit(None).cast("string")
+    if "repo" in columns:
+        sizes = {n: F.col(n) if n in nodes.columns else size for n, size in size_columns().items()}
+        lists |= sizes | ({} if "repo" in nodes.columns else {"repo": F.lit(None).cast("string")})
     return nodes.withColumns(lists).select(*columns)
 
 
