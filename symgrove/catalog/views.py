@@ -172,10 +172,10 @@ SQL_V5_MATCH = SQL_V1 + "," + SQL_V5 + """,
 doc AS (SELECT node_id, lower(symbol_name) AS s, greatest(length(symbol_name)-2, 0) AS dl FROM symbols),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM doc),
 ph AS (
-  SELECT qid, i AS phrase_no, p[i] AS phrase
-  FROM (SELECT qid, regexp_extract_all(q, '[\\p{L}\\p{N}_]+') AS p FROM live WHERE length(q) >= 3),
-       range(1, 50) r(i)
-  WHERE i <= len(p) AND length(p[i]) >= 3),
+  SELECT * FROM (
+    SELECT qid, generate_subscripts(p, 1) AS phrase_no, unnest(p) AS phrase
+    FROM (SELECT qid, regexp_extract_all(q, '[\\p{L}\\p{N}_]+') AS p FROM live WHERE length(q) >= 3))
+  WHERE length(phrase) >= 3),
 tf AS (
   SELECT qid, phrase_no, node_id, dl,
          len(list_filter(range(1, CAST(length(s) AS BIGINT)+1),

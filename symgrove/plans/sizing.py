@@ -25,5 +25,5 @@ def hinted(df: DataFrame, small: bool) -> DataFrame:
 
 
 def gathered(df: DataFrame, small: bool) -> DataFrame:
-    """A measured small table in one partition, so that grouping it needs no shuffle."""
-    return df.coalesce(1) if small else df
+    """A measured small table in one partition, so that grouping it needs no shuffle; its scan stays spread."""
+    return df.repartition(1) if small else df
