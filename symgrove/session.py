@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_ARCHIVE = "symgrove-package.zip"
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -33,7 +37,21 @@ def build_session(name: str = "symgrove", cores: int | None = 8, **extra: str) -
         builder = builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(cores))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    if any(path.endswith(f"/{_ARCHIVE}") for path in spark.sparkContext.listFiles):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="symgrove-")) / _ARCHIVE
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
