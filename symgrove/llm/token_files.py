@@ -122,6 +122,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
             index.close()
             index_stream.close()
             for draft, name in zip(drafts, names):
+                if system.get_file_info(name).type != fs.FileType.NotFound:      # of an attempt that was lost later
+                    system.delete_file(name)
                 system.move(draft, name)
             yield pa.RecordBatch.from_pylist([{
                 "part": part, "tokens": names[0].rsplit("/", 1)[1], "documents": names[1].rsplit("/", 1)[1],
