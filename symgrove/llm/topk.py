@@ -35,8 +35,9 @@ SHARD_ROWS = 1024
 MOST_SMALL_SHARDS = 64
 LARGE_SHARD_ROWS = 1 << 20
 SEGMENTS = (1, 4, 16)
-# Pairs whose exact products are computed at a time.
+# Pairs whose exact products are computed at a time; share of pairs above which all of a block are multiplied at once.
 PAIRS = 1 << 17
+DENSE = 0.05
 
 
 def _blocks(rows: int):
@@ -75,10 +76,14 @@ def statistics(table: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(columns, axis=1) if columns else np.zeros((len(table), 1))
 
 
+def _in_doubles(q: np.ndarray, x: np.ndarray) -> bool:
+    """True if sums of products stay below 2^53, where doubles hold every integer."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1) < 2.0**53
+
+
 def _exact(q: np.ndarray, x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Integer products of the pairs (rows, columns)."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
-    kind = np.float64 if most < 2.0**53 else np.int64            # doubles are exact below 2^53
+    kind = np.float64 if _in_doubles(q, x) else np.int64
     found = [np.einsum("ij,ij->i", q[rows[i:i + PAIRS]].astype(kind), x[columns[i:i + PAIRS]].astype(kind))
              for i in range(0, len(rows), PAIRS)]
     return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
@@ -104,34 +109,34 @@ class _Best:
 
 
 def search_block(query: tuple[np.ndarray, np.ndarray], block: tuple[np.ndarray, np.ndarray], best: _Best) -> int:
-    """Add a block's vectors to the best of a query block; returns how many exact products it took."""
+    """Add a block's vectors to the best of a query block; returns how many survivors' products it took."""
     (query_ids, q), (ids, x) = query, block
-    bound = statistics(q, SEGMENTS[0]) @ statistics(x, SEGMENTS[0]).T
-    own = query_ids[:, None] == ids[None, :]
-    bound[own] = -np.inf
-    threshold = best.threshold
-    rows, columns = np.nonzero(bound >= _least(threshold)[:, None])
-    real = ~own[rows, columns]
-    rows, columns = rows[real], columns[real]
-    bounds = bound[rows, columns]
-    for level, segments in enumerate(SEGMENTS):
-        if level:
-            a, b = statistics(q, segments), statistics(x, segments)
-            if len(rows) * 4 > len(q) * len(ids):
-                bounds = (a @ b.T)[rows, columns]
-            else:
-                bounds = np.concatenate([np.einsum("ij,ij->i", a[rows[i:i + PAIRS]], b[columns[i:i + PAIRS]])
-                                         for i in range(0, len(rows), PAIRS)] or [np.zeros(0)])
+    threshold, k = best.threshold, min(best.k, len(ids))
+    alive = query_ids[:, None] != ids[None, :]
+    for segments in SEGMENTS:
+        a, b = statistics(q, segments), statistics(x, segments)
+        if alive.mean() > DENSE:
+            bound = np.where(alive, a @ b.T, -np.inf)
+        else:
+            rows, columns = np.nonzero(alive)
+            bound = np.full(alive.shape, -np.inf)
+            bound[rows, columns] = np.einsum("ij,ij->i", a[rows], b[columns])
         # The vectors that look best at this resolution raise the threshold.
-        order = np.lexsort((-bounds, rows))
-        rank = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
-        probes = order[rank < best.k]
+        columns = np.argpartition(bound, len(ids) - k, axis=1)[:, len(ids) - k:].ravel()
+        rows = np.repeat(np.arange(len(q)), k)
+        real = alive[rows, columns]
+        rows, columns = rows[real], columns[real]
         trial = _Best(len(q), best.k)
-        trial.add(rows[probes], ids[columns[probes]], _exact(q, x, rows[probes], columns[probes]))
+        trial.add(rows, ids[columns], _exact(q, x, rows, columns))
         threshold = np.maximum(threshold, trial.threshold)
-        alive = bounds >= _least(threshold)[rows]
-        rows, columns = rows[alive], columns[alive]
-    best.add(rows, ids[columns], _exact(q, x, rows, columns))
+        alive &= bound >= _least(threshold)[:, None]
+    rows, columns = np.nonzero(alive)
+    if alive.mean() > DENSE and _in_doubles(q, x):
+        scores = (q.astype(np.float64) @ x.T.astype(np.float64))[rows, columns].astype(np.int64)
+    else:
+        scores = _exact(q, x, rows, columns)
+    reach = scores >= threshold[rows]
+    best.add(rows[reach], ids[columns[reach]], scores[reach])
     return len(rows)
 
 
