@@ -116,9 +116,9 @@ def unit_bigrams(chunks: DataFrame, top: dict[bytes, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(tally[pairs])], names=["pair", "n"])
 
     counted = chunks.select("train", "first", "words", "codes").mapInArrow(count, "pair long, n long")
-    found = counted.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = counted.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(UNITS * UNITS)
-    table[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    table[found["pair"].to_numpy()] = found["n"].to_numpy()
     return table.reshape(UNITS, UNITS)
 
 
