@@ -180,3 +180,39 @@ def test_exchange_finds_alternating_classes():
     table[np.ix_(verbs, nouns)] = draw.integers(1, 9, (20, 20))
     of = class_lm.exchange(table, classes=7, rounds=20)
     assert not set(of[nouns]) & set(of[verbs]) and of[0] == 0
+
+
+def test_words_beyond_the_top_are_clustered_themselves(spark):
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(3)
+    # Nouns and verbs alternate and all end alike; 640 of each are frequent, twenty of each rare.
+    nouns, verbs = ([f"{kind}{i:03d}xyz" for i in range(660)] for kind in "nv")
+    share = np.array([2.0] * 520 + [1.0] * 120 + [0.01] * 20)
+    texts = [" ".join(w for pair in zip(draw.choice(nouns, 10, p=share / share.sum()), draw.choice(verbs, 10, p=share / share.sum())) for w in pair)
+             for _ in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    chunks = class_lm.chunked(docs, "doc_id", "text", F.col("doc_id") % 5 != 0).cache()
+    counts = class_lm.word_counts(chunks)
+    model = class_lm.fit(chunks, counts)
+    known = {bytes(r["word"]).decode(): (r["c"], r["class"]) for r in model.known.collect()}
+    trained = Counter(t for i, text in enumerate(texts) if i % 5 for t in text.split())
+    assert {w: c for w, (c, _) in known.items() if w != "\n"} == trained
+    frequent = {w for w, c in trained.items() if c >= class_lm.LEAST}
+    assert len(frequent) > 1200 > class_lm.TOP_WORDS and {w for w, (_, k) in known.items() if k is not None} == frequent
+    of = [{known[w][1] for w in frequent if w[0] == kind} for kind in "nv"]
+    assert not of[0] & of[1]
+    # Transitions and class counts come from the classes of all words, and probabilities sum to one.
+    assert model.class_tokens.sum() == sum(c for c, _ in known.values()) == model.tokens
+    kind = {w: k for w, (_, k) in known.items()}
+    pool = int(model.class_of[class_lm.units_of([b"n659xyz"], {})[0]])
+    want = np.zeros((class_lm.CLASSES, class_lm.CLASSES))
+    for i, text in enumerate(texts):
+        if i % 5:
+            path = [0, *[pool if kind.get(w) is None else kind[w] for w in text.split()], 0]
+            np.add.at(want, (path[:-1], path[1:]), 1)
+    assert (class_lm.class_bigrams(model.told) == want).all()
+    scored = class_lm.score(model).collect()
+    assert len(scored) == len(texts)
+    held = [r for r in scored if not r["train"]]
+    assert sum(r["score"] - r["base_score"] for r in held) > 0.2 * sum(r["n_tokens"] for r in held)
