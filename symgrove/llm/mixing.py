@@ -10,9 +10,12 @@ a walk that holds three at a time leaves two at most (the landing problem).
 
 A source is walked in chunks of CHUNK documents chosen by hash, whatever its
 size; what the chunks leave is walked again in chunks, level by level, until a
-source has one chunk. Its last two documents are landed so that the words
-miss the target least, and TURNS others at most are turned over where that
-brings the words nearer. Only keys and sizes take part, never texts.
+source has one chunk, whatever the other sources have. Its last two documents
+are landed so that the words miss the target least, and TURNS others at most
+are turned over where that brings the words nearer: any of a source of one
+chunk, and of a larger one settled documents that each chunk hands on with
+those it leaves, HELD for 0 and for 1 of each power of two of words, the
+largest first. Only keys and sizes take part, never texts.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null
 source is a source of its own, last in order; rows equal in key, source and
@@ -38,6 +41,8 @@ MOST = 2.0
 CHUNK = 2000
 # Settled documents that the landing of a source may turn over.
 TURNS = 12
+# Settled documents that a chunk hands on for that, of each outcome and power of two of words.
+HELD = 2
 TINY = 1e-9
 
 
@@ -90,17 +95,18 @@ def flight(part: np.ndarray, count: np.ndarray, size: np.ndarray, draw: np.rando
         held = [i for i in held if 0 < part[i] < 1]
 
 
-def landing(part: np.ndarray, count: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def landing(part: np.ndarray, count: np.ndarray, size: np.ndarray, wanted: np.ndarray, held: np.ndarray | bool = False) -> np.ndarray:
     """Settle the last undecided documents, then turn over few others, so that the words are near what was wanted.
 
-    part: after the walk; wanted: the probabilities before it, whose documents may be turned.
+    part: after the walk; wanted: the probabilities before it, whose documents may be turned, as may held ones,
+    which were settled before.
     """
     part, open_ = part.copy(), np.flatnonzero((part > 0) & (part < 1))
     if len(open_):
         ways = np.array(np.meshgrid(*[[0.0, 1.0]] * len(open_))).reshape(len(open_), -1).T
         moved = ways - part[open_]
         part[open_] = ways[min(range(len(ways)), key=lambda i: (abs(moved[i] @ size[open_]), abs(moved[i] @ count[open_]), i))]
-    free = (wanted > TINY) & (wanted < 1 - TINY)
+    free = (wanted > TINY) & (wanted < 1 - TINY) | held
     for _ in range(TURNS):
         off = (part - wanted) @ size
         after = np.where(free, np.abs(off + (1 - 2 * part) * size), np.inf)
@@ -111,36 +117,46 @@ def landing(part: np.ndarray, count: np.ndarray, size: np.ndarray, wanted: np.nd
     return part
 
 
-def _walk(level: int, last: bool):
+def _handed_on(part: np.ndarray, size: np.ndarray, wanted: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which settled documents stay held, by size descending: HELD of each outcome and power of two of words."""
+    free = ((wanted > TINY) & (wanted < 1 - TINY) | held) & ((part == 0) | (part == 1)) & (size > 0)
+    kinds = pd.DataFrame({"free": free, "part": part, "power": np.frexp(size)[1]})
+    return free & (kinds.groupby(["free", "part", "power"]).cumcount() < HELD).to_numpy()
+
+
+def _walk(level: int):
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["words", "order"], ascending=[False, True], kind="stable")
         name = f"{level}:{group['source'].iloc[0]}:{group['chunk'].iloc[0]}"
         count, size = group["rows"].to_numpy(float), group["words"].to_numpy(float)
-        wanted = group["part"].to_numpy(float)
+        wanted, held = group["part"].to_numpy(float), group["held"].to_numpy(bool)
         part = flight(wanted, count, size, np.random.default_rng(zlib.crc32(name.encode())))
-        return group.assign(part=landing(part, count, size, wanted) if last else part)
+        if group["last"].iloc[0]:
+            return group.assign(part=landing(part, count, size, wanted, held), held=False)
+        return group.assign(part=part, held=_handed_on(part, size, wanted, held))
 
     return walk
 
 
 def decisions(units: DataFrame) -> DataFrame:
     """units with part settled to 0 or 1: (key, source, size, rows, words, part, order, ...)."""
-    schema = units.withColumn("chunk", F.lit(0).cast("bigint")).schema
-    open_, settled, level = units, [], 0
+    undecided = (F.col("part") > TINY) & (F.col("part") < 1 - TINY)
+    open_ = units.where(undecided).withColumn("held", F.lit(False))
+    schema = open_.withColumn("chunk", F.lit(0).cast("bigint")).withColumn("last", F.lit(False)).schema
+    settled, level = [units.where(~undecided).withColumn("part", F.round("part"))], 0
     while True:
-        counts = stored(open_.groupBy("source").agg(F.count("*").alias("n_open")), "open-units")
+        counts = stored(open_.groupBy("source").agg(F.count_if(undecided).alias("n_open")), "open-units")
         most = counts.agg(F.max("n_open")).first()[0] or 0
-        last = most <= CHUNK
         chunks = F.greatest(F.ceil(F.col("n_open") / CHUNK), F.lit(1))
         named = counts.select(F.col("source").alias("name"), "n_open")
         dealt = (open_.join(named, F.col("source").eqNullSafe(F.col("name")))
-                 .withColumn("chunk", F.pmod(F.xxhash64("order", F.lit(level)), chunks)).select(*schema.names))
-        walked = stored(dealt.groupBy("source", "chunk").applyInPandas(_walk(level, last), schema), "walked-units").drop("chunk")
-        if last:
-            settled.append(walked)
+                 .withColumn("chunk", F.pmod(F.xxhash64("order", F.lit(level)), chunks))
+                 .withColumn("last", F.col("n_open") <= CHUNK).select(*schema.names))
+        walked = stored(dealt.groupBy("source", "chunk").applyInPandas(_walk(level), schema), "walked-units").drop("chunk", "last")
+        settled.append(walked.where("part IN (0, 1) AND NOT held").drop("held"))
+        if most <= CHUNK:
             break
-        settled.append(walked.where("part = 0 OR part = 1"))
-        open_, level = walked.where("part > 0 AND part < 1"), level + 1
+        open_, level = walked.where("part NOT IN (0, 1) OR held"), level + 1
     done = settled[0]
     for more in settled[1:]:
         done = done.union(more)

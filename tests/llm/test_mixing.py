@@ -94,3 +94,21 @@ def test_odd_rows(make_docs, odd_rows):
     assert repeated.count() == sum(r["copies"] for r in rows)
     assert mixing.mix(make_docs([])).count() == 0
     assert mixing.mix(make_docs([{**odd_rows[0]}, {**odd_rows[1]}])).select("taken").distinct().collect()[0][0] == 0
+
+
+def test_small_source_with_a_long_document_beside_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    draw = np.random.default_rng(11)
+    data = [(i, int(draw.integers(1, 60)), "hot") for i in range(3000)] + [(3000, 900, "hot")]
+    data += [(4000 + i, int(draw.integers(1, 150)), f"small{i % 4}") for i in range(160)]
+    data += [(5000 + i, 1100, f"small{i}") for i in range(4)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in data], "doc_id bigint, text string, source string")
+    for share in (0.1, 1.1):        # the small sources take a part of their documents; the hot one does
+        rows = mixing.mix(docs, share=share).withColumnRenamed("size", "words").collect()
+        assert len(rows) == len(data)
+        taken, target = defaultdict(int), {}
+        for r in rows:
+            assert 0 <= r["copies"] <= 2
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - target[s]) <= 3 for s in taken), {s: (taken[s], target[s]) for s in taken}
