@@ -8,8 +8,9 @@ length at which at least half of them are known: four characters, then three,
 two and one. The language of the largest sum wins, and the score is its share
 among all.
 
-The sample holds the share SAMPLE_ROWS / rows of the labelled rows, chosen by hash;
-counting it is a Spark job, and only the WORDS most frequent words and the
+The sample holds of each language's distinct texts, chosen by hash, its share of
+SAMPLE_ROWS or LANG_ROWS, whichever is more (all texts if it has fewer), so a
+rare language is learned whatever the size of the others; counting it is a Spark job, and only the WORDS most frequent words and the
 GRAMS most frequent n-grams are fetched. Scoring is one pass over whole texts.
 
 Defined results: a null text or one without a letter, and every text if
@@ -32,6 +33,8 @@ from symgrove.llm.tables import stored
 from symgrove.llm.words import coded_words, text_slices
 
 SAMPLE_ROWS = 20_000
+# Texts that a language has in the sample at least, about, if it has as many.
+LANG_ROWS = 2_000
 WORDS = 60_000
 GRAMS = 60_000
 LENGTHS = (4, 3, 2, 1)
@@ -117,16 +120,19 @@ def _logs(best: DataFrame, name: str, totals: dict[str, int], languages: list[st
     return number, np.log((table + ALPHA) / (whole + ALPHA * max(len(rows), 1)))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from the rows with a language; order_by only chooses which rows are the sample."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = known.count()
-    if not rows:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, lang_rows: int = LANG_ROWS) -> Model:
+    """Learn from the rows with a language."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text), F.lit("langid")).alias("hash"))
+    # A share by hash of the text: copies teach once, and they neither fill the sample nor shrink it.
+    sizes = stored(known.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")), "langid-sizes")
+    texts = sizes.agg(F.sum("n")).first()[0]
+    if not texts:
         return Model()
-    # A share by hash of the row; repeated rows teach once, so they can't fill the sample.
-    share = min(1.0, sample_rows / rows)
-    chosen = F.pmod(F.xxhash64(F.col(order_by), F.col(text), F.lit("langid")), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample = stored(known.where(chosen).select(F.col(text).alias("text"), F.col(lang).alias("lang")).distinct(), "langid-sample")
+    wanted = F.greatest(F.col("n") * F.lit(sample_rows / texts), F.lit(float(lang_rows))) / F.col("n")
+    shares = sizes.select("lang", F.when(wanted < 1, F.floor(wanted * F.lit(1 << 40))).otherwise(1 << 40).alias("below"))
+    chosen = known.join(F.broadcast(shares), "lang").where(F.pmod("hash", F.lit(1 << 40)) < F.col("below"))
+    sample = stored(chosen.select("text", "lang").distinct(), "langid-sample")
     counts = stored(_counted(sample), "langid-counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)

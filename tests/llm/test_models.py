@@ -216,3 +216,17 @@ def test_words_beyond_the_top_are_clustered_themselves(spark):
     assert len(scored) == len(texts)
     held = [r for r in scored if not r["train"]]
     assert sum(r["score"] - r["base_score"] for r in held) > 0.2 * sum(r["n_tokens"] for r in held)
+
+
+def test_rare_language_is_learned_beside_large_ones(spark):
+    data = [(i, f"the thing number n{i} with three thorns", "en") for i in range(20_000)]
+    data += [(20_000 + i, "this same copy again and again", "en") for i in range(5000)]
+    data += [(30_000 + i, f"der schnee schmilzt schnell k{i}", "de") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(4)
+    model = langid.fit(docs, sample_rows=100)
+    assert model.languages == ["de", "en"]
+    tests = spark.createDataFrame([("schnee schmilzt", "de"), ("three thorns", "en")], "text string, want string")
+    assert all(r["lang_pred"] == r["want"] for r in langid.predict(tests, model).collect())
+    # All of the rare language, about LANG_ROWS of the other.
+    words = dict(zip(model.words, model.word_logs))
+    assert words["schnee"][0] > words["schnee"][1] and words["thorns"][1] > words["thorns"][0]
