@@ -118,7 +118,7 @@ def encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray, coder: _Encoder, special: bool) -> np.ndarray:
+def cuts(data: np.ndarray, offsets: np.ndarray, coder: _Encoder, special: bool) -> np.ndarray:
     """Where pieces begin, rows' beginnings among them, and the end."""
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
@@ -140,7 +140,7 @@ def encoded(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int,
     coder = encoder(path)
     for begin, end, data, offsets in text_slices(texts, SLICE_BYTES):
         special = any(s in data.tobytes() for s in coder.special)
-        where = _cuts(data, offsets, coder, special)
+        where = cuts(data, offsets, coder, special)
         coded = binary_array(data, where).dictionary_encode()
         numbers, bounds, flat = coder.pieces(coded.dictionary.to_pylist(), special)
         # A row is its pieces and one end mark, which is the last of the lists.

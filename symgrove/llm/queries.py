@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from symgrove.llm import (
-    class_lm, exact_dedup, langid, mixing, near_dups, packing, token_files, topk, toxicity, url_filter)
+    class_lm, conversations, exact_dedup, langid, merkle, mixing, near_dups, packing, token_counts, token_files, topk,
+    toxicity, url_filter)
+from symgrove.llm.sql import OP11_SQL, OP13_SQL
 from symgrove.llm.words import fold
 from symgrove.session import scratch_path
 
@@ -124,9 +126,64 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def _fold_key(*parts: Column) -> Column:
+    """Unsigned crc32 of the parts, joined by colons."""
+    return F.crc32(F.concat_ws(":", *parts).cast("binary"))
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fields = [F.translate("text", upper, upper.lower()) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf_hash(fields))
+    rows = merkle.manifest(docs, carried={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("siblings"),
+                         [(F.col("place"), F.col("n")), (F.col("tree_place"), F.col("trees"))])
+    return rows.select("doc_id", "leaf", "subroot", "root",
+                       F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"),
+                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text of the rows that are left, by the crc32 of conversation and turn."""
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    kind = F.col("kind")
+    return (rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (_fold_key(*name) % 20).alias("kind"))
+            .where(kind != 0)
+            .select("conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+                    F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", ""))
+                    .otherwise(F.col("text")).alias("text"),
+                    F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy"))
+            .drop("copy"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    found, lines = conversations.repair(damaged(rows))
+    # Turns of the rows that are left; a conversation that lost all of them stays in the result.
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    left = F.when(_fold_key(*name) % 20 != 0, F.col("turn"))
+    every = rows.groupBy("conv_id").agg(conversations.gaps(left).alias("gaps"))
+    repaired = found.join(conversations.digests(lines).withColumnRenamed("conv", "_conv"),
+                          F.col("conv").eqNullSafe(F.col("_conv"))).drop("_conv")
+    counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(repaired, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", "gaps", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter, "op2_top_k": op2_top_k, "op3_language": op3_language, "op4_mix": op4_mix,
     "op5_exact_dedup": op5_exact_dedup, "op6_token_files": op6_token_files, "op7_toxicity": op7_toxicity,
     "op8_class_lm": op8_class_lm, "op9_pack": op9_pack, "op10_near_duplicates": op10_near_duplicates,
+    "op11_merkle": op11_merkle, "op12_token_counts": op12_token_counts,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op2_top_k": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_top_k": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op11_merkle": OP11_SQL,
+           "op13_conversation_repair": OP13_SQL}
