@@ -11,13 +11,11 @@ from symgrove.operators import symbols as b
 
 
 def definitions(spark: SparkSession, sf: str) -> DataFrame:
-    parted = b.partition_by_file(v.code_files(spark, sf))
-    return b.scan_definitions(parted).select("rel_path", "tag", "symbol_name", "start_byte")
+    return b.scan_definitions(v.code_files(spark, sf)).select("rel_path", "tag", "symbol_name", "start_byte")
 
 
 def extent(spark: SparkSession, sf: str) -> DataFrame:
-    parted = b.partition_by_file(v.code_files(spark, sf))
-    return b.definition_text(b.scan_definitions(parted), parted).select(
+    return b.scan_definitions(v.code_files(spark, sf)).select(
         "rel_path", "language", "symbol_name", "start_byte", "end_byte", "source_code")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from symgrove.catalog.code_templates import BODIES, DEFINITIONS, SHAPES, TEMPLATES, sql_values
+
 REPO_SPAN = 1000
 FILE_SPAN = 1000
 REQUIRED_FILE = ".sandbox/Dockerfile"
@@ -168,7 +170,7 @@ norm AS (
 live AS (SELECT * FROM norm WHERE q <> '')
 """
 
-SQL_V5_MATCH = SQL_V1 + "," + SQL_V5 + """,
+SQL_V5_HITS = """
 doc AS (SELECT node_id, lower(symbol_name) AS s, greatest(length(symbol_name)-2, 0) AS dl FROM symbols),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM doc),
 ph AS (
@@ -202,6 +204,8 @@ short_hits AS (
 hits AS (SELECT * FROM best UNION ALL SELECT * FROM short_hits)
 """
 
+SQL_V5_MATCH = f"{SQL_V1},{SQL_V5},{SQL_V5_HITS}"
+
 
 # --- V2: files and ignore lines ----------------------------------------------
 
@@ -305,40 +309,28 @@ patterns AS (
 
 # --- V3: source text with known symbols ----------------------------------------
 
-_CODE_LANGUAGES = ["python", "go", "ruby", "rust", "lua"]
-_CODE_SUFFIXES = [".py", ".go", ".rb", ".rs", ".lua"]
+def _filled(text: str) -> Column:
+    """A template's text with the part's names and size."""
+    names = {"@n": _key("é_", F.col("base")), "@T": _key("T_", F.col("base")), "@f": _key("f_", F.col("base")),
+             "@s": F.col("p_size").cast("string")}
+    out = F.col(text)
+    for mark, value in names.items():
+        out = F.replace(out, F.lit(mark), value)
+    return out
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One definition per part: (rel_path, p_partkey, language, name, body)."""
-    part = table(spark, sf_dir, "part")
-    brand = F.regexp_replace("p_brand", "Brand#", "").cast("int") % 5
-    is_class = F.col("p_partkey") % 5 == 0
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    name = F.concat(F.when(is_class, "T_").otherwise("é_"), F.regexp_replace("p_name", " ", "_"),
-                    F.lit("_"), key)
-
-    def code(template: str) -> Column:
-        return F.replace(F.replace(F.lit(template), F.lit("@n"), F.col("name")), F.lit("@s"), size)
-
-    def by_brand(values: list[Column]) -> Column:
-        expr = F.when(F.col("b") == 0, values[0])
-        for i, value in enumerate(values[1:], 1):
-            expr = expr.when(F.col("b") == i, value)
-        return expr
-
-    functions = by_brand([code(x) for x in (
-        "def @n():\n    return @s", "func @n() int {\n\treturn @s\n}", "def @n\n  @s\nend",
-        "pub fn @n() -> i32 {\n    if x { @s } else { 0 }\n}", "function @n()\n  return @s\nend")])
-    classes = by_brand([code(x) for x in (
-        "class @n:\n    x = @s", "func (t *T) @n() int {\n\treturn @s\n}", "class @n\n  X = @s\nend",
-        "struct @n {\n    x: i32,\n}", "local @n = function()\n  return @s\nend")])
-    folder = F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", "_"), F.lit("/m"),
-                      F.floor(F.col("p_partkey") / FILE_SPAN).cast("string"))
-    return part.withColumns({"b": brand, "name": name}).select(
-        F.concat(folder, by_brand([F.lit(x) for x in _CODE_SUFFIXES])).alias("rel_path"),
-        "p_partkey", by_brand([F.lit(x) for x in _CODE_LANGUAGES]).alias("language"), "name",
-        F.when(is_class, classes).otherwise(functions).alias("body"))
+    """Source text of each part, by the template of its brand and number: (rel_path, p_partkey, language, body)."""
+    templates = spark.createDataFrame(BODIES, "b int, shape int, language string, suffix string, template string")
+    key = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(
+        key, "p_size", "p_brand", (F.regexp_replace("p_brand", "Brand#", "").cast("int") % len(TEMPLATES)).alias("b"),
+        (key % SHAPES).cast("int").alias("shape"),
+        F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), key.cast("string")).alias("base"))
+    path = F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", "_"), F.lit("/m"),
+                    F.floor(key / FILE_SPAN).cast("string"), F.col("suffix"))
+    return part.join(F.broadcast(templates), ["b", "shape"]).select(
+        path.alias("rel_path"), key, "language", _filled("template").alias("body"))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,41 +341,31 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.array_join(ordered, "\n\n"), F.lit("\n")).alias("content"))
 
 
-SQL_V3 = """
+_SQL_FILLED = ("replace(replace(replace(replace({0}, '@n', 'é_' || base), '@T', 'T_' || base), '@f', 'f_' || base), "
+               "'@s', CAST(p_size AS VARCHAR))")
+
+SQL_V3 = f"""
+templates(b, shape, language, suffix, template) AS (VALUES {sql_values(BODIES)}),
+template_definitions(b, shape, tag, name, before, own) AS (VALUES {sql_values(DEFINITIONS)}),
 sym AS (
-  SELECT p_partkey, p_brand, p_partkey % 5 = 0 AS is_cls, CAST(p_size AS VARCHAR) AS s,
-         CAST(replace(p_brand,'Brand#','') AS INT) % 5 AS b,
-         CASE WHEN p_partkey % 5 = 0 THEN 'T_' ELSE 'é_' END || replace(p_name,' ','_')||'_'||p_partkey AS name
-  FROM part),
+  SELECT p_partkey, p_brand, p_size, replace(p_name, ' ', '_') || '_' || p_partkey AS base,
+         CAST(replace(p_brand, 'Brand#', '') AS INT) % {len(TEMPLATES)} AS b, p_partkey % {SHAPES} AS shape FROM part),
 chunk AS (
-  SELECT *, CASE b WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'ruby' WHEN 3 THEN 'rust' ELSE 'lua' END AS language,
-    'src/'||replace(p_brand,'#','_')||'/m'||(p_partkey // 1000)
-      ||CASE b WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.rb' WHEN 3 THEN '.rs' ELSE '.lua' END AS rel_path,
-    CASE b
-      WHEN 0 THEN CASE WHEN is_cls THEN 'class '||name||':'||chr(10)||'    x = '||s
-                       ELSE 'def '||name||'():'||chr(10)||'    return '||s END
-      WHEN 1 THEN CASE WHEN is_cls THEN 'func (t *T) ' ELSE 'func ' END||name||'() int {'||chr(10)||chr(9)||'return '||s||chr(10)||'}'
-      WHEN 2 THEN CASE WHEN is_cls THEN 'class '||name||chr(10)||'  X = '||s ELSE 'def '||name||chr(10)||'  '||s END||chr(10)||'end'
-      WHEN 3 THEN CASE WHEN is_cls THEN 'struct '||name||' {'||chr(10)||'    x: i32,'
-                       ELSE 'pub fn '||name||'() -> i32 {'||chr(10)||'    if x { '||s||' } else { 0 }' END||chr(10)||'}'
-      ELSE CASE WHEN is_cls THEN 'local '||name||' = function()' ELSE 'function '||name||'()' END||chr(10)||'  return '||s||chr(10)||'end'
-    END AS body
-  FROM sym),
+  SELECT *, 'src/' || replace(p_brand, '#', '_') || '/m' || (p_partkey // 1000) || suffix AS rel_path,
+         {_SQL_FILLED.format("template")} AS body
+  FROM sym JOIN templates USING (b, shape)),
 placed AS (
   SELECT *, CAST(coalesce(sum(strlen(body)+2) OVER (PARTITION BY rel_path ORDER BY p_partkey
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset0 FROM chunk),
 expected AS (
-  SELECT rel_path, language, name AS symbol_name,
-         CASE WHEN is_cls AND b = 0 THEN 'class' WHEN is_cls AND b = 1 THEN 'method'
-              WHEN is_cls AND b = 2 THEN 'class' WHEN is_cls AND b = 3 THEN 'struct'
-              WHEN b = 2 THEN 'method' ELSE 'function' END AS tag,
-         CASE WHEN is_cls AND b = 4 THEN substr(body, 7) ELSE body END AS source_code,
-         CASE WHEN is_cls AND b = 4 THEN offset0 + 6 ELSE offset0 END AS start_byte
-  FROM placed),
+  SELECT rel_path, language, tag, {_SQL_FILLED.format("name")} AS symbol_name,
+         {_SQL_FILLED.format("own")} AS source_code,
+         CAST(offset0 + strlen({_SQL_FILLED.format("before")}) AS BIGINT) AS start_byte
+  FROM placed JOIN template_definitions USING (b, shape)),
 v3_nodes AS (
-  SELECT *, replace(tag, 'struct', 'class') AS node_type,
+  SELECT *, CASE WHEN tag IN ('function', 'macro') THEN 'function' WHEN tag = 'method' THEN 'method' ELSE 'class' END AS node_type,
          sha1(unhex('6ba7b8119dad11d180b400c04fd430c8')||encode(rel_path||':'||start_byte||':'||symbol_name)) AS h
-  FROM expected),
+  FROM expected WHERE tag <> 'enum'),
 v3_ids AS (
   SELECT *, substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||
          substr('89ab', CAST(('0x'||substr(h,17,1))::INT % 4 + 1 AS INT), 1)||substr(h,18,3)||'-'||substr(h,21,12) AS node_id

@@ -1,274 +1,67 @@
 """Symbol extraction from file contents (B1-B4, node rows).
 
-Files are shuffled once, by file, before they are exploded into lines. Every
-window below is satisfied by that partitioning: lines, which are far more
-than files, are sorted but never shuffled, and their text is dropped as soon
-as its facts (indentation, braces, rule match) are known.
-
-Strings and comments are blanked out first, in place and by one regex per
-language over the whole file, so that every line has a twin of equal length
-that holds code only. Line rules remain an approximation of a parse: they
-find at most one definition per line.
+A file's definitions are found where the file is read, by a small helper on
+Arrow batches (``scanner``); nothing but found definitions leaves it, and no
+text is shuffled or sorted. Tags, ids and node rows are column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from symgrove import rules as ru
 from symgrove.constants import TAG_NODE_TYPE
 from symgrove.functions.ids import symbol_id
 from symgrove.operators.files import lookup
+from symgrove.rules import rules_for
+from symgrove.scanner import definitions
 
-_OPEN, _MARK, _NUL = "\x02", "\x01", "\x00"
-_SPACE = " \t\r\f\x0b"
-
-
-def _first_rule(language: Column, line: Column, rules: dict[str, list[ru.Rule]]) -> Column:
-    """The first matching rule as ``tag NUL extent NUL pattern``, or null."""
-    chosen = None
-    for name, group in rules.items():
-        inner = None
-        for rule in group:
-            case, text = line.rlike(rule.pattern), _NUL.join((rule.tag, rule.extent, rule.pattern))
-            inner = F.when(case, text) if inner is None else inner.when(case, text)
-        same = language == name
-        chosen = F.when(same, inner) if chosen is None else chosen.when(same, inner)
-    return chosen
-
-
-def _rule_hit(rule: Column, line: Column, code: Column) -> Column:
-    """What a matched rule says about its line, or null."""
-    parts = F.split(rule, _NUL)
-    tag, extent, pattern = (F.get(parts, F.lit(i)) for i in range(3))
-
-    def group(number: int) -> Column:
-        return F.call_function("regexp_extract", line, pattern, F.lit(number))
-
-    return F.when(rule.isNotNull(), F.struct(
-        tag.alias("tag"), extent.alias("extent"), group(2).alias("name"),
-        F.octet_length(group(1)).alias("skip"),
-        F.when(extent == "head", F.octet_length(F.regexp_extract(code, ru.HEAD, 1)))
-        .alias("head_bytes")))
-
-
-def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
-
+# Definitions leave a task in batches of about this many characters of source.
+BATCH_CHARS = 4 << 20
+_FOUND = T.StructType([
+    T.StructField("language", T.StringType()), T.StructField("tag", T.StringType()),
+    T.StructField("symbol_name", T.StringType()), T.StructField("start_byte", T.LongType()),
+    T.StructField("end_byte", T.LongType()), T.StructField("source_code", T.StringType())])
 
-def _by_language(cases: dict[str, Column], default: Column | None = None) -> Column:
-    expr = None
-    for name, value in cases.items():
-        same = F.col("language") == name
-        expr = F.when(same, value) if expr is None else expr.when(same, value)
-    return expr if default is None else expr.otherwise(default)
 
+def scan_definitions(files: DataFrame, key: Sequence[str] = ("rel_path",), extended: bool = False) -> DataFrame:
+    """B1, B2: (key, language, tag, symbol_name, start_byte, end_byte, source_code) of every definition.
 
-def _masked(token: Column) -> Column:
-    """Blanks for a comment; for a string, marks that keep its byte length.
-
-    A string starts with ``_OPEN``, so that a line which starts with ``_MARK``
-    starts inside a string.
+    ``files`` has key, language and content. A definition's source is its own
+    bytes, nested definitions included; these have rows of their own. Content
+    that is not valid UTF-8 is read with replacements. Files without a key or
+    of languages without rules give no rows.
     """
-    marks = F.regexp_replace(F.substring(token, F.lit(2), F.length(token)), r"[\x00-\x09\x0b-\x7f]", _MARK)
-    marks = F.regexp_replace(marks, r"\n([^\x00-\x7f])", f"\n{_MARK}$1")
-    return F.when(token.rlike(ru.COMMENT_START), F.regexp_replace(token, r"[^\n]", " ")) \
-        .otherwise(F.concat(F.lit(_OPEN), marks))
-
-
-def code_only(content: Column, languages: Sequence[str]) -> Column:
-    """The text with strings and comments masked; lines stay aligned."""
-    patterns = {name: ru.token_pattern(name) for name in languages}
-    pieces = _by_language({n: F.split(content, pat, -1) for n, pat in patterns.items()})
-    tokens = _by_language({n: F.regexp_extract_all(content, F.lit(pat), F.lit(0))
-                           for n, pat in patterns.items()})
-    return F.array_join(F.zip_with(
-        pieces, tokens,
-        lambda code, token: F.concat(code, F.coalesce(_masked(token), F.lit("")))), "")
-
-
-def partition_by_file(files: DataFrame, key: Sequence[str] = ("rel_path",),
-                      extended: bool = False) -> DataFrame:
-    """Files of languages with rules, shuffled once by file.
-
-    The filters sit below the shuffle so that all readers share one exchange.
-    """
-    wanted = F.col("language").isin(list(ru.rules_for(extended)))
+    schema = T.StructType([*[files.schema[name] for name in key], *_FOUND.fields])
+    wanted = F.col("language").isin(list(rules_for(extended)))
     for name in key:
         wanted = wanted & F.col(name).isNotNull()
-    return files.where(wanted) \
-        .select(*key, "language", F.col("content").cast("string").alias("content")) \
-        .repartition(*key)
-
-
-def _line_facts(files: DataFrame, key: Sequence[str],
-                rules: dict[str, list[ru.Rule]]) -> DataFrame:
-    """One narrow row per line.
+    names = [f.name for f in schema]
 
-    The facts are built by a lambda over each file's array of lines. It is
-    evaluated expression by expression, which suits many small regexes: as
-    generated code they would make one method too long to be compiled. The
-    outer explode keeps Spark from testing the array's size below the shuffle,
-    which would build it twice; a file has at least one line.
-    """
-    language = F.col("language")
-    braced = ~language.isin(ru.INDENT_LANGUAGES + list(ru.CLOSING_WORD))
-    twins = F.arrays_zip(
-        F.split("content", "\n", -1).alias("line"),
-        F.split(code_only(F.col("content"), list(rules)), "\n", -1).alias("code"))
-
-    def facts(twin: Column) -> Column:
-        line, code = twin.line, twin.code
-        body = F.ltrim(code, F.lit(_SPACE))
-        first = F.substring(body, 1, 1)
-        lead = F.octet_length(code) - F.octet_length(body)
-        tabs = _count(F.substring(code, F.lit(1), lead), "\t")
-        quoted = F.startswith(code, F.lit(_MARK))
-        is_text = body != ""
-        closes = F.when(braced, _count(code, "}")).otherwise(0)
-        closing = _by_language(
-            {n: F.octet_length(F.regexp_extract(body, pat, 1)) for n, pat in ru.CLOSING_WORD.items()},
-            F.lit(0))
-        no_break = F.when(language.isin(ru.INDENT_LANGUAGES), first.isin(")", "]", "}")) \
-            .otherwise(first.isin(")", "]") | body.rlike(ru.MID_BLOCK))
-        return F.struct(
-            is_text.alias("is_text"), quoted.alias("quoted"),
-            F.octet_length(line).alias("n_bytes"),
-            F.octet_length(F.rtrim(F.when(quoted, line).otherwise(code), F.lit(_SPACE)))
-            .alias("text_bytes"),
-            (lead + 7 * tabs).cast("bigint").alias("indent"),
-            F.when(braced, _count(code, "{")).otherwise(0).alias("opens"), closes.alias("closes"),
-            F.when(closes > 0, F.octet_length(F.call_function(
-                "substring_index", code, F.lit("}"), closes)) + 1).otherwise(0)
-            .alias("brace_bytes"),
-            F.when(is_text, closing + lead * F.signum(closing).cast("int")).otherwise(0)
-            .alias("closing_bytes"),
-            F.endswith(F.rtrim(code, F.lit(_SPACE)), F.lit(";")).alias("ends_stmt"),
-            F.when(is_text & ~braced, no_break).otherwise(False).alias("no_break"),
-            F.when(is_text & ~quoted, _first_rule(language, line, rules)).alias("rule"),
-            line.alias("line"), code.alias("code"))
-
-    return (
-        files.select(*key, braced.alias("braced"), F.transform(twins, facts).alias("facts"))
-        .select(*key, "braced", F.posexplode_outer("facts").alias("line_no", "f"))
-        .select(*key, "braced", "line_no", "f.*",
-                _rule_hit(F.col("f.rule"), F.col("f.line"), F.col("f.code")).alias("hit"))
-        .drop("rule", "line", "code")
-    )
+    def scan(batches):
+        held, weight = [], 0
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            types = [batch.schema.field(i).type for i in range(len(key))] + [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()]
 
+            def flushed():
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
-def _placed(facts: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Lines with offsets, depths, and which levels they open or end."""
-    before = W.partitionBy(*key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*key)
-    running = {
-        "start": F.coalesce(F.sum(F.col("n_bytes") + 1).over(before), F.lit(0)),
-        "depth": F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)),
-        "opened": F.coalesce(F.sum("opens").over(before), F.lit(0)),
-    }
-    after = F.col("depth") + F.col("opens") - F.col("closes")
-    breaks = F.col("is_text") & ~F.col("quoted") & ~F.col("no_break")
-    return (
-        facts.withColumns(running)
-        .withColumns({
-            "text_end": F.when(F.col("is_text"), F.col("start") + F.col("text_bytes")),
-            "after": after,
-            "ends_level": F.when(F.col("braced"), F.when(F.col("closes") > 0, after))
-            .otherwise(F.when(breaks, F.col("indent"))),
-            "is_variant": F.coalesce(F.col("hit.tag") == "variant", F.lit(False)),
-        })
-        .withColumns({
-            "level": F.when(F.col("hit").isNotNull() & ~F.col("is_variant"),
-                            F.when(F.col("braced"), F.col("depth"))
-                            .otherwise(F.col("indent"))),
-            "inside": F.when(F.col("is_variant"), F.col("depth")),
-        })
-        .withColumns({
-            "text_end_before": F.max("text_end").over(before),
-            "file_end": F.max("text_end").over(whole),
-            "levels": F.collect_set("level").over(whole),
-            "blocks": F.collect_set("inside").over(whole),
-        })
-    )
+            for *keys, language, content in zip(*columns):
+                for tag, name, start, end, source in definitions(content or "", language, extended):
+                    held.append((*keys, language, tag, name, start, end, source))
+                    weight += len(source) + 100
+                    if weight >= BATCH_CHARS:
+                        yield flushed()
+                        held, weight = [], 0
+            if held:
+                yield flushed()
+                held, weight = [], 0
 
-
-def scan_definitions(files: DataFrame, key: Sequence[str] = ("rel_path",),
-                     extended: bool = False) -> DataFrame:
-    """B1, B2: (key, tag, symbol_name, start_byte, end_byte).
-
-    ``files`` has key, language and content, partitioned by
-    :func:`partition_by_file`. A definition ends where the next line ends its
-    level: only lines that open or end one of the file's levels are kept, and
-    each level is one ordered group, so the end is the next row.
-    """
-    placed = _placed(_line_facts(files, key, ru.rules_for(extended)), key)
-    ends = F.coalesce(F.col("ends_level"), F.lit(1 << 40))
-    reach = F.filter("levels", lambda v: (v >= ends) | F.coalesce(v == F.col("level"), F.lit(False)))
-    # Blocks that hold variants are groups of their own, numbered below zero:
-    # the line that opens such a block, its variants, the line that closes it.
-    opens_block = F.when(F.col("opens") > F.col("closes"), F.col("depth") + 1)
-    closes_block = F.col("ends_level") + 1
-    touched = F.transform(
-        F.filter("blocks", lambda v: (v == opens_block) | (v == F.col("inside")) | (v == closes_block)),
-        lambda v: -v)
-    row = F.struct("start", "indent", "after", "opened", "brace_bytes", "closing_bytes",
-                   "text_end_before", F.coalesce(F.col("level") == F.col("at"), F.lit(False))
-                   .alias("is_def"))
-    by_level = W.partitionBy(*key, "at").orderBy("line_no")
-    opener = F.when(-F.col("at") == opens_block, F.coalesce(F.col("hit.tag") == "enum", F.lit(False)))
-    is_def = F.coalesce(F.col("level") == F.col("at"), F.lit(False))
-    in_enum = F.coalesce(-F.col("at") == F.col("inside"), F.lit(False)) & F.col("under_enum")
-    defs = (
-        placed.withColumn("at", F.explode(F.concat(reach, touched)))
-        .withColumns({
-            "next": F.lead(row).over(by_level),
-            "under_enum": F.coalesce(F.last(opener, ignorenulls=True).over(
-                by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))})
-        .where(is_def | in_enum)
-    )
-    own_line = F.col("start") + F.col("text_bytes")
-    nxt = F.col("next")
-    unopened = (F.col("opens") == 0) & (
-        F.col("ends_stmt") | nxt.isNull() | nxt.is_def
-        | ((nxt.after < F.col("at")) & (nxt.opened == F.col("opened"))))
-    closed_here = (F.col("opens") > 0) & (F.col("closes") > 0) & (F.col("after") <= F.col("at"))
-    brace_end = (
-        F.when(closed_here, F.col("start") + F.col("brace_bytes"))
-        .when(unopened, own_line)
-        .when(nxt.isNull() | nxt.is_def, F.coalesce(nxt.text_end_before, F.col("file_end")))
-        .otherwise(nxt.start + nxt.brace_bytes))
-    indent_end = (
-        F.when((nxt.closing_bytes > 0) & (nxt.indent == F.col("at")), nxt.start + nxt.closing_bytes)
-        .otherwise(F.coalesce(nxt.text_end_before, F.col("file_end"))))
-    end = (
-        F.when(F.col("hit.extent") == "line", own_line)
-        .when(F.col("hit.extent") == "head", F.col("start") + F.col("hit.head_bytes"))
-        .when(F.col("is_variant"), F.coalesce(nxt.text_end_before, F.col("file_end")))
-        .when(F.col("braced"), brace_end).otherwise(indent_end))
-    return defs.select(
-        *key, F.when(F.col("is_variant"), "struct").otherwise(F.col("hit.tag")).alias("tag"),
-        F.col("is_variant").alias("is_variant"), F.col("hit.name").alias("symbol_name"),
-        (F.col("start") + F.col("hit.skip")).cast("long").alias("start_byte"),
-        end.cast("long").alias("end_byte"))
-
-
-def definition_text(definitions: DataFrame, files: DataFrame,
-                    key: Sequence[str] = ("rel_path",)) -> DataFrame:
-    """B2: adds language and ``source_code``, the bytes of each definition.
-
-    Both sides are partitioned by file already, so the join shuffles nothing.
-    """
-    size = (F.col("end_byte") - F.col("start_byte")).cast("int")
-    text = F.substring(F.col("content").cast("binary"), (F.col("start_byte") + 1).cast("int"), size)
-    source = text.cast("string")
-    source = (
-        F.when(F.col("language") == "erlang", F.regexp_replace(source, r"[.;]\s*$", ""))
-        .when(F.col("is_variant"), F.regexp_replace(source, r",?\s*(?:(?:#\[[^\]]*\]|//[^\n]*)\s*)*$", ""))
-        .otherwise(source))
-    return definitions.join(files, list(key)).withColumn("source_code", source) \
-        .drop("content", "is_variant")
+    text = F.make_valid_utf8(F.col("content").cast("string")).alias("content")
+    return files.where(wanted).select(*key, "language", text).mapInArrow(scan, schema)
 
 
 def match_filter(matches: DataFrame) -> DataFrame:
@@ -305,8 +98,7 @@ def symbol_nodes(files: DataFrame, key: Sequence[str] = ("rel_path",),
     name if files carry one, whatever the number of repositories, else
     rel_path. Nodes keep the repository as a column ``repo``.
     """
-    parted = partition_by_file(files, key, extended)
-    rows = classify_tag(definition_text(scan_definitions(parted, key, extended), parted, key))
+    rows = classify_tag(scan_definitions(files, key, extended))
     repo = ["repo"] if "repo" in key else []
     path = F.concat_ws("/", *repo, "rel_path") if id_path is None else id_path
     empty = F.array().cast("array<string>")

@@ -2,13 +2,19 @@
 
 import ast
 import importlib
+import itertools
+import time
 import uuid
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from symgrove.catalog.code_templates import TEMPLATES
 from symgrove.functions.ids import name_uuid
 from symgrove.operators import symbols as b
+from symgrove.rules import rules_for
+from symgrove.scanner import definitions
 
 MODULES = ["json.decoder", "dataclasses", "textwrap", "heapq", "string", "contextlib", "queue", "shlex",
            "fractions", "tempfile", "csv", "calendar", "argparse", "ast", "inspect", "typing"]
@@ -37,8 +43,7 @@ def test_python_definitions_equal_ast(spark):
         with open(importlib.import_module(name).__file__, encoding="utf-8") as fh:
             sources[f"{name}.py"] = fh.read()
     files = _files(spark, [(p, "python", s) for p, s in sources.items()])
-    parted = b.partition_by_file(files)
-    rows = b.classify_tag(b.definition_text(b.scan_definitions(parted), parted)).collect()
+    rows = b.classify_tag(b.scan_definitions(files)).collect()
     got = {(r.rel_path, r.node_type, r.symbol_name, r.start_byte): r.source_code for r in rows}
     want = {(p, k, n, at): text for p, s in sources.items() for k, n, at, text in _ast_definitions(s)}
     assert got.keys() == want.keys()
@@ -150,13 +155,88 @@ def test_same_path_in_two_repositories(spark):
     assert nodes.select("node_id").distinct().count() == 2
 
 
-def test_lines_are_not_shuffled(spark):
-    files = _files(spark, [("a.py", "python", "def f(): pass")])
-    parted = b.partition_by_file(files)
-    plan = b.definition_text(b.scan_definitions(parted), parted)._jdf.queryExecution() \
-        .executedPlan().toString()
-    hashed = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
-    assert all("REPARTITION_BY_COL" in line for line in hashed)
+def test_nothing_is_shuffled(spark, tmp_path):
+    _files(spark, [("a.py", "python", "def f(): pass")]).write.parquet(str(tmp_path / "files"))
+    plan = b.symbol_nodes(spark.read.parquet(str(tmp_path / "files")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def _filled(text):
+    for mark, value in (("@n", "é_ring_12"), ("@T", "T_ring_12"), ("@f", "f_ring_12"), ("@s", "7")):
+        text = text.replace(mark, value)
+    return text
+
+
+@pytest.mark.parametrize("language, suffix, shapes", TEMPLATES, ids=[t[0] for t in TEMPLATES])
+def test_templates_in_any_order(language, suffix, shapes):
+    for order in itertools.permutations(range(len(shapes))):
+        text, want = "", set()
+        for i in order:
+            body, found = shapes[i]
+            for tag, name, own in found:
+                assert body.count(own) == 1
+                start = len((text + _filled(body[:body.index(own)])).encode())
+                want.add((tag, _filled(name), start, start + len(_filled(own).encode()), _filled(own)))
+            text += _filled(body) + "\n\n"
+        assert set(definitions(text, language)) == want
+
+
+# What line rules once lost or made up: language, text, names with their source.
+CASES = [
+    ("rust", "enum Color { Red, Green }", {"Color": None, "Red": "Red", "Green": "Green"}),
+    ("rust", "enum E {\n    A, B,\n    C = 3,\n}", {"E": None, "A": "A", "B": "B", "C": "C = 3"}),
+    ("rust", "fn f() { if !x { fn g() {} } }\nfoo! { fn no() {} }", {"f": None, "g": "fn g() {}"}),
+    ("php", "<?php class A { function m() { return 1; } }", {"A": None, "m": "function m() { return 1; }"}),
+    ("php", "<p>don't</p><?php function f() {} ?>it's<?php function g() {}", {"f": "function f() {}", "g": "function g() {}"}),
+    ("c-sharp", "class One { void M() {} }", {"One": None, "M": "void M() {}"}),
+    ("c-sharp", "class K { public uint F() { return 1; } public short S() => 2; (int,int) T() { return (1, 2); }\n"
+                "  [Test] public void U() {} public K(int x) { Foo(x); } }",
+     {"K": None, "F": "public uint F() { return 1; }", "S": "public short S() => 2;", "T": "(int,int) T() { return (1, 2); }",
+      "U": "[Test] public void U() {}"}),
+    ("ruby", "class A; def m; end; end", {"A": "class A; def m; end; end", "m": "def m; end"}),
+    ("ruby", "x = <<~T\n  def no\n  end\nT\ndef y\n  1 if z\nend", {"y": "def y\n  1 if z\nend"}),
+    ("perl", "sub g {1} sub h {2}", {"g": "sub g {1}", "h": "sub h {2}"}),
+    ("dart", "class A { A(this.x); int f({int a = 1}) => a; void g() { A(1); f(2); } }",
+     {"A": "A(this.x)", "f": "int f({int a = 1})", "g": "void g()"}),
+    ("haskell", "f x\n  | x > 0 = 1\n  | otherwise = 2\nx <+> y = x\nk = 3", {"f": "f x\n  | x > 0 = 1\n  | otherwise = 2"}),
+    ("erlang", "f(X)\n  when X > 0 ->\n    ok.\n", {"f": "f(X)\n  when X > 0 ->\n    ok"}),
+    ("r", "f <-\n  function(x) x\nlapply(a, init = function(x) 1)", {"f": "f <-\n  function(x) x"}),
+    ("scala", "trait T {\n  def a: Int\n  def +(o: T): T = o\n  def b = 1\n}", {"T": None, "b": "def b = 1"}),
+    ("swift", "extension A { static func + (l: A, r: A) -> A { l }; func f() {} }", {"A": None, "f": "func f() {}"}),
+    ("lua", "t = { f = function() end }\nfunction g() end", {"g": "function g() end"}),
+    ("elixir", "def a + b, do: a\ndef f(x),\n  do: x\n", {"f": "def f(x),\n  do: x"}),
+    ("go", "var f = func(a int) int { return a }\nfunc G() {}; func H() {}", {"G": "func G() {}", "H": "func H() {}"}),
+]
+
+
+@pytest.mark.parametrize("language, text, want", CASES, ids=[f"{i}-{c[0]}" for i, c in enumerate(CASES)])
+def test_cases(language, text, want):
+    got = {name: source for _, name, _, _, source in definitions(text, language)}
+    assert got.keys() == want.keys()
+    assert {n: got[n] for n, t in want.items() if t is not None} == {n: t for n, t in want.items() if t is not None}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["{", "}", "(", ")", "[", "]", "\n", " ", "end", "do", "def f", "class A", "fn g", "func h()",
+                                 "function k()", "'", '"', "/*", "*/", "#", "--[[", "=", ";", "->", "case", "é", "<<~X", "sub q",
+                                 "enum E", ",", "if", "@", "<?php", "?>", "f(x)", ".", "when", "\\"]), max_size=40),
+       st.sampled_from(sorted(rules_for(True))))
+def test_any_text_is_scanned(parts, language):
+    text = "".join(parts)
+    raw = text.encode()
+    for _, name, start, end, source in definitions(text, language, True):
+        assert 0 <= start <= end <= len(raw) and raw[start:end].decode() == source
+
+
+def test_long_texts_take_linear_time():
+    def seconds(n):
+        text = "".join(f"func f{i}(a int) int {{\n\treturn g(a, [{i}])\n}}\n" for i in range(n))
+        begin = time.perf_counter()
+        assert len(definitions(text, "go")) == n
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert seconds(20000) < 40 * max(seconds(2000), 0.01)
 
 
 @pytest.mark.parametrize("content", ["", "\n\n", "def f(:", "class", "}}}}", "\r\ndef g():\r\n    pass\r\n"])
