@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symgrove.catalog import views as v
 from symgrove.operators import context as g, nodes as r
+from symgrove.plans import storage
 from symgrove.session import scratch_path
 
 
@@ -20,8 +21,8 @@ def _linked(spark: SparkSession, sf: str) -> DataFrame:
 
 def append_nodes(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "nodes")
-    r.append_nodes(v.nodes(spark, sf), path)
-    return r.read_nodes(spark, path).select(
+    storage.append_nodes(v.nodes(spark, sf), path)
+    return storage.read_nodes(spark, path).select(
         "node_id", "node_type", "file_path", "symbol_name", "language",
         F.md5("source_code").alias("source_md5"),
         F.size("child_nodes").cast("long").alias("n_children"))
@@ -62,6 +63,51 @@ def validate_rows(spark: SparkSession, sf: str) -> DataFrame:
                           F.array_join("errors", "; ").alias("errors"))
 
 
+def _agent_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested run states and evaluator output of every event, some of them faulty."""
+    key = F.col("event_id")
+    number = key.cast("string")
+    text_map = "map<string,string>"
+
+    def one(name: str, value: Column) -> Column:
+        return F.create_map(F.lit(name), value)
+
+    sandbox = F.struct(
+        F.when(key % 5 == 0, "mesh").when(key % 5 == 1, "bridge").alias("network_mode"),
+        F.lit(None).cast("string").alias("memory_limit"), F.when(key % 4 == 0, "half").otherwise("0.5").alias("cpu_quota"),
+        F.lit("30").alias("timeout_seconds"), one("K", F.when(key % 6 != 0, number)).alias("environment_vars"))
+    env = F.struct(
+        one("Authorization", F.when(key % 7 != 0, number)).alias("auth_headers"),
+        F.when(key % 2 == 0, one("sid", number)).alias("cookies"), F.create_map().cast(text_map).alias("mock_credentials"),
+        F.lit(None).cast(text_map).alias("seeded_entities"), one("db", number).alias("dynamic_endpoints"),
+        F.array(F.lit("/tmp/a"), F.when(key % 3 != 0, number)).alias("ephemeral_files"))
+    report = F.struct(F.when(key % 8 == 0, "one").otherwise("1").alias("exit_code"), F.lit("").alias("stdout"),
+                      F.when(key % 9 != 0, "").alias("stderr"), F.lit(None).cast("string").alias("duration_seconds"),
+                      F.lit("false").alias("oom_killed"), F.lit(None).cast("string").alias("timed_out"))
+    return v.table(spark, sf, "events").select(
+        key, F.when(key % 10 != 0, "baseline").alias("mode"), F.when(key % 11 != 0, sandbox).alias("sandbox_config"),
+        F.when(key % 13 != 0, env).alias("env_state"), F.when(key % 3 == 0, report).alias("execution_report"),
+        F.lit(None).cast("string").alias("current_test_script"), F.lit(None).cast("string").alias("evaluator_feedback"),
+        F.lit("2").alias("retry_count"), F.lit(None).cast("string").alias("max_retries"),
+        F.lit(None).cast("string").alias("status"), F.when(key % 12 == 0, "MAYBE").alias("final_verdict"),
+        F.when(key % 14 != 0, "SYSTEM_SECURE").alias("verdict"), F.lit(None).cast("string").alias("feedback"),
+        *[one("k", F.when(key % 15 != i, number)).alias(f"extracted_{n}")
+          for i, n in enumerate(("auth_headers", "cookies", "mock_credentials", "seeded_entities", "dynamic_endpoints"))],
+        F.array(F.when(key % 16 != 0, number)).alias("extracted_ephemeral_files"))
+
+
+def validate_nested(spark: SparkSession, sf: str) -> DataFrame:
+    states = r.validate_rows(_agent_states(spark, sf), r.AGENT_STATE_RULES).withColumnRenamed("errors", "state_errors")
+    checked = r.validate_rows(states, r.BASELINE_EVALUATION_RULES)
+    return checked.select(
+        "event_id", F.array_join("state_errors", "; ").alias("state_errors"),
+        F.array_join("errors", "; ").alias("output_errors"), "max_retries", "status",
+        F.col("sandbox_config.network_mode").alias("network_mode"), F.col("sandbox_config.cpu_quota").alias("cpu_quota"),
+        F.size("env_state.cookies").cast("long").alias("n_cookies"),
+        F.size("env_state.seeded_entities").cast("long").alias("n_seeded"),
+        F.col("execution_report.exit_code").alias("exit_code"), F.col("execution_report.timed_out").alias("timed_out"))
+
+
 def profile_defaults(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     raw = v.table(spark, sf, "customer").select(
@@ -96,6 +142,7 @@ QUERIES = {
     "r_adjacency_json": adjacency_json,
     "r_duplicate_keys": duplicate_keys,
     "r_validate_rows": validate_rows,
+    "r_validate_nested": validate_nested,
     "r_profile_defaults": profile_defaults,
     "r_get_node": get_node,
     "r_get_nodes": get_nodes,
@@ -131,6 +178,29 @@ SELECT node_id, coalesce(node_type, 'function') AS node_type, symbol_name,
                  CASE WHEN node_type = 'module' THEN 'node_type: not a member' END,
                  CASE WHEN size = 'x' THEN 'size: not int' END) AS errors
 FROM raw""",
+    "r_validate_nested": """WITH x AS (
+  SELECT event_id AS k, event_id % 11 <> 0 AS box, event_id % 13 <> 0 AS env, event_id % 3 = 0 AS ran FROM events)
+SELECT k AS event_id,
+  concat_ws('; ', CASE WHEN k % 10 = 0 THEN 'mode: missing' END, CASE WHEN NOT box THEN 'sandbox_config: missing' END,
+    CASE WHEN k % 12 = 0 THEN 'final_verdict: not a member' END,
+    CASE WHEN box AND k % 5 = 0 THEN 'sandbox_config.network_mode: not a member' END,
+    CASE WHEN box AND k % 4 = 0 THEN 'sandbox_config.cpu_quota: not double' END,
+    CASE WHEN box AND k % 6 = 0 THEN 'sandbox_config.environment_vars[K]: missing' END,
+    CASE WHEN env AND k % 7 = 0 THEN 'env_state.auth_headers[Authorization]: missing' END,
+    CASE WHEN env AND k % 3 = 0 THEN 'env_state.ephemeral_files[1]: missing' END,
+    CASE WHEN ran AND k % 9 = 0 THEN 'execution_report.stderr: missing' END,
+    CASE WHEN ran AND k % 8 = 0 THEN 'execution_report.exit_code: not int' END) AS state_errors,
+  concat_ws('; ', CASE WHEN k % 14 = 0 THEN 'verdict: missing' END,
+    CASE k % 15 WHEN 0 THEN 'extracted_auth_headers[k]: missing' WHEN 1 THEN 'extracted_cookies[k]: missing'
+      WHEN 2 THEN 'extracted_mock_credentials[k]: missing' WHEN 3 THEN 'extracted_seeded_entities[k]: missing'
+      WHEN 4 THEN 'extracted_dynamic_endpoints[k]: missing' END,
+    CASE WHEN k % 16 = 0 THEN 'extracted_ephemeral_files[0]: missing' END) AS output_errors,
+  3 AS max_retries, 'pending' AS status,
+  CASE WHEN box THEN CASE k % 5 WHEN 0 THEN 'mesh' WHEN 1 THEN 'bridge' ELSE 'none' END END AS network_mode,
+  CASE WHEN box THEN CASE WHEN k % 4 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE END AS cpu_quota,
+  CASE WHEN env THEN (k % 2 = 0)::BIGINT END AS n_cookies, CASE WHEN env THEN 0::BIGINT END AS n_seeded,
+  CASE WHEN ran AND k % 8 <> 0 THEN 1 END AS exit_code, CASE WHEN ran THEN FALSE END AS timed_out
+FROM x""",
     "r_profile_defaults": """SELECT c_custkey AS profile_id,
   CASE WHEN c_custkey % 4 = 0 THEN 'bridge' ELSE 'none' END AS network_mode,
   CASE WHEN c_custkey % 3 = 0 THEN '1g' ELSE '512m' END AS memory_limit,

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symgrove.catalog import views as v
 from symgrove.operators import search as s
-from symgrove.operators.nodes import read_nodes, with_list_defaults
-from symgrove.plans.storage import append_indexed
+from symgrove.operators.nodes import with_list_defaults
+from symgrove.plans.storage import append_nodes, read_table
 from symgrove.session import scratch_path
 
 
@@ -76,9 +76,9 @@ def search_stored(spark: SparkSession, sf: str) -> DataFrame:
         c: F.lit("").alias(c) for c in ("source_code", "language") if c not in symbols.columns}))
     first = F.pmod(F.xxhash64("node_id"), F.lit(2)) == 0
     for batch, part in (("1", rows.where(first)), ("2", rows.where(~first))):
-        append_indexed(part, path, batch)
-    index = s.read_index(spark, f"{path}/index")
-    return s.search_symbols(v.search_queries(spark, sf), read_nodes(spark, path), index=index)
+        append_nodes(part, path, batch)
+    nodes, index = read_table(spark, path)
+    return s.search_symbols(v.search_queries(spark, sf), nodes, index=index)
 
 
 def attach_metadata(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,24 +1,20 @@
-"""Node table: storage contract, validation and lookups."""
+"""Node rows: key check, validation and lookups (R2-R8); ``plans.storage`` appends them."""
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from symgrove import constants as c
 from symgrove.functions.text import size_columns
 from symgrove.schemas import CODE_NODES, SEARCH_COLUMNS
-from symgrove.session import scratch_path
 
 NODE_COLUMNS = CODE_NODES.fieldNames()
 _LIST = "array<string>"
 # Beside the node: its repository, and the two facts that packing needs of its text.
 STORED_COLUMNS = [*NODE_COLUMNS, "repo", "n_len", "n_tok"]
-_STORED = T.StructType([
-    *CODE_NODES.fields, T.StructField("repo", T.StringType()), T.StructField("n_len", T.LongType()),
-    T.StructField("n_tok", T.LongType()), T.StructField("batch", T.StringType())])
 
 
 def with_list_defaults(nodes: DataFrame, columns: list[str] = NODE_COLUMNS) -> DataFrame:
@@ -33,21 +29,18 @@ def with_list_defaults(nodes: DataFrame, columns: list[str] = NODE_COLUMNS) -> D
     return nodes.withColumns(lists).select(*columns)
 
 
-# --- R1, R3: append with a key check ----------------------------------------
+# --- R3: key check -----------------------------------------------------------
 
 def duplicate_keys(batch: DataFrame, stored: DataFrame | None = None,
                    key: str = "node_id") -> DataFrame:
     """Keys that occur twice in the batch or are stored already."""
-    counts = batch.groupBy(key).agg(F.count("*").alias("n"))
-    if stored is None:
-        return counts.withColumn("is_stored", F.lit(False)).where(F.col("n") > 1)
-    # Stored keys are unique already; only those that the batch names are looked at.
-    known = stored.select(key).join(counts.select(key), key, "left_semi").withColumn("is_stored", F.lit(True))
-    return (
-        counts.join(known, key, "left")
-        .withColumn("is_stored", F.coalesce("is_stored", F.lit(False)))
-        .where((F.col("n") > 1) | F.col("is_stored"))
-    )
+    rows = batch.select(key, F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("is_stored"))
+    if stored is not None:
+        known = stored.where(F.col(key).isNotNull())
+        rows = rows.unionByName(known.select(key, F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("is_stored")))
+    # Both sides meet in one aggregation, partial sums first.
+    counts = rows.groupBy(key).agg(F.sum("n").alias("n"), F.max("is_stored").alias("is_stored"))
+    return counts.where((F.col("n") > 1) | (F.col("is_stored") & (F.col("n") > 0)))
 
 
 def assert_unique_key(batch: DataFrame, stored: DataFrame | None = None,
@@ -58,46 +51,6 @@ def assert_unique_key(batch: DataFrame, stored: DataFrame | None = None,
         raise ValueError(f"duplicate {key}: {[row[key] for row in clashes]}")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(_STORED).parquet(f"{path}/nodes")
-    except Exception as error:  # the table does not exist before the first append
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-
-
-def append_nodes(nodes: DataFrame, path: str, batch_id: str | None = None) -> bool:
-    """Append a batch to the node table; False for an empty batch.
-
-    Each batch owns one folder, written by a single commit and replaced if the
-    same batch is replayed, so a lost executor or a repeated stream batch
-    cannot leave a part of it or store it twice. The batch is staged once in
-    the shared folder, so its input is parsed once whoever is lost meanwhile.
-    """
-    batch_id = batch_id or uuid.uuid4().hex
-    spark = nodes.sparkSession
-    staged = scratch_path(spark, "staged-nodes")
-    with_list_defaults(nodes, STORED_COLUMNS).write.parquet(staged)
-    rows = spark.read.schema(_STORED).parquet(staged).drop("batch")
-    if rows.isEmpty():
-        return False
-    stored = _stored(spark, path)
-    if stored is not None:
-        stored = stored.where(F.col("batch") != batch_id)
-    assert_unique_key(rows, stored)
-    rows.write.mode("overwrite").partitionBy("language").parquet(f"{path}/nodes/batch={batch_id}")
-    return True
-
-
-def read_nodes(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
-    """All appended nodes, or one batch's; none before the first. Pruned by language when filtered on it."""
-    stored = _stored(spark, path)
-    if stored is not None and batch_id is not None:
-        stored = stored.where(F.col("batch") == batch_id)
-    return with_list_defaults(spark.createDataFrame([], _STORED) if stored is None else stored, STORED_COLUMNS)
-
-
 # --- R2: JSON text for exchange ----------------------------------------------
 
 def encode_list(column: Column) -> Column:
@@ -112,12 +65,20 @@ def decode_list(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class RowRules:
-    """What a valid row of one kind looks like."""
+    """What a valid row of one kind looks like, down to what it holds.
+
+    ``maps`` and ``lists`` name columns of text without null values; a null
+    one is empty. ``structs`` gives the rules of nested records, which may be
+    null unless they are required too.
+    """
 
     required: tuple[str, ...] = ()
     members: dict[str, list[str]] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
     defaults: dict[str, object] = field(default_factory=dict)
+    maps: tuple[str, ...] = ()
+    lists: tuple[str, ...] = ()
+    structs: dict[str, RowRules] = field(default_factory=dict)
 
 
 CODE_NODE_RULES = RowRules(
@@ -141,6 +102,15 @@ STATE_RULES = RowRules(
               "max_retries": c.MAX_RETRIES, "status": "pending"})
 EVALUATION_RULES = RowRules(
     required=("verdict",), members={"verdict": c.VERDICTS}, defaults={"feedback": ""})
+ENV_STATE_RULES = RowRules(maps=tuple(c.SECRET_MAPS + c.CLEAR_MAPS), lists=(c.FILE_LIST,))
+BASELINE_EVALUATION_RULES = replace(
+    EVALUATION_RULES, maps=tuple(f"extracted_{n}" for n in c.SECRET_MAPS + c.CLEAR_MAPS),
+    lists=(f"extracted_{c.FILE_LIST}",))
+CODER_RULES = RowRules(required=("test_script",))
+AGENT_STATE_RULES = replace(
+    STATE_RULES, required=("mode", "sandbox_config"),
+    structs={"sandbox_config": replace(PROFILE_RULES, maps=("environment_vars",)), "env_state": ENV_STATE_RULES,
+             "execution_report": REPORT_RULES})
 
 
 def _fits(value: Column, kind: str) -> Column:
@@ -152,25 +122,54 @@ def _fits(value: Column, kind: str) -> Column:
     return castable & (number.isNull() | (number == F.floor(number)))
 
 
+def _errors(rules: RowRules, of: Callable[[str], Column], path: str = "") -> Column:
+    """Array of what is wrong with the fields that ``of`` gives, each with its path."""
+    found = [F.when(of(n).isNull(), F.lit(f"{path}{n}: missing")) for n in rules.required]
+    found += [F.when(of(n).isNotNull() & ~of(n).isin(allowed), F.lit(f"{path}{n}: not a member"))
+              for n, allowed in rules.members.items()]
+    found += [F.when(of(n).isNotNull() & ~_fits(of(n), kind), F.lit(f"{path}{n}: not {kind}"))
+              for n, kind in rules.types.items()]
+    parts = [F.array_compact(F.array(*found))] if found else []
+    none = F.array().cast(_LIST)
+    without = {n: F.map_keys(F.map_filter(of(n), lambda _, value: value.isNull())) for n in rules.maps}
+    without |= {n: F.filter(F.transform(of(n), lambda x, i: F.when(x.isNull(), i.cast("string"))), lambda i: i.isNotNull())
+                for n in rules.lists}
+    for n, places in without.items():
+        begin = F.lit(f"{path}{n}[")
+        parts.append(F.coalesce(F.transform(places, lambda at: F.concat(begin, at, F.lit("]: missing"))), none))  # noqa: B023
+    for n, inner in rules.structs.items():
+        parts.append(F.when(of(n).isNotNull(), _errors(inner, of(n).getField, f"{path}{n}.")).otherwise(none))
+    return F.concat(*parts) if parts else none
+
+
+def _fixed(rules: RowRules, of: Callable[[str], Column], types: T.StructType) -> dict[str, Column]:
+    """The fields that rules coerce or complete."""
+    fixed = {n: of(n).try_cast(kind) for n, kind in rules.types.items()}
+    for name, value in rules.defaults.items():
+        fixed[name] = F.coalesce(fixed.get(name, of(name)), F.lit(value))
+    for n in rules.maps:
+        fixed[n] = F.coalesce(of(n), F.create_map().cast(types[n].dataType))
+    for n in rules.lists:
+        fixed[n] = F.coalesce(of(n), F.array().cast(types[n].dataType))
+    for n, inner in rules.structs.items():
+        own = types[n].dataType
+        parts = _fixed(inner, of(n).getField, own)
+        record = F.struct(*[parts.get(f.name, of(n).getField(f.name)).alias(f.name) for f in own])
+        fixed[n] = F.when(of(n).isNotNull(), record)
+    return fixed
+
+
 def validate_rows(rows: DataFrame, rules: RowRules) -> DataFrame:
     """Rows with defaults and types applied and an ``errors`` array.
 
-    A null required field, a value outside its enumeration or one that cannot
-    be coerced gives one entry each. Split on ``size(errors)`` with
+    A null required field, a value outside its enumeration, one that cannot be
+    coerced and a null value in a map or list gives one entry each, with its
+    path: ``env_state.cookies[sid]: missing``. Split on ``size(errors)`` with
     :func:`split_valid`.
     """
-    checks = [F.when(F.col(n).isNull(), F.lit(f"{n}: missing")) for n in rules.required]
-    checks += [F.when(F.col(n).isNotNull() & ~F.col(n).isin(allowed),
-                      F.lit(f"{n}: not a member"))
-               for n, allowed in rules.members.items()]
-    checks += [F.when(F.col(n).isNotNull() & ~_fits(F.col(n), kind), F.lit(f"{n}: not {kind}"))
-               for n, kind in rules.types.items()]
-    errors = F.array_compact(F.array(*checks)) if checks else F.array().cast(_LIST)
-    fixed = {n: F.col(n).try_cast(kind) for n, kind in rules.types.items()}
-    for name, value in rules.defaults.items():
-        fixed[name] = F.coalesce(fixed.get(name, F.col(name)), F.lit(value))
-    return rows.withColumn("errors", errors).withColumns(fixed) if fixed \
-        else rows.withColumn("errors", errors)
+    fixed = _fixed(rules, F.col, rows.schema)
+    checked = rows.withColumn("errors", _errors(rules, F.col))
+    return checked.withColumns(fixed) if fixed else checked
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,11 +12,15 @@ into join keys, so they need no theta join either.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from symgrove.constants import BM25_B, BM25_K1, BM25_MIN_IDF, SEARCH_LIMIT
 from symgrove.functions import text as t
 from symgrove.operators.nodes import project_search
+from symgrove.plans.manifest import Commit, read_folders
 from symgrove.plans.sizing import fits_broadcast, gathered, hinted
 
 MIN_GRAM = 3
@@ -73,62 +77,80 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 # Given on reading, so that the index of an empty table reads as empty.
-_POSTINGS = "tri string, node_id string, s string, dl int, batch string, bucket int"
-_STATISTICS = "n_docs bigint, sum_dl bigint, batch string"
+_POSTINGS = "tri string, node_id string, s string, dl int, folder string, bucket int"
+_GRAMS = "tri string, df bigint, folder string"
 BUCKETS = 64
+# Trigrams that are listed in the filter of a stored index's scan.
+LISTED_TRIGRAMS = 1000
+
+
+class Index(NamedTuple):
+    """Postings by trigram, one row of corpus statistics and, if stored, trigram counts."""
+
+    postings: DataFrame
+    stats: DataFrame
+    grams: DataFrame | None = None
 
 
 def _bucket(tri: Column) -> Column:
     return F.pmod(F.hash(tri), F.lit(BUCKETS))
 
 
-def write_index(docs: DataFrame, path: str, batch_id: str = "all", salts: int = 8) -> None:
-    """Store the postings and statistics of one batch of symbols; a replayed batch replaces itself.
+def write_index(docs: DataFrame, path: str, folder: str, salts: int = 8) -> None:
+    """Store the postings of one batch of symbols, and how many symbols each trigram has.
 
-    Postings are laid out by a bucket of the trigram, so a search reads the
-    buckets of its own trigrams, and sorted by trigram within files. The salt
-    spreads a trigram found in many symbols over several write tasks.
+    Postings are laid out by a bucket of the trigram and sorted by trigram
+    within files, so a search reads the buckets, and in them the blocks, of
+    its own trigrams. The salt spreads a trigram found in many symbols over
+    several write tasks.
     """
+    postings = trigram_postings(docs)
     (
-        trigram_postings(docs)
-        .withColumn("bucket", _bucket(F.col("tri")))
+        postings.withColumn("bucket", _bucket(F.col("tri")))
         .withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(salts)))
         .repartition("bucket", "salt").drop("salt")
         .sortWithinPartitions("bucket", "tri")
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch_id}")
+        .write.partitionBy("bucket").parquet(f"{path}/postings/folder={folder}")
     )
-    docs.agg(F.count("*").alias("n_docs"), F.sum("dl").cast("bigint").alias("sum_dl")) \
-        .write.mode("overwrite").parquet(f"{path}/stats/batch={batch_id}")
+    postings.groupBy("tri").agg(F.count("*").alias("df")).sortWithinPartitions("tri") \
+        .write.parquet(f"{path}/grams/folder={folder}")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings with their bucket, statistics of all batches) of a stored index."""
-    stats = spark.read.schema(_STATISTICS).parquet(f"{path}/stats")
-    return spark.read.schema(_POSTINGS).parquet(f"{path}/postings").drop("batch"), \
-        stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), (F.sum("sum_dl") / F.sum("n_docs")).alias("avgdl"))
+def read_index(spark: SparkSession, path: str, commits: Sequence[Commit]) -> Index:
+    """The index that these commits make up; their facts are the corpus statistics."""
+    n, total = sum(c.facts["rows"] for c in commits), sum(c.facts["sum_dl"] for c in commits)
+    stats = spark.createDataFrame([(n, total / n if n else None)], "n_docs bigint, avgdl double")
+    return Index(read_folders(spark, f"{path}/postings", commits, _POSTINGS).drop("folder"), stats,
+                 read_folders(spark, f"{path}/grams", commits, _GRAMS).drop("folder"))
 
 
-def _join_postings(postings: DataFrame, asked: DataFrame, small: bool, how: str = "inner") -> DataFrame:
-    """Postings of the trigrams asked for; of a stored index only their buckets are read."""
-    if "bucket" not in postings.columns:
-        return postings.join(hinted(asked, small), "tri", how)
-    asked = asked.withColumn("bucket", _bucket(F.col("tri")))
-    return postings.join(hinted(asked, small), ["bucket", "tri"], how)
+def _asked_only(postings: DataFrame, anchors: DataFrame, small: bool) -> DataFrame:
+    """Of a stored index, the buckets and blocks of the anchors, as filters that reach its scans."""
+    if "bucket" not in postings.columns or not small:
+        return postings
+    # At most LISTED_TRIGRAMS + 1 short strings.
+    rows = anchors.select("tri", _bucket(F.col("tri")).alias("b")).distinct().limit(LISTED_TRIGRAMS + 1).collect()
+    if len(rows) <= LISTED_TRIGRAMS:
+        return postings.where(F.col("bucket").isin(sorted({r.b for r in rows}))
+                              & F.col("tri").isin(sorted({r.tri for r in rows})))
+    return postings
 
 
-def _narrow(postings: DataFrame, *columns: str) -> DataFrame:
-    return postings.select(*columns, *[n for n in ("bucket",) if n in postings.columns])
+def _join_postings(postings: DataFrame, asked: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    return postings.join(hinted(asked, small), "tri", how)
 
 
 # --- S6, S7: matching and rank ---------------------------------------------------
 
-def phrase_anchors(phrases: DataFrame, postings: DataFrame, small: bool = False) -> DataFrame:
-    """(phrase, tri, tri_df): the rarest trigram of each phrase."""
+def phrase_anchors(phrases: DataFrame, postings: DataFrame, small: bool = False,
+                   counts: DataFrame | None = None) -> DataFrame:
+    """(phrase, tri, tri_df): the rarest trigram of each phrase, by stored counts if there are any."""
     grams = phrases.select(
         "phrase", F.explode(F.array_distinct(t.ngrams(F.col("phrase"), MIN_GRAM))).alias("tri"))
+    counts = postings.select("tri", F.lit(1).alias("df")) if counts is None else counts
     freq = (
-        _join_postings(_narrow(postings, "tri"), grams.select("tri").distinct(), small, "left_semi")
-        .groupBy("tri").agg(F.count("*").alias("tri_df"))
+        _join_postings(counts, grams.select("tri").distinct(), small, "left_semi")
+        .groupBy("tri").agg(F.sum("df").alias("tri_df"))
     )
     rarity = F.struct(F.coalesce("tri_df", F.lit(0)).alias("tri_df"), "tri")
     return (
@@ -148,7 +170,7 @@ def document_frequency(anchors: DataFrame, postings: DataFrame,
                        small: bool = False) -> DataFrame:
     """(phrase, df): symbols that contain each phrase."""
     return (
-        _join_postings(_narrow(postings, "tri", "s"), anchors.select("phrase", "tri"), small)
+        _join_postings(postings.select("tri", "s"), anchors.select("phrase", "tri"), small)
         .where(F.contains("s", "phrase")).groupBy("phrase").agg(F.count("*").alias("df"))
     )
 
@@ -174,15 +196,18 @@ def match_trigrams(texts: DataFrame, postings: DataFrame,
 
 
 def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame,
-                 small: bool | None = None) -> DataFrame:
+                 small: bool | None = None, grams: DataFrame | None = None) -> DataFrame:
     """(q, node_id, rank) of every match; a lower rank is better.
 
-    ``stats`` has one row. Its values enter as scalar subqueries.
+    ``stats`` has one row. Its values enter as scalar subqueries. With stored
+    ``grams`` the postings are scanned twice, to count phrases and to rank,
+    both times only where the anchors are.
     """
     small = fits_broadcast(texts, "q") if small is None else small
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     tokens = _token_rows(gathered(texts, small))
-    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, small)
+    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, small, grams)
+    postings = _asked_only(postings, anchors, small)
     frequent = document_frequency(anchors, postings, small)
     phrases = anchors.join(hinted(frequent, small), "phrase", "left")
     token = F.struct("phrase", (F.col("uses") * inverse_frequency(F.col("df"), n_docs))
@@ -277,21 +302,20 @@ def format_hit(name: Column, kind: Column, path: Column) -> Column:
 
 
 def text_hits(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
-              index: tuple[DataFrame, DataFrame] | None = None,
-              small: bool | None = None) -> DataFrame:
+              index: Index | None = None, small: bool | None = None) -> DataFrame:
     """(q, pos, node_id) of distinct normalised texts with their route."""
     small = fits_broadcast(texts, "q") if small is None else small
     docs = symbol_docs(nodes)
-    postings, stats = index or (trigram_postings(docs), corpus_stats(docs))
-    long_hits = top_k(
-        rank_matches(texts.where("route = 'trigram'"), postings, stats, small), "q", k)
+    index = index or Index(trigram_postings(docs), corpus_stats(docs))
+    long_hits = top_k(rank_matches(
+        texts.where("route = 'trigram'"), index.postings, index.stats, small, index.grams), "q", k)
     short_hits = short_search(texts.where("route = 'short'"), nodes, k, small)
     return long_hits.select("q", "pos", "node_id").unionByName(
         short_hits.select("q", "pos", "node_id"))
 
 
 def search_symbols(queries: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
-                   index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                   index: Index | None = None) -> DataFrame:
     """(qid, pos, node_id, symbol_name, node_type, file_path).
 
     Equal query texts are searched, and their hits joined to the nodes, once;

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from symgrove.constants import MAX_TOKENS, SEARCH_LIMIT
 from symgrove.operators import context as g
 from symgrove.operators.files import split_readable
-from symgrove.operators.nodes import read_nodes
-from symgrove.operators.search import read_index, search_symbols
+from symgrove.operators.search import search_symbols
 from symgrove.operators.symbols import symbol_nodes
-from symgrove.plans.storage import append_indexed
+from symgrove.plans.manifest import new_folder
+from symgrove.plans.storage import append_nodes, read_nodes, read_table
+from symgrove.session import scratch_path
 from symgrove.sources.tree import scan_files
 
 
@@ -25,18 +24,21 @@ def ingest_trees(roots: DataFrame, path: str, extended: bool = False,
     that could not be read are rows of ``path/unreadable``, with the error.
     Returns the stored nodes; a table without symbols is empty and searchable.
     """
-    spark = roots.sparkSession
-    batch_id = batch_id or uuid.uuid4().hex
-    files, unreadable = split_readable(scan_files(roots))
-    append_indexed(symbol_nodes(files, ("repo", "rel_path"), extended, id_path), path, batch_id)
-    unreadable.write.mode("overwrite").parquet(f"{path}/unreadable/batch={batch_id}")
+    spark, folder = roots.sparkSession, new_folder()
+    staged = scratch_path(spark, "scanned-files")
+    scanned = scan_files(roots)
+    scanned.write.parquet(staged)                   # every byte is read once
+    files, unreadable = split_readable(spark.read.schema(scanned.schema).parquet(staged))
+    unreadable.write.parquet(f"{path}/unreadable/folder={folder}")
+    append_nodes(symbol_nodes(files, ("repo", "rel_path"), extended, id_path), path, batch_id, folder=folder)
     return read_nodes(spark, path)
 
 
 def search_stored(spark: SparkSession, path: str, queries: DataFrame,
                   k: int = SEARCH_LIMIT) -> DataFrame:
-    """Search the symbols stored under path by their index."""
-    return search_symbols(queries, read_nodes(spark, path), k, read_index(spark, f"{path}/index"))
+    """Search the symbols stored under path by their index; nodes and index are of the same commits."""
+    nodes, index = read_table(spark, path)
+    return search_symbols(queries, nodes, k, index)
 
 
 def context_of_best_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame,

@@ -1,7 +1,7 @@
 """From files on disk to the context of a searched symbol."""
 
-from symgrove.operators.nodes import read_nodes
 from symgrove.plans.end_to_end import context_of_best_hits, ingest_trees, search_stored
+from symgrove.plans.storage import read_nodes
 from symgrove.sources.tree import files_table
 
 

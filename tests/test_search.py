@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symgrove.functions import text as t
 from symgrove.operators import search as s
+from symgrove.plans.manifest import Commit
 
 
 def _symbols():
@@ -81,8 +82,9 @@ def test_all_hits_and_ranks(spark, sqlite_search, small):
 
 def test_search_order_and_stored_index(spark, sqlite_search, tmp_path):
     nodes, queries = _nodes(spark), _queries(spark)
-    s.write_index(s.symbol_docs(nodes), str(tmp_path), salts=2)
-    index = s.read_index(spark, str(tmp_path))
+    s.write_index(s.symbol_docs(nodes), str(tmp_path), "one", salts=2)
+    n, total = s.symbol_docs(nodes).selectExpr("count(*)", "sum(dl)").first()
+    index = s.read_index(spark, str(tmp_path), [Commit("w", "0", 1, "one", facts={"rows": n, "sum_dl": total})])
     for found in (s.search_symbols(queries, nodes, 5), s.search_symbols(queries, nodes, 5, index)):
         got = {}
         for row in found.orderBy("qid", "pos").collect():
@@ -131,3 +133,21 @@ def test_normalisation_matches_python(spark):
 def test_format_hit(spark):
     row = spark.range(1).select(s.format_hit(F.lit("f"), F.lit("method"), F.lit("a/b.py")).alias("h")).first()
     assert row.h == "f [METHOD]\n ↳ a/b.py"
+
+
+def test_stored_search_reads_its_own_buckets(spark, tmp_path):
+    nodes = _nodes(spark)
+    s.write_index(s.symbol_docs(nodes), str(tmp_path), "one")
+    n, total = s.symbol_docs(nodes).selectExpr("count(*)", "sum(dl)").first()
+    index = s.read_index(spark, str(tmp_path), [Commit("w", "0", 1, "one", facts={"rows": n, "sum_dl": total})])
+    asked = spark.createDataFrame([(1, "payment")], "qid bigint, query string")
+    texts = s.route_queries(s.normalize_queries(asked)).select("q", "route").distinct()
+    ranked = s.rank_matches(texts, index.postings, index.stats, True, index.grams)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.split("\n") if "/postings/" in line]
+    assert len(scans) == 2 and any("/grams/" in line for line in plan.split("\n"))
+    for line in scans:
+        assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (?:=|IN)", line) and re.search(r"PushedFilters: \[[^\]]*tri", line)
+    assert ranked.count() > 0
