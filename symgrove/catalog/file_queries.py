@@ -53,7 +53,7 @@ def skip_unreadable(spark: SparkSession, sf: str) -> DataFrame:
     roots = write_tree(files.drop("language"), scratch_path(spark, "tree"))
     manifest = tree.list_tree(roots)
     gone = roots.select("repo", "root", F.lit("gone/missing.py").alias("rel_path"))
-    scanned = tree.read_files(manifest.unionByName(gone))
+    scanned = tree.read_files(manifest.unionByName(gone, allowMissingColumns=True))
     good, bad = f.split_readable(scanned)
     size = F.octet_length("content").cast("long")
     return good.select("repo", "rel_path", size.alias("n_bytes"), F.lit("").alias("read_error")) \
@@ -123,7 +123,7 @@ UNION ALL SELECT DISTINCT repo, 'gone/missing.py', NULL, 'FileNotFoundError' FRO
     "f_ingest_coverage": f"""WITH {v.SQL_V2}, {v.SQL_V3},
 fl AS (SELECT language FROM supported UNION ALL
        SELECT language FROM (SELECT DISTINCT rel_path, language FROM chunk)),
-nl AS (SELECT language, count(*) AS n_nodes FROM expected GROUP BY 1)
+nl AS (SELECT language, count(*) AS n_nodes FROM v3_nodes GROUP BY 1)
 SELECT language, count(*) AS n_files, coalesce(any_value(n_nodes), 0) AS n_nodes,
        CASE WHEN language = 'javascript' THEN 'no rules' WHEN coalesce(any_value(n_nodes), 0) = 0
             THEN 'no symbols' ELSE 'extracted' END AS status

@@ -93,22 +93,21 @@ def expose_env(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prompt_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Each numbered attempt with the target symbol its run works on."""
+    """Each numbered attempt with the node that its run works on."""
     number = F.col("event_id").cast("string")
     last = F.array_join(F.array(F.lit("test {feedback}"), number), " ")
-    return attempts(spark, sf).select(
+    rows = attempts(spark, sf).select(
+        F.concat(F.lit("part:"), F.col("run_id").cast("string")).alias("node_id"),
         "event_id", "mode", (F.col("attempt") - 1).alias("retry_count"),
-        F.concat(F.lit("f_"), F.col("run_id").cast("string")).alias("symbol_name"),
-        F.lit("src/a.py").alias("file_path"), F.lit("python").alias("language"),
-        F.concat(F.lit("def f(): # {language} "), number).alias("source_code"),
         last.alias("current_test_script"), F.col("feedback").alias("evaluator_feedback"),
         F.lit("{}").alias("env_state"), (F.col("event_id") % 3).cast("int").alias("exit_code"),
         F.lit("out").alias("stdout"), F.col("verdict").alias("stderr"))
+    return rows.join(v.nodes(spark, sf).select("node_id", "symbol_name", "file_path", "language", "source_code"), "node_id")
 
 
 def render_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return _prompt_rows(spark, sf).select(
-        "event_id", r.coder_prompt().alias("coder"), r.evaluator_prompt().alias("evaluator"))
+        "event_id", F.md5(r.coder_prompt()).alias("coder_md5"), F.md5(r.evaluator_prompt()).alias("evaluator_md5"))
 
 
 def output_schema(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +147,7 @@ SELECT event_id,
   CASE WHEN host THEN 'host_error' WHEN oom THEN 'oom' WHEN late THEN 'timeout'
        WHEN status_code = 0 THEN 'clean' ELSE 'failed' END AS run_class,
   CASE WHEN host THEN '' ELSE coalesce(stdout, '') END AS stdout,
-  CASE WHEN host THEN 'Host-Level Docker API Error: lost '||event_id ELSE coalesce(stderr, '') END AS stderr
+  CASE WHEN host THEN 'no result from the host: lost '||event_id ELSE coalesce(stderr, '') END AS stderr
 FROM y""",
     "l_clean_log_text": """SELECT doc_id, text||chr(65533)||'A' AS text,
   round_even(n_chars / 7, 2) AS seconds FROM documents""",
@@ -203,20 +202,21 @@ SELECT event_id, '{'||n||'  "auth_headers": '||
   '  "dynamic_endpoints": '||CASE WHEN h THEN '{}' ELSE '{'||n||'    "db": "db:1"'||n||'  }' END||','||n||
   '  "ephemeral_files": '||CASE WHEN h THEN '['||n||'    "/tmp/old"'||n||'  ]' ELSE '[]' END||n||'}' AS env_state
 FROM x""",
-    "l_render_prompt": f"""WITH {v.SQL_V4},
-x AS (SELECT *, chr(10) AS n, attempt > 1 AS again, mode = 'baseline' AS b,
-             'def f(): # {{language}} '||event_id AS src, 'test {{feedback}} '||event_id AS script FROM attempts)
+    "l_render_prompt": f"""WITH {v.SQL_V1}, {v.SQL_V4},
+x AS (SELECT a.*, n.*, chr(10) AS nl, attempt > 1 AS again, mode = 'baseline' AS b, 'test {{feedback}} '||event_id AS script
+      FROM attempts a JOIN nodes n ON n.node_id = 'part:'||a.run_id),
+texts AS (
 SELECT event_id,
-  CASE WHEN b THEN 'Write tests of the normal behaviour of f_' ELSE 'Write tests that try to break f_' END
-  ||run_id||' (python, src/a.py).'||n||'Source:'||n||src||n||
-  CASE WHEN b THEN '' ELSE 'Environment:'||n||'{{}}'||n END||'Last test:'||n||
-  CASE WHEN again THEN script ELSE 'None. This is the first attempt.' END||n||'Feedback:'||n||
-  CASE WHEN again THEN feedback WHEN b THEN 'None. This is the first attempt.'
-       ELSE 'None. This is the first attack vector attempt.' END||n AS coder,
+  CASE WHEN b THEN 'Write tests of the normal behaviour of ' ELSE 'Write tests that try to break ' END
+  ||symbol_name||' ('||language||', '||file_path||').'||nl||'Source:'||nl||source_code||nl||
+  CASE WHEN b THEN '' ELSE 'Environment:'||nl||'{{}}'||nl END||'Last test:'||nl||
+  CASE WHEN again THEN script ELSE '(nothing was tried yet)' END||nl||'Feedback:'||nl||
+  CASE WHEN again THEN feedback WHEN b THEN '(nothing was tried yet)' ELSE '(no attack was tried yet)' END||nl AS coder,
   CASE WHEN b THEN 'Judge a run of normal-behaviour tests.' ELSE 'Judge a run of adversarial tests.' END
-  ||n||'Source:'||n||src||n||'Test:'||n||script||n||'Exit code: '||(event_id % 3)||n||'Output:'||n||
-  'out'||n||'Errors:'||n||verdict||n AS evaluator
-FROM x""",
+  ||nl||'Source:'||nl||source_code||nl||'Test:'||nl||script||nl||'Exit code: '||(event_id % 3)||nl||'Output:'||nl||
+  'out'||nl||'Errors:'||nl||verdict||nl AS evaluator
+FROM x)
+SELECT event_id, md5(coder) AS coder_md5, md5(evaluator) AS evaluator_md5 FROM texts""",
     "l_output_schema": f"""WITH {v.SQL_V4}, x AS (SELECT *, mode = 'baseline' AS b FROM attempts)
 SELECT event_id, verdict, feedback,
   CASE WHEN b THEN 'Authorization=Bearer '||event_id ELSE '' END AS auth_headers,

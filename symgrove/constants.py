@@ -132,7 +132,6 @@ CPU_PERIOD = 100000
 TIMEOUT_GRACE_SECONDS = 1
 TIMEOUT_EXIT_CODE = 137
 HOST_ERROR_EXIT_CODE = -1
-HOST_ERROR_PREFIX = "Host-Level Docker API Error: "
 MISSING_STATUS_EXIT_CODE = 1
 FINGERPRINT_CHARS = 12
 SECRET_MASK = "**********"
@@ -140,8 +139,6 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_MIN_IDF = 1e-6
 URL_NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"
-FIRST_ATTEMPT = "None. This is the first attempt."
-FIRST_ATTACK_FEEDBACK = "None. This is the first attack vector attempt."
 
 # Environment-state fields in output order.
 SECRET_MAPS = ["auth_headers", "cookies", "mock_credentials"]

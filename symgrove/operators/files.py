@@ -98,21 +98,30 @@ def _compiled_rules(rules: DataFrame) -> DataFrame:
         F.concat(F.lit("/"), p.glob_regex(rule), F.lit("/")).alias("regex"))
 
 
+def _matchers(globs: DataFrame) -> DataFrame:
+    """One row per repository: its substring tests, and all other wildcard rules as one regex."""
+    regexes = F.collect_list(F.when(F.col("needle").isNull(), F.col("regex")))
+    return globs.groupBy("repo").agg(
+        F.collect_list("needle").alias("needles"),
+        F.when(F.size(regexes) > 0, F.array_join(F.transform(regexes, lambda r: F.concat(F.lit("(?:"), r, F.lit(")"))), "|"))
+        .alias("regex"))
+
+
 def apply_ignore_rules(files: DataFrame, rules: DataFrame,
                        small: bool | None = None) -> DataFrame:
     """files that no rule of their repository matches.
 
     Rules match whole names at any depth, or from the root if they start with
     ``./``; a matched directory drops what is below it. Rules without
-    wildcards, the bulk, join on (repo, component). The rest join on repo.
+    wildcards, the bulk, join on (repo, component). All wildcard rules of a
+    repository are one row, so a file meets one row however many there are.
     Rules of a measured small size are broadcast and files stay in place;
     otherwise give it a manifest without contents, as both joins shuffle.
     """
     small = fits_broadcast(rules, "rule") if small is None else small
     compiled = _compiled_rules(rules)
-    plain = compiled.where(F.col("first").isNotNull()).select("repo", "first", "needle")
-    globs = compiled.where(F.col("first").isNull()).select("repo", "needle", "regex")
-    plain, globs = hinted(plain, small), hinted(globs, small)
+    plain = hinted(compiled.where(F.col("first").isNotNull()).select("repo", "first", "needle"), small)
+    matchers = hinted(_matchers(compiled.where(F.col("first").isNull())), small)
     padded = F.concat(F.lit("/./"), F.col("rel_path"), F.lit("/"))
     parts = files.select(
         "repo", "rel_path", padded.alias("padded"),
@@ -123,12 +132,11 @@ def apply_ignore_rules(files: DataFrame, rules: DataFrame,
                               & F.contains(F.col("f.padded"), F.col("r.needle")), "left_semi")
         .select("repo", "rel_path").distinct()
     )
-    hit = F.when(F.col("r.needle").isNotNull(), F.contains(padded, F.col("r.needle"))) \
-        .otherwise(F.expr("concat('/./', f.rel_path, '/') rlike r.regex"))
+    hit = F.exists("needles", lambda n: F.contains(padded, n)) \
+        | F.coalesce(F.call_function("rlike", padded, F.col("regex")), F.lit(False))
     return (
-        files.alias("f").join(globs.alias("r"), (F.col("f.repo") == F.col("r.repo")) & hit,
-                              "left_anti")
-        .join(dropped, ["repo", "rel_path"], "left_anti")
+        files.join(matchers, "repo", "left").where(~F.coalesce(hit, F.lit(False))).drop("needles", "regex")
+        .join(dropped, ["repo", "rel_path"], "left_anti").select(*files.columns)
     )
 
 

@@ -23,7 +23,7 @@ def _list(name: str) -> Column:
 
 # --- L1, L2: one execution --------------------------------------------------------
 
-def classify_execution(telemetry: DataFrame) -> DataFrame:
+def classify_execution(telemetry: DataFrame, error_prefix: str = "no result from the host: ") -> DataFrame:
     """L1: report columns of each run from its raw telemetry.
 
     A lost connection at or past the timeout (less the grace) is a timeout;
@@ -46,7 +46,7 @@ def classify_execution(telemetry: DataFrame) -> DataFrame:
     return telemetry.withColumns({
         "exit_code": exit_code.cast("int"), "timed_out": timed_out, "oom_killed": oom,
         "stdout": F.when(host_error, "").otherwise(F.coalesce("stdout", F.lit(""))),
-        "stderr": F.when(host_error, F.concat(F.lit(c.HOST_ERROR_PREFIX), F.coalesce("error_message", F.lit(""))))
+        "stderr": F.when(host_error, F.concat(F.lit(error_prefix), F.coalesce("error_message", F.lit(""))))
         .otherwise(F.coalesce("stderr", F.lit(""))),
         "duration_seconds": F.when(host_error, 0.0).otherwise(round_seconds(F.col("elapsed"))),
         "run_class": run_class})
@@ -249,22 +249,24 @@ def fill_template(template: str, fields: dict[str, Column] | None = None) -> Col
     return F.concat(*parts)
 
 
-def coder_prompt(baseline: str = BASELINE_CODER, adversary: str = ADVERSARY_CODER) -> Column:
+def coder_prompt(baseline: str = BASELINE_CODER, adversary: str = ADVERSARY_CODER,
+                 no_test: str = "(nothing was tried yet)", no_attack: str = "(no attack was tried yet)") -> Column:
     """The coder's prompt of each row by mode.
 
-    Earlier test and feedback appear from the second attempt on. The
+    Earlier test and feedback appear from the second attempt on, before it
+    ``no_test``, and ``no_attack`` as an adversary's feedback. The
     adversary's ``env_state`` is a column made by :func:`expose_env_json`.
     """
     again = F.col("retry_count") > 0
-    previous = F.when(again, F.col("current_test_script")).otherwise(c.FIRST_ATTEMPT)
+    previous = F.when(again, F.col("current_test_script")).otherwise(no_test)
 
     def feedback(first: str) -> Column:
         return F.when(again, F.col("evaluator_feedback")).otherwise(first)
 
     return F.when(_is("mode", "baseline"), fill_template(
-        baseline, {"previous_test": previous, "feedback": feedback(c.FIRST_ATTEMPT)})).otherwise(
+        baseline, {"previous_test": previous, "feedback": feedback(no_test)})).otherwise(
         fill_template(adversary, {"previous_test": previous,
-                                  "feedback": feedback(c.FIRST_ATTACK_FEEDBACK)}))
+                                  "feedback": feedback(no_attack)}))
 
 
 def evaluator_prompt(baseline: str = BASELINE_EVALUATOR,

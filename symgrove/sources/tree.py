@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symgrove.operators.files import map_language, searched_dirs
+from symgrove.plans.skew import byte_packed
 from symgrove.schemas import SCANNED_FILES
 from symgrove.session import scratch_path
 
-_ENTRY = "repo string, root string, rel_path string, is_dir boolean"
+_ENTRY = "repo string, root string, rel_path string, is_dir boolean, n_bytes bigint, list_error string"
 _LIST_ROWS = 10_000
 _READ_BYTES = 32 << 20
 
@@ -45,39 +46,48 @@ def write_bytes(path: str, content: bytes) -> None:
         stream.write(content)
 
 
-def _children(root: str, rel_dir: str) -> Iterator[tuple[str, bool]]:
-    """(name, is_dir) of one directory; links to directories are left out."""
+def _children(root: str, rel_dir: str) -> Iterator[tuple[str, bool, int | None]]:
+    """(name, is_dir, bytes) of one directory; links to directories are left out."""
     full = local_path(os.path.join(root, rel_dir) if rel_dir else root)
     if "://" in full:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(full)
         for info in system.get_file_info(fs.FileSelector(base)):
-            yield info.base_name, info.type == fs.FileType.Directory
-        return
-    try:
-        with os.scandir(full) as entries:
-            for entry in entries:
-                if not entry.is_dir():
-                    yield entry.name, False
-                elif not entry.is_symlink():
-                    yield entry.name, True
-    except OSError:
+            yield info.base_name, info.type == fs.FileType.Directory, info.size
         return
+    with os.scandir(full) as entries:
+        for entry in entries:
+            if not entry.is_dir():
+                try:
+                    size = entry.stat().st_size
+                except OSError:         # a link to nothing: reading it will say so
+                    size = None
+                yield entry.name, False, size
+            elif not entry.is_symlink():
+                yield entry.name, True, None
 
 
 def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["repo", "root", "rel_path", "is_dir"]
+    """Entries of directories; one that can't be listed is a row with the error in place of its entries."""
+    columns = ["repo", "root", "rel_path", "is_dir", "n_bytes", "list_error"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"n_bytes": "Int64"})
+
     for batch in batches:
         rows = []
         for repo, root, rel in zip(batch["repo"], batch["root"], batch["rel_path"]):
-            for name, is_dir in _children(root, rel):
-                rows.append((repo, root, f"{rel}/{name}" if rel else name, is_dir))
-                if len(rows) >= _LIST_ROWS:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+            try:
+                for name, is_dir, size in _children(root, rel):
+                    rows.append((repo, root, f"{rel}/{name}" if rel else name, is_dir, size, None))
+                    if len(rows) >= _LIST_ROWS:
+                        yield frame(rows)
+                        rows = []
+            except OSError as failure:
+                rows.append((repo, root, rel, False, None, type(failure).__name__))
         if rows:
-            yield pd.DataFrame(rows, columns=columns)
+            yield frame(rows)
 
 
 def _read_bytes(path: str) -> bytes:
@@ -116,8 +126,12 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks, "repo", "rel_path")
 
 
-def list_tree(roots: DataFrame, prune: bool = True) -> DataFrame:
-    """(repo, root, rel_path) of every file below the (repo, root) rows."""
+def list_entries(roots: DataFrame, prune: bool = True) -> DataFrame:
+    """(repo, root, rel_path, n_bytes, list_error) of every file below the (repo, root) rows.
+
+    A root or directory that cannot be listed is a row too, with its own path
+    and ``list_error`` set.
+    """
     spark = roots.sparkSession
     base = scratch_path(spark, "listing")
     level, depth = roots.select("repo", "root", F.lit("").alias("rel_path")), 0
@@ -130,15 +144,23 @@ def list_tree(roots: DataFrame, prune: bool = True) -> DataFrame:
             break
         level, depth = found.select("repo", "root", "rel_path"), depth + 1
     return spark.read.schema(_ENTRY).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)]) \
-        .where(~F.col("is_dir")).select("repo", "root", "rel_path")
+        .where(~F.col("is_dir")).drop("is_dir")
+
+
+def list_tree(roots: DataFrame, prune: bool = True) -> DataFrame:
+    """(repo, root, rel_path, n_bytes) of every file below the (repo, root) rows."""
+    return list_entries(roots, prune).where("list_error IS NULL").drop("list_error")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
     """bytes of the files named by (repo, root, rel_path).
 
-    A file that cannot be read keeps its row, with ``read_error`` set.
+    A file that cannot be read keeps its row, with ``read_error`` set. With
+    ``n_bytes`` given, tasks read about equal numbers of bytes.
     """
-    return _spread(manifest.select("repo", "root", "rel_path")) \
+    size = F.col("n_bytes") if "n_bytes" in manifest.columns else F.lit(None).cast("bigint")
+    files = manifest.select("repo", "root", "rel_path", size.alias("n_bytes"))
+    return byte_packed(files, "n_bytes", ["repo", "rel_path"]).drop("n_bytes") \
         .mapInPandas(_read_rows, SCANNED_FILES)
 
 
@@ -146,8 +168,14 @@ def scan_files(roots: DataFrame) -> DataFrame:
     """one row per supported source file below each root, with its bytes.
 
     Pruning and the extension filter run on paths, before any byte is read.
+    What could not be listed is a row without language, with ``read_error``.
     """
-    return map_language(read_files(map_language(list_tree(roots)).drop("language")))
+    entries = list_entries(roots)
+    read = read_files(map_language(entries.where("list_error IS NULL")).drop("language", "list_error"))
+    unlisted = entries.where("list_error IS NOT NULL").select(
+        "repo", "rel_path", F.lit(None).cast("binary").alias("content"), F.col("list_error").alias("read_error"),
+        F.lit(None).cast("string").alias("language"))
+    return map_language(read).unionByName(unlisted)
 
 
 def files_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

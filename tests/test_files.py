@@ -48,8 +48,9 @@ def test_every_extension_is_scanned(spark, tmp_path):
 
 def test_unreadable_file_is_kept_apart(spark, tmp_path):
     _write(tmp_path, {"a.py": "x", "b.py": b"\xff\x00"})
-    manifest = tree.list_tree(_roots(spark, ("r", str(tmp_path)))).union(
-        spark.createDataFrame([("r", str(tmp_path), "gone.py")], "repo string, root string, rel_path string"))
+    manifest = tree.list_tree(_roots(spark, ("r", str(tmp_path)))).unionByName(
+        spark.createDataFrame([("r", str(tmp_path), "gone.py")], "repo string, root string, rel_path string"),
+        allowMissingColumns=True)
     good, bad = f.split_readable(tree.read_files(manifest))
     assert {r.rel_path: bytes(r.content) for r in good.collect()} == {"a.py": b"x", "b.py": b"\xff\x00"}
     assert [(r.rel_path, r.read_error) for r in bad.collect()] == [("gone.py", "FileNotFoundError")]
@@ -59,8 +60,38 @@ def test_two_roots_and_missing_root(spark, tmp_path):
     _write(tmp_path, {"one/x.py": "1", "two/x.py": "2"})
     roots = _roots(spark, ("one", str(tmp_path / "one")), ("two", f"file://{tmp_path}/two"),
                    ("none", str(tmp_path / "none")))
-    assert {(r.repo, bytes(r.content)) for r in tree.scan_files(roots).collect()} == \
-        {("one", b"1"), ("two", b"2")}
+    good, bad = f.split_readable(tree.scan_files(roots))
+    assert {(r.repo, bytes(r.content)) for r in good.collect()} == {("one", b"1"), ("two", b"2")}
+    assert [(r.repo, r.rel_path, r.read_error) for r in bad.collect()] == [("none", "", "FileNotFoundError")]
+
+
+def test_read_tasks_hold_equal_bytes(spark, tmp_path, monkeypatch):
+    from symgrove.plans import skew
+    monkeypatch.setattr(skew, "OPEN_BYTES", 0)
+    monkeypatch.setattr(skew, "LEAST_TASK", 1)
+    rows = [(f"r{i % 3}", f"f{i}", 10_000 if i % 97 == 0 else 1 + i * 7919 % 60) for i in range(5000)] + [("big", "b", 400_000)]
+    files = spark.createDataFrame(rows, "repo string, rel_path string, n_bytes bigint")
+    packed = skew.byte_packed(files, "n_bytes", ["repo", "rel_path"], tasks=16)
+    assert packed.columns == files.columns and packed.count() == len(rows)
+    sums = packed.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.sum("n_bytes").alias("n"), F.max("n_bytes").alias("largest"), F.count("*").alias("files")).collect()
+    most = sum(r[2] for r in rows) // 16 + 1
+    assert [r.files for r in sums if r.largest == 400_000] == [1]
+    usual = sorted(r.n for r in sums if r.largest < most)
+    assert usual[-1] <= most + 10_000 and usual[1] >= most / 2     # the last one holds what is left
+    assert skew.byte_packed(files.limit(0), "n_bytes", ["repo", "rel_path"]).count() == 0
+
+
+def test_unreadable_directory_is_a_row(spark, tmp_path, monkeypatch):
+    _write(tmp_path, {"a/x.py": "1", "b/y.py": "2"})
+    os.symlink(tmp_path / "nowhere", tmp_path / "a" / "lost.py")
+    rows = list(tree._list_dirs(iter([__import__("pandas").DataFrame(
+        {"repo": ["r", "r"], "root": [str(tmp_path)] * 2, "rel_path": ["a", "a/x.py"]})])))
+    got = {(r.rel_path, r.is_dir, r.list_error) for frame in rows for r in frame.itertuples()}
+    assert got == {("a/x.py", False, None), ("a/lost.py", False, None), ("a/x.py", False, "NotADirectoryError")}
+    good, bad = f.split_readable(tree.scan_files(_roots(spark, ("r", str(tmp_path)))))
+    assert {r.rel_path for r in good.collect()} == {"a/x.py", "b/y.py"}
+    assert [(r.rel_path, r.read_error) for r in bad.collect()] == [("a/lost.py", "FileNotFoundError")]
 
 
 def test_extension_matches_splitext(spark):

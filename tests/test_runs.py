@@ -87,13 +87,13 @@ def test_execution_classes(spark, row, want):
     got = r.classify_execution(spark.createDataFrame([(*row, "out", None, "gone")], TELEMETRY)).first()
     assert (got.exit_code, got.timed_out, got.oom_killed, got.duration_seconds, got.run_class) == want
     lost = got.run_class == "host_error"
-    assert (got.stdout, got.stderr) == (("", "Host-Level Docker API Error: gone") if lost else ("out", ""))
+    assert (got.stdout, got.stderr) == (("", "no result from the host: gone") if lost else ("out", ""))
 
 
 def test_lost_connection_without_a_time_is_a_host_error(spark):
     row = (None, None, 3, True, None, None, "out", "err", None)
     got = r.classify_execution(spark.createDataFrame([row], TELEMETRY)).first()
-    assert (got.run_class, got.exit_code, got.stdout, got.stderr) == ("host_error", -1, "", "Host-Level Docker API Error: ")
+    assert (got.run_class, got.exit_code, got.stdout, got.stderr) == ("host_error", -1, "", "no result from the host: ")
 
 
 def test_invalid_utf8_is_replaced_like_python(spark):
@@ -188,8 +188,8 @@ def test_prompts(spark):
     text = "{source_code}|{previous_test}|{feedback}|{{x}}"
     got = [x[0] for x in rows.select(r.coder_prompt(text, text)).collect()]
     assert got == [
-        f"{{feedback}}|{c.FIRST_ATTEMPT}|{c.FIRST_ATTEMPT}|{{x}}",
-        f"s|{c.FIRST_ATTEMPT}|{c.FIRST_ATTACK_FEEDBACK}|{{x}}", "s|old {x}||{x}"]
+        f"{{feedback}}|(nothing was tried yet)|(nothing was tried yet)|{{x}}",
+        f"s|(nothing was tried yet)|(no attack was tried yet)|{{x}}", "s|old {x}||{x}"]
 
 
 def test_adversarial_output_has_no_extracted_data(spark):
@@ -197,3 +197,17 @@ def test_adversarial_output_has_no_extracted_data(spark):
     baseline, adversarial = r.select_output(_state(spark, rows)).collect()
     assert baseline.extracted_cookies == {"a": "1"} and baseline.extracted_ephemeral_files == ["f"]
     assert adversarial.extracted_cookies == {} and adversarial.extracted_ephemeral_files == []
+
+
+def test_attempts_of_one_day_are_numbered_in_several_tasks(spark, monkeypatch):
+    from symgrove.plans import skew
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 < 2, 1).when(F.col("id") % 30 != 2, F.col("id") % 7).alias("run_id"),
+        F.when(F.col("id") % 11 != 0, F.timestamp_seconds(F.lit(1_000_000) + F.col("id") * 7919 % 500)).alias("ts"),
+        (F.col("id") * 31 % 3000).alias("event_id")).repartition(5)
+    want = {(x.run_id, x.event_id, x.attempt) for x in sliced_row_number(rows, ["run_id"], ["ts", "event_id"], F.lit(0), "attempt").collect()}
+    monkeypatch.setattr(skew, "SLICE_ROWS", 400)
+    got = r.number_attempts(rows)
+    assert {(x.run_id, x.event_id, x.attempt) for x in got.collect()} == want and got.columns == [*rows.columns, "attempt"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "numbered-ranges" in plan
