@@ -25,7 +25,9 @@ word emission with the smoothed frequency of the word:
 Each factor sums to 1 with one place for all unknown words, so scores of texts
 are comparable with the base score, which is the second factor alone.
 
-Defined results: a null or empty text is its end token alone; repeated rows
+Defined results: a null or empty text is its end token alone; a very long text
+is a chunk of its own and scored whole; words are bytes, so those that are not
+UTF-8 are words like others; repeated rows
 and equal keys count and are scored row by row; null keys stay null; without
 training rows every count is 0; other columns are not read; an empty table
 gives no rows.
@@ -65,13 +67,17 @@ TOLD = "chunk long, keys array<long>, train array<boolean>, first array<int>, n
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Codes below 2^24 as three planes of bytes, which compress well."""
-    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+    """Codes as planes of bytes, which compress well: as many planes as the largest code needs, after their number."""
+    planes = 3 if codes.max(initial=0) < 1 << 24 else 4
+    return bytes([planes]) + np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    codes = planes[0].astype(np.int64)
+    for i in range(1, len(planes)):
+        codes |= planes[i].astype(np.int64) << 8 * i
+    return codes
 
 
 def chunked(docs: DataFrame, key: str, text: str, train) -> DataFrame:

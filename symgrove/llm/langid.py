@@ -10,14 +10,17 @@ among all.
 
 The sample holds of each language's distinct texts, chosen by hash, its share of
 SAMPLE_ROWS or LANG_ROWS, whichever is more (all texts if it has fewer), so a
-rare language is learned whatever the size of the others; counting it is a Spark job, and only the WORDS most frequent words and the
-GRAMS most frequent n-grams are fetched. Scoring is one pass over whole texts.
+rare language is learned whatever the size of the others. Every word and
+n-gram of the sample is known; its rows bound the model. Scoring is one pass
+over whole texts. Each distinct word of a slice of texts is looked up once, all
+of them together: known words and n-grams by one search in a table.
 
 Defined results: a null text or one without a letter, and every text if
 nothing was learned, is ``und`` with score 0; rows with a null language or a
-null text teach nothing; ties go to the language that sorts first; repeated
-rows count each; other columns are carried, clashing ones replaced; an empty
-table gives no rows.
+null text teach nothing; texts of any length are judged whole, in slices of
+several texts or alone; bytes that are not UTF-8 are no letters; ties go to the
+language that sorts first; repeated rows count each; other columns are carried,
+clashing ones replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,15 +39,12 @@ from symgrove.llm.words import coded_words, text_slices
 SAMPLE_ROWS = 20_000
 # Texts that a language has in the sample at least, about, if it has as many.
 LANG_ROWS = 2_000
-WORDS = 60_000
-GRAMS = 60_000
 LENGTHS = (4, 3, 2, 1)
 ALPHA = 0.1
 UNKNOWN = "und"
-# Scores of unknown words that a worker remembers.
-REMEMBERED = 100_000
 
 _LETTERS = regex.compile(r"\p{L}+")
+_LETTERS_OR_END = regex.compile(r"\p{L}+|\n")
 
 
 def word_parts(word: bytes) -> list[str]:
@@ -51,31 +52,74 @@ def word_parts(word: bytes) -> list[str]:
     return _LETTERS.findall(word.decode(errors="replace").lower())
 
 
-def grams(word: str, length: int) -> list[str]:
-    """Character n-grams of a word between its bounds."""
-    marked = f"^{word}$" if length > 1 else word
-    return [marked[i:i + length] for i in range(len(marked) - length + 1)] or [marked]
+def parts_of(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The word_parts of many words, one after another, and the word each belongs to."""
+    found = _LETTERS_OR_END.findall(b"\n".join(words.to_pylist()).decode(errors="replace").lower())
+    if not found:
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    parts = pa.array(found, pa.string())
+    ends = pc.equal(parts, "\n").to_numpy(zero_copy_only=False)
+    return parts.filter(pa.array(~ends)), np.cumsum(ends)[~ends]
+
+
+def _window_hashes(points: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` code points from starts on, counts of them each, one after another."""
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+    found = np.full(len(at), length, dtype=np.uint64)
+    for i in range(length):
+        found = (found ^ points[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def gram_hashes(words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character n-grams of words between their bounds, and how many each word has; a short word is one."""
+    marked = [f"^{w}$" if length > 1 else w for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
+    counts = np.maximum(sizes - length + 1, 1)
+    hashes, short = np.zeros(counts.sum(), np.uint64), sizes < length
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else counts
+    long = np.repeat(~short, counts)
+    hashes[long] = _window_hashes(points, starts[~short], counts[~short], length)
+    for size in np.unique(sizes[short]):
+        of_size = np.flatnonzero(sizes == size)
+        hashes[first[of_size]] = _window_hashes(points, starts[of_size], np.ones(len(of_size), np.int64), int(size))
+    return hashes, counts
 
 
 @dataclass
 class Model:
+    """Known words and, by hash in ascending order, n-grams; their log frequencies, one column per language."""
+
     languages: list[str] = field(default_factory=list)
-    words: dict[str, int] = field(default_factory=dict)
-    word_logs: np.ndarray | None = None
-    grams: dict[str, int] = field(default_factory=dict)
-    gram_logs: np.ndarray | None = None
-
-    def logs(self, word: str) -> np.ndarray:
-        """Log frequency of a word in each language, backed off if it is unknown."""
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_logs[at]
+    words: pa.Array = field(default_factory=lambda: pa.array([], pa.string()))
+    word_logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    gram_logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+
+    def logs(self, words: pa.Array) -> np.ndarray:
+        """Log frequencies of words in each language, backed off where they are unknown."""
+        found = np.zeros((len(words), len(self.languages)))
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        found[place >= 0] = self.word_logs[place[place >= 0]]
+        left = np.flatnonzero(place < 0)
+        names = words.take(pa.array(left)).to_pylist()
         for length in LENGTHS:
-            parts = grams(word, length)
-            known = [self.grams[g] for g in parts if g in self.grams]
-            if 2 * len(known) >= len(parts):
-                return self.gram_logs[known].mean(axis=0)
-        return np.zeros(len(self.languages))
+            if not len(left) or not len(self.grams):
+                break
+            hashes, counts = gram_hashes(names, length)
+            at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
+            known = self.grams[at] == hashes
+            word = np.repeat(np.arange(len(names)), counts)
+            n_known = np.bincount(word, weights=known, minlength=len(names))
+            enough = 2 * n_known >= counts
+            for i in range(len(self.languages)):
+                sums = np.bincount(word[known], weights=self.gram_logs[at[known], i], minlength=len(names))
+                found[left[enough], i] = sums[enough] / n_known[enough]
+            left, names = left[~enough], [n for n, e in zip(names, enough) if not e]
+        return found
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -107,17 +151,15 @@ def _gram_column(length: int) -> Column:
                        lambda i: F.substring(marked, i, F.lit(length)))
 
 
-def _logs(best: DataFrame, name: str, totals: dict[str, int], languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the names and their smoothed log frequency in each language."""
-    rows = best.collect()
-    number = {r[name]: i for i, r in enumerate(rows)}
-    table = np.zeros((len(rows), len(languages)))
-    place = {x: i for i, x in enumerate(languages)}
-    for i, r in enumerate(rows):
-        for lang, n in r["counts"]:
-            table[i, place[lang]] = n
-    whole = np.array([totals.get(x, 0) for x in languages])
-    return number, np.log((table + ALPHA) / (whole + ALPHA * max(len(rows), 1)))
+def _logs(counts: DataFrame, name: str, languages: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The names of (name, lang, n) and their smoothed log frequency in each language. The sample's rows bound them."""
+    rows = counts.select(name, "lang", "n").toArrow().combine_chunks()
+    coded = rows[name].combine_chunks().dictionary_encode()
+    names = coded.dictionary
+    place = pc.index_in(rows["lang"].combine_chunks(), value_set=pa.array(languages, pa.string())).to_numpy(zero_copy_only=False)
+    table = np.zeros((len(names), len(languages)))
+    table[coded.indices.to_numpy(zero_copy_only=False), place] = rows["n"].to_numpy()
+    return names, np.log((table + ALPHA) / (table.sum(axis=0) + ALPHA * max(len(names), 1)))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, lang_rows: int = LANG_ROWS) -> Model:
@@ -134,21 +176,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     chosen = known.join(F.broadcast(shares), "lang").where(F.pmod("hash", F.lit(1 << 40)) < F.col("below"))
     sample = stored(chosen.select("text", "lang").distinct(), "langid-sample")
     counts = stored(_counted(sample), "langid-counts")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
-    pairs = F.collect_list(F.struct("lang", "n")).alias("counts")
-    best = (counts.groupBy("word").agg(pairs, F.sum("n").alias("total")).where("total > 1")
-            .orderBy(F.desc("total"), "word").limit(WORDS))
-    words, word_logs = _logs(best, "word", totals, languages)
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    words, word_logs = _logs(counts, "word", languages)
 
     # Distinct words count once: unknown words resemble the rare ones.
     lists = [_gram_column(n) for n in LENGTHS]
     found = counts.select("lang", F.explode(F.concat(*lists)).alias("gram")).groupBy("gram", "lang").agg(F.count("*").alias("n"))
-    found = stored(found, "langid-grams")
-    gram_totals = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    best = (found.groupBy("gram").agg(pairs, F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(GRAMS))
-    gram_number, gram_logs = _logs(best, "gram", gram_totals, languages)
-    return Model(languages, words, word_logs, gram_number, gram_logs)
+    grams, gram_logs = _logs(found, "gram", languages)
+    hashes = np.zeros(len(grams), np.uint64)
+    sizes = pc.utf8_length(grams).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        of_size = np.flatnonzero(sizes == size)
+        points = np.frombuffer("".join(grams.take(pa.array(of_size)).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        hashes[of_size] = _window_hashes(points, np.arange(len(of_size)) * size, np.ones(len(of_size), np.int64), int(size))
+    order = np.argsort(hashes)
+    return Model(languages, words, word_logs, hashes[order], gram_logs[order])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -159,20 +201,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     place, size = names.index(text), len(model.languages)
 
     def judge(batches):
-        memory: dict[bytes, tuple[np.ndarray, int]] = {}
         for batch in batches:
             predicted, scores = [], []
             for low, high, data, offsets in text_slices(batch.column(place)):
                 codes, words, first = coded_words(data, offsets)
-                table, letters = np.zeros((len(words), size)), np.zeros(len(words), np.int64)
-                for i, word in enumerate(words.to_pylist()):
-                    found = memory.get(word)
-                    if found is None:
-                        parts = word_parts(word)
-                        found = sum((model.logs(p) for p in parts), np.zeros(size)), len(parts)
-                        if len(memory) < REMEMBERED:
-                            memory[word] = found
-                    table[i], letters[i] = found
+                parts, of_word = parts_of(words)
+                coded = parts.dictionary_encode()
+                each = model.logs(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+                letters = np.bincount(of_word, minlength=len(words))
+                table = np.stack([np.bincount(of_word, weights=each[:, i], minlength=len(words)) for i in range(size)], axis=1) \
+                    if size else np.zeros((len(words), 0))
                 n = high - low
                 row = np.repeat(np.arange(n), np.diff(first))
                 some = np.bincount(row, weights=letters[codes], minlength=n) > 0 if len(codes) else np.zeros(n, bool)

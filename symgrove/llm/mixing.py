@@ -17,10 +17,12 @@ chunk, and of a larger one settled documents that each chunk hands on with
 those it leaves, HELD for 0 and for 1 of each power of two of words, the
 largest first. Only keys and sizes take part, never texts.
 
-Defined results: a null or empty text has size 0 and takes nothing; a null
-source is a source of its own, last in order; rows equal in key, source and
-size share one decision and count together; a source without words has target
-0; clashing columns are replaced; an empty table gives no rows.
+Defined results: a null or empty text has size 0 and takes nothing; a very
+long text is one document like others, its words counted whole; a null source
+is a source of its own, last in order; of rows equal in key, source and size
+the expected number, rounded down, is taken for certain and one more row is
+left to the cube, which of them is taken is arbitrary; a source without words
+has target 0; clashing columns are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from symgrove.llm.tables import stored
 from symgrove.llm.words import word_count
+from symgrove.plans.skew import sliced_row_number
 
 # By rank of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -44,6 +47,8 @@ TURNS = 12
 # Settled documents that a chunk hands on for that, of each outcome and power of two of words.
 HELD = 2
 TINY = 1e-9
+# Row numbers of one slice when rows that are alike are numbered.
+SLICE_ROWS = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -174,16 +179,26 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     targets = stored(source_targets(sizes, weights, share, most), "source-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     named = targets.withColumnRenamed("source", "name")
+    # Of rows that are alike as many as their parts add up to are certain to be taken once more; one row is left to the cube.
+    over = F.col("rows") * F.greatest(rate - F.floor(rate + TINY), F.lit(0.0))
     rated = units.join(named, F.col("source").eqNullSafe(F.col("name"))).select(
-        "key", "source", "size", "rows", "words", "source_size", "target",
-        F.floor(rate + TINY).alias("whole"), F.xxhash64("key", "source", "size").alias("order"),
-        F.greatest(rate - F.floor(rate + TINY), F.lit(0.0)).alias("part"))
+        "key", "source", "size", F.col("rows").alias("alike"), F.lit(1).alias("rows"), F.col("size").alias("words"),
+        "source_size", "target", F.floor(rate + TINY).alias("whole"), F.floor(over + TINY).alias("certain"),
+        F.xxhash64("key", "source", "size").alias("order"),
+        F.greatest(over - F.floor(over + TINY), F.lit(0.0)).alias("part"))
     chosen = stored(decisions(rated), "decisions").select(
         F.col("key").alias("d_key"), F.col("source").alias("d_source"), F.col("size").alias("d_size"), "source_size", "target",
-        (F.col("whole") + F.col("part").cast("bigint")).alias("copies"))
+        "alike", "whole", (F.col("certain") + F.col("part").cast("bigint")).alias("once_more"))
     same = (F.col(key).eqNullSafe(F.col("d_key")) & F.col(source).eqNullSafe(F.col("d_source")) & (F.col("size") == F.col("d_size")))
-    return sized.join(chosen, same).select(*docs.columns, "size", "source_size", "target", "copies",
-                                           (F.col("copies") * F.col("size")).alias("taken"))
+    taken = sized.withColumn("_row", F.monotonically_increasing_id()).join(chosen, same)
+    dealt = taken.where("alike = 1").withColumn("_nth", F.lit(1))
+    if not chosen.where("alike > 1").isEmpty():
+        # A group of rows that are alike may be large: numbered in slices.
+        dealt = dealt.unionByName(sliced_row_number(
+            taken.where("alike > 1"), ["d_key", "d_source", "d_size"], ["_row"], F.floor(F.col("_row") / SLICE_ROWS), "_nth"))
+    copies = F.col("whole") + (F.col("_nth") <= F.col("once_more")).cast("bigint")
+    return dealt.withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies",
+                                                     (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from symgrove.llm.components import components
@@ -45,6 +45,8 @@ EMPTY = np.uint16(0xFFFF)
 BAND_ROWS = 6
 BANDS = BUCKETS // BAND_ROWS
 ESTIMATE_SIGMAS = 4.75
+# Members of a prefix shingle from which on sizes are part of its key.
+HOT_MEMBERS = 200
 # The constant of the expected number of chance matches between compressed registers.
 CHANCE = 0.169919487159739093975315012348
 
@@ -200,13 +202,22 @@ def _listed(member: DataFrame) -> DataFrame:
     return named.mapInArrow(rows, "member long, rep long, label long, n long, h long")
 
 
+def _size_class(n: Column) -> Column:
+    """Grows with n, by one for every two hundredths."""
+    return F.floor(F.log(n.cast("double")) * 50)
+
+
 def pairs_apart(member: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members (rep, label, hashes) of different labels that can reach the threshold.
 
     Prefix filtering: with every set ordered from its rarest shingle, two sets
     that reach the threshold share a shingle within their first places, and
     what stands behind the places of the first shared one must suffice for the
-    overlap. Sets with many shingles of their own thus meet nobody. No pair
+    overlap. For a partner of its own size or larger only the first ninth (at
+    80 percent) of a set's places can be the first shared one, for a smaller
+    partner the first fifth: so pages of one template with enough of their own
+    meet nobody, however many they are. At a shingle of many members, the sizes
+    that a partner may have, given both places, are part of the key. No pair
     that reaches the threshold is lost, and at each shingle only members
     outside its largest label look for partners.
     """
@@ -217,17 +228,36 @@ def pairs_apart(member: DataFrame, percent: int) -> DataFrame:
     total = Window.partitionBy("member")
     # Shingles of one member alone come first, unlisted.
     placed = shared.withColumn("place", F.row_number().over(places) - 1 + F.col("n") - F.count("*").over(total))
-    first = stored(placed.where(100 * F.col("place") <= (100 - percent) * F.col("n")).select("h", "rep", "label", "n", "place"), "prefixes")
-    largest = stored(first.groupBy("h", "label").agg(F.count("*").alias("members")).groupBy("h").agg(
-        F.max(F.struct("members", "label"))["label"].alias("largest"), F.count("*").alias("labels")).where("labels > 1")
-        .select("h", "largest"), "largest-labels")
-    seekers = stored(first.join(largest, "h").where("label != largest").select(
-        "h", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a")), "seekers")
-    left = F.least(F.col("n") - F.col("place"), F.col("n_a") - F.col("place_a"))
-    enough = left * (100 + percent) >= percent * (F.col("n") + F.col("n_a"))
-    met = seekers.join(first, "h").where((F.col("label") != F.col("label_a")) & enough
-                                         & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")))
-    return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).where("a != b").distinct()
+    n, left = F.col("n"), F.col("n") - F.col("place")
+    first = stored(placed.where(100 * F.col("place") <= (100 - percent) * n).select("h", "rep", "label", "n", "place"), "prefixes")
+    hot = stored(first.groupBy("h", "label").agg(F.count("*").alias("members")).groupBy("h").agg(
+        F.max(F.struct("members", "label"))["label"].alias("largest"), F.count("*").alias("labels"),
+        F.sum("members").alias("members")).where("labels > 1")
+        .select("h", "largest", (F.col("members") > HOT_MEMBERS).alias("hot")), "largest-labels")
+    rows = stored(first.join(hot, "h"), "placed-prefixes")
+    # Given a place, the size of a partner is at most this, in hundredths of the threshold's terms.
+    most = F.floor(left * (100 + percent) / percent) - n
+    own, none = _size_class(n), F.array(F.lit(0).cast("bigint"))
+
+    def classes(low: Column, high: Column) -> Column:
+        return F.explode(F.when(F.col("hot"), F.sequence(_size_class(low), _size_class(high))).otherwise(none))
+
+    own = F.when(F.col("hot"), own).otherwise(0)
+    smaller = rows.where(left * (100 + percent) >= 2 * percent * n).select(
+        "h", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), left.alias("left_a"),
+        (F.col("label") == F.col("largest")).alias("common_a"), own.alias("class_a"),
+        classes(n, F.least(most, F.floor(n * 100 / percent))).alias("class_b"))
+    larger = rows.where(most * 100 >= percent * n).select(
+        "h", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), left.alias("left_b"),
+        (F.col("label") == F.col("largest")).alias("common_b"), own.alias("class_b"),
+        classes(F.ceil(n * percent / 100), F.greatest(F.least(most, n), F.ceil(n * percent / 100))).alias("class_a"))
+    keys = ["h", "class_a", "class_b"]
+    met = smaller.where("NOT common_a").join(larger, keys).unionByName(
+        smaller.where("common_a").join(larger.where("NOT common_b"), keys))
+    enough = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    met = met.where((F.col("label_a") != F.col("label_b")) & (F.col("n_a") <= F.col("n_b")) & enough
+                    & (100 * F.col("n_a") >= percent * F.col("n_b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,

@@ -7,8 +7,8 @@ they place every id in one global stream. Pass two cuts the stream at
 multiples of the sequence length: a document becomes one boundary record per
 window that it touches. Nothing is sorted and no text is shuffled.
 
-Defined results: a null or empty text is its end mark alone; a text of any
-length is stored in blocks of BLOCK ids, each cut on its own; repeated rows
+Defined results: a null or empty text is its end mark alone; bytes that are
+not UTF-8 are read as U+FFFD; a text of any length is stored in blocks of BLOCK ids, each cut on its own; repeated rows
 and equal keys are packed once per row; null keys stay null; other columns of
 the input are not carried; an empty table gives no rows. Only the last
 sequence is shorter than the length.
@@ -65,7 +65,7 @@ def token_blocks(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: i
                         names=schema.names)
                 before += len(ids)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(encode, schema)
+    return docs.select(F.col(key).alias("key"), F.make_valid_utf8(F.col(text).cast("string")).alias("text")).mapInArrow(encode, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = SEQUENCE,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from symgrove.llm import (
     class_lm, conversations, exact_dedup, langid, merkle, mixing, near_dups, packing, token_counts, token_files, topk,
     toxicity, url_filter)
-from symgrove.llm.sql import OP11_SQL, OP13_SQL
+from symgrove.llm.sql import OP10_SQL, OP11_SQL, OP13_SQL
 from symgrove.llm.words import fold
 from symgrove.session import scratch_path
 
@@ -185,5 +185,6 @@ QUERIES = {
     "op11_merkle": op11_merkle, "op12_token_counts": op12_token_counts,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op2_top_k": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op11_merkle": OP11_SQL,
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_top_k": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_near_duplicates": OP10_SQL,
+           "op11_merkle": OP11_SQL,
            "op13_conversation_repair": OP13_SQL}

@@ -67,6 +67,28 @@ FROM placed JOIN subroots USING (tree) LEFT JOIN proofs USING (tree, place),
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, s.b FROM reached r JOIN steps s ON s.a = r.other)
+SELECT doc_id, any_value(len(s)) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached JOIN sets USING (doc_id) GROUP BY doc_id
+"""
+
+
 def _add(state: str, cost: int, edit: str) -> str:
     """A state is its cost in eight digits and its audit, so the least text is the least state."""
     return f"(lpad((substr({state}, 1, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || substr({state}, 9) || '{edit}')"

@@ -1,7 +1,7 @@
 """Token files: Arrow files of fixed-size lists, with a file of document bounds beside each.
 
-Rows are dealt to files by ranges of the key, so that files in the order of
-their names hold documents in ascending key order (null keys first). A task
+Rows are dealt to files by ranges of key and text, so that files in the order
+of their names hold documents in ascending key order (null keys first). A task
 sorts its rows, encodes them once and streams them into ``tokens-N.arrow``:
 batches with the columns ``ids`` (fixed-size lists of unsigned integers) and
 ``mask`` (fixed-size lists of bits; unset ones mark filling after the file's
@@ -16,8 +16,9 @@ opens.
 
 Defined results: a null or empty text is its end mark alone; a text longer
 than a sequence runs on in the next ones; rows with equal keys follow each
-other, ordered by text; other columns are not written; an empty table gives a
-table of files without rows.
+other, ordered by their first characters and a hash of the text, and may fill
+several files; bytes that are not UTF-8 are read as U+FFFD; other columns are
+not written; an empty table gives a table of files without rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SEQUENCE = 2048
 # Sequences in one record batch, and bytes of text that one file is to hold.
 BATCH = 512
 FILE_BYTES = 32 << 20
+# Characters of a text that order rows of one key.
+HEAD = 32
 
 FILES = StructType([StructField("part", IntegerType()), StructField("tokens", StringType()),
                     StructField("documents", StringType()), StructField("n_ids", LongType()),
@@ -90,7 +93,8 @@ class _Writer:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
                       length: int = SEQUENCE, end_id: int = 0) -> DataFrame:
     """Write all documents under path; returns the table of files, one row each (see FILES)."""
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(key).alias("key"), F.make_valid_utf8(F.col(text).cast("string")).alias("text")).withColumns({
+        "head": F.left("text", F.lit(HEAD)), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     held = source.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     parts = max(1, -(-int(held) // FILE_BYTES))
 
@@ -133,8 +137,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
 
     system, root = _open(path)
     system.create_dir(root, recursive=True)
-    ordered = source.repartitionByRange(parts, F.col("key").asc_nulls_first()).sortWithinPartitions(
-        F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # Many rows of one key, even of one text, still fall into several files.
+    order = [F.col(c).asc_nulls_first() for c in ("key", "head", "hash", "row")]
+    ordered = source.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
     return stored(ordered.mapInArrow(write, FILES), "token-file-table")
 
 

@@ -15,16 +15,19 @@ tasks' lists are cut to k per query at the end. Nothing is left out: bounds
 only skip what can't be among the best.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part, nor do rows with a null id; of rows with one id the smallest
-vector counts; shorter vectors are extended by zeros; ties go to the smaller
-id; products must fit into
-64 bits; a query alone has no rows, an empty table none. Other columns are not read.
+take no part, nor do rows with a null id; rows that share an id are vectors of
+their own, of which none is a candidate for another, and as queries they share
+one list; equal rows count each; shorter vectors are extended by zeros, long
+ones are taken whole; ties go to the smaller id; products must fit into 64
+bits; a query alone has no rows, an empty table none. Other columns are not
+read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from symgrove.llm.tables import stored
@@ -44,6 +47,7 @@ def _blocks(rows: int):
     """A function that packs batches of (id, ints) into blocks of at most so many rows."""
 
     def pack(batches):
+        number = TaskContext.get().partitionId() << 33          # no two blocks have one name
         for batch in batches:
             for low in range(0, batch.num_rows, rows):
                 part = batch.slice(low, rows)
@@ -51,8 +55,9 @@ def _blocks(rows: int):
                 sizes = lists.value_lengths().to_numpy()
                 table = np.zeros((len(ids), int(sizes.max())), dtype=np.int64)
                 table[np.arange(table.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+                number += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(ids[0].as_py())]), pa.array([ids.to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                    [pa.array([number]), pa.array([ids.to_numpy().astype(np.int64).tobytes()], pa.binary()),
                      pa.array([table.tobytes()], pa.binary())], names=["block", "ids", "ints"])
 
     return pack
@@ -155,12 +160,11 @@ def top_k(vectors: DataFrame, is_query: str, key: str = "vec_id", vector: str =
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     known = (vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(finite)
              .select(F.col(key).cast("bigint").alias("id"), F.transform(vector, component).cast("array<bigint>").alias("ints")))
-    known = stored(known.groupBy("id").agg(F.min("ints").alias("ints")), "vectors")
+    known = stored(known, "vectors")
     rows = known.count()
     shards = max(1, min(MOST_SMALL_SHARDS, rows // SHARD_ROWS), rows // LARGE_SHARD_ROWS)
 
     kind = "block long, ids binary, ints binary"
-    # Blocks of a task differ in their first id, which also deals them.
     blocks = known.mapInArrow(_blocks(min(VECTORS_A_BLOCK, max(1, rows // shards))), kind).withColumn(
         "shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
     queries = known.where(is_query).mapInArrow(_blocks(QUERIES_A_BLOCK), kind).select(

@@ -9,8 +9,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from symgrove.llm import exact_dedup, near_dups, queries
+from symgrove.llm.tables import stored
 from symgrove.llm.words import shingles, text_slices
 
 
@@ -102,6 +104,36 @@ def test_one_id_with_two_texts_is_one_document(spark):
     assert {(r["doc_id"], r["component_id"]) for r in near_dups.near_duplicates(df).collect()} == {(5, 3), (3, 3), (9, 3), (7, 7)}
 
 
+def template_pages(spark, n, own):
+    """Pages of one template: 100 common words, then own(i) words of their own."""
+    common = " ".join(f"t{i}" for i in range(100))
+    return [(i, common + "".join(f" o{i}x{j}" for j in range(own(i)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [lambda i: 15, lambda i: (8, 24)[i % 2], lambda i: 13 + i % 12])
+def test_pages_of_a_template_do_not_meet_in_pairs(spark, monkeypatch, own):
+    """Pairs that candidates' search looks at grow with the pages, not with their square, and links stay right."""
+    monkeypatch.setattr(near_dups, "HOT_MEMBERS", 50)
+    met = []
+    for n in (600, 1200):
+        data = template_pages(spark, n, own)
+        member = near_dups.members(spark.createDataFrame(data, "rep bigint, text string"), 4).withColumn("label", F.col("rep"))
+        pairs = near_dups.pairs_apart(stored(member, "template-members"), 80).collect()
+        linked = {(a, b) for a in range(n) for b in range(a + 1, n)
+                  if 100 * 97 >= 80 * (97 + own(a) + own(b))} if n == 600 else set()
+        assert linked <= {(r["a"], r["b"]) for r in pairs}
+        met.append(len(pairs) - (n * (n - 2) // 8 if own(0) == 8 else 0))
+    assert met[0] == met[1] == 0 or met[1] <= 0 or met[1] <= 4 * met[0] + 100
+
+
+def test_template_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "HOT_MEMBERS", 20)
+    data = template_pages(spark, 300, lambda i: (3, 9, 15, 22)[i % 4])
+    data += [(1000 + i, " ".join(f"{'abcd'[(i + j) % 4]}{(i * j) % 9}" for j in range(40 + i % 9))) for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert got_near(near_dups.near_duplicates(docs, width=4, percent=80)) == brute(data, 4, 80)
+
+
 def test_registers_estimate_similarity():
     draw = np.random.default_rng(1)
     common, own = draw.integers(0, 2**63, 900, dtype=np.uint64), draw.integers(0, 2**63, (400, 100), dtype=np.uint64)

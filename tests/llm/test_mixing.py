@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from symgrove.llm import mixing, queries
 
@@ -112,3 +113,18 @@ def test_small_source_with_a_long_document_beside_a_hot_one(spark, monkeypatch):
             taken[r["source"]] += r["taken"]
             target[r["source"]] = r["target"]
         assert all(abs(taken[s] - target[s]) <= 3 for s in taken), {s: (taken[s], target[s]) for s in taken}
+
+
+def test_rows_that_are_alike_are_dealt_by_count(spark, monkeypatch):
+    """A third of a source without doc_id and of one size: its words come near the target all the same."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 100)
+    data = [(None, "w " * 37, "a") for _ in range(3000)] + [(i, "w " * (1 + i % 90), "a") for i in range(6000)]
+    data += [(9000 + i, "w " * (1 + i % 50), "b") for i in range(8000)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(4)
+    mixed = mixing.mix(docs)
+    assert mixed.count() == len(data)
+    for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"),
+                                         F.max("copies").alias("most")).collect():
+        assert abs(r["taken"] - r["target"]) <= 50 and r["most"] <= 2
+    alike = {r["copies"] for r in mixed.where("doc_id IS NULL").select("copies").collect()}
+    assert len(alike) == 2

@@ -9,23 +9,21 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from symgrove.llm import class_lm, langid, queries, topk
+from symgrove.llm.tables import stored
+from symgrove.llm.words import fold
 
 
 def brute_top_k(rows, k, scale=256.0):
     """rows: (id, vector); every query against every other id."""
-    known = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        ints = [math.floor(scale * x) for x in v]
-        known[i] = min(known.get(i, ints), ints)
+    known = [(i, [math.floor(scale * x) for x in v]) for i, v in rows
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
-    for q, a in known.items():
-        if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in known.items() if i != q)[:k]
-            out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores)}
+    for q in {i for i, _ in known if i % 50 == 0}:
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for p, a in known if p == q for i, b in known if i != q)[:k]
+        out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores)}
     return out
 
 
@@ -48,7 +46,7 @@ def test_top_k_ties_repeats_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 3)
     draw = np.random.default_rng(0)
     rows = [(i, [float(x) for x in draw.integers(-2, 3, 9) / 256]) for i in range(620)]       # many ties
-    rows += [(50, rows[50][1]), (50, [0.0] * 9), (700, None), (701, [1.0, None]), (702, [float("nan")] * 9),
+    rows += [(50, rows[50][1]), (50, [0.0] * 9), (51, rows[51][1]), (51, rows[51][1]), (700, None), (701, [1.0, None]), (702, [float("nan")] * 9),
              (703, [float("inf")] * 9), (None, [1.0] * 9), (704, []), (705, [0.5]), (706, [1e6] * 20), (-50, [-1e6] * 9)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<float>, score int")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
@@ -105,6 +103,65 @@ def test_language_backs_off_and_odd_rows(spark, make_docs, odd_rows):
     assert {(r["lang_pred"], r["score"]) for r in langid.predict(docs, nothing).collect()} == {("und", 0.0)}
 
 
+def plain_language(data, texts):
+    """(language, score) of texts by plain loops; data: (text, lang)."""
+    def parts(text):
+        return re.findall(r"[^\W\d_]+", text.lower())
+
+    def grams(word, length):
+        marked = f"^{word}$" if length > 1 else word
+        return [marked[i:i + length] for i in range(len(marked) - length + 1)] or [marked]
+
+    counts = Counter((w, lang) for t, lang in set(data) for w in parts(t))
+    languages = sorted({lang for _, lang in counts})
+    pieces = Counter((g, lang) for w, lang in counts for n in langid.LENGTHS for g in grams(w, n))
+
+    def logs(table):
+        names, totals = {n for n, _ in table}, Counter()
+        for (_, lang), n in table.items():
+            totals[lang] += n
+        return {n: [math.log((table[n, x] + langid.ALPHA) / (totals[x] + langid.ALPHA * len(names))) for x in languages] for n in names}
+
+    words, known = logs(counts), logs(pieces)
+    for text in texts:
+        sums = [0.0] * len(languages)
+        for w in parts(text):
+            found = words.get(w)
+            for n in langid.LENGTHS if found is None else ():
+                some = [known[g] for g in grams(w, n) if g in known]
+                if 2 * len(some) >= len(grams(w, n)):
+                    found = [sum(x) / len(some) for x in zip(*some)]
+                    break
+            sums = [a + b for a, b in zip(sums, found or [0.0] * len(languages))]
+        best = max(range(len(languages)), key=lambda i: (sums[i], -i))
+        yield (languages[best], 1 / sum(math.exp(s - sums[best]) for s in sums)) if parts(text) else ("und", 0.0)
+
+
+def test_codes_of_any_size_are_packed():
+    for codes in ([], [0], [1, (1 << 24) - 1, 7], [1 << 24, 5, (1 << 32) - 1]):
+        assert class_lm._unpack(class_lm._pack(np.array(codes, dtype=np.int64))).tolist() == codes
+
+
+def test_language_scores_equal_plain_loops(spark, sf):
+    docs = [(r["text"], r["lang"], r["doc_id"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    taught = [(t, lang) for t, lang, i in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    extra = ["", "12 !", "É", "日本", "a", "xq zzz thorn-bush don't", "ÀÉÎ straße"]
+    model = langid.fit(spark.createDataFrame(taught, "text string, lang string").repartition(3))
+    texts = [t for t, _, _ in docs] + extra
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()
+    for r, (lang, score) in zip(sorted(got, key=lambda r: r["i"]), plain_language(taught, texts)):
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, rel=1e-6, abs=1e-9), r["text"][:80]
+
+
+def test_rare_language_with_words_of_its_own(spark):
+    """Large languages with many words leave a rare one's words known, seen once or not."""
+    data = [(f"the {' '.join(f'w{chr(97 + i % 26)}{chr(97 + j)}{chr(97 + i // 26 % 26)}' for j in range(26))}", "en") for i in range(600)]
+    data += [("kotek pies zajac", "pl"), ("mysz kotek", "pl")]
+    model = langid.fit(spark.createDataFrame(data, "text string, lang string"))
+    tests = spark.createDataFrame([("zajac", "pl"), ("mysz", "pl"), ("the waab", "en")], "text string, want string")
+    assert all(r["lang_pred"] == r["want"] for r in langid.predict(tests, model).collect())
+
+
 def tokens(text):
     return (text or "").encode().lower().split() + [class_lm.END]
 
@@ -228,5 +285,29 @@ def test_rare_language_is_learned_beside_large_ones(spark):
     tests = spark.createDataFrame([("schnee schmilzt", "de"), ("three thorns", "en")], "text string, want string")
     assert all(r["lang_pred"] == r["want"] for r in langid.predict(tests, model).collect())
     # All of the rare language, about LANG_ROWS of the other.
-    words = dict(zip(model.words, model.word_logs))
+    words = dict(zip(model.words.to_pylist(), model.word_logs))
     assert words["schnee"][0] > words["schnee"][1] and words["thorns"][1] > words["thorns"][0]
+
+
+def test_score_of_a_text_by_a_plain_loop(spark, sf):
+    """The model's own tables, applied token by token."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    train = fold(F.col("doc_id"), 7) != 2
+    chunks = stored(class_lm.chunked(docs, "doc_id", "text", train), "test-chunks")
+    model = class_lm.fit(chunks, stored(class_lm.word_counts(chunks), "test-counts"))
+    known = {bytes(r["word"]): (r["c"], r["class"]) for r in model.known.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def kind(word):
+        given = known.get(word, (0, None))[1]
+        return int(model.class_of[class_lm.units_of([word], {})[0]]) if given is None else given
+
+    for r in class_lm.score(model).collect():
+        before, total = 0, 0.0
+        for word in tokens(texts[r["key"]]):
+            c, k = known.get(word, (0, None))[0], kind(word)
+            emission = (c + 1) / (model.class_tokens[k] + model.class_types[k] + 1)
+            p = class_lm.MIX * 10 ** model.transition[before, k] * emission \
+                + (1 - class_lm.MIX) * (c + 1) / (model.tokens + model.types + 1)
+            total, before = total + math.log10(p), k
+        assert r["score"] == pytest.approx(total, rel=1e-9, abs=1e-9)

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from symgrove.llm import bpe, packing, queries, token_files
@@ -115,3 +116,26 @@ def test_token_files_odd_rows(spark, make_docs, odd_rows, tmp_path, monkeypatch)
         assert not ids[0].flags.owndata                     # a view of the mapped file
     empty = token_files.write_token_files(make_docs([]), str(tmp_path / "e"), PATH)
     assert token_files.read_token_files(spark, str(tmp_path / "e"), empty, docs.schema["doc_id"].dataType).count() == 0
+
+
+def test_one_key_fills_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1 << 14)
+    data = [(None, f"text {i % 40} " + "word " * 20) for i in range(1500)] + [(i, "same words here " * 6) for i in range(1500)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)
+    path = str(tmp_path / "t")
+    files = token_files.write_token_files(docs, path, PATH)
+    counts = [r["n_documents"] for r in files.collect()]
+    assert sum(counts) == 3000 and max(counts) <= 4 * 3000 / len(counts)
+    read = token_files.read_token_files(spark, path, files, docs.schema["doc_id"].dataType).orderBy("start").collect()
+    keys = [r["key"] for r in read]
+    assert keys == [None] * 1500 + list(range(1500))
+    assert sorted(crc(np.frombuffer(r["ids"], "<u4")) for r in read) == sorted(crc(plain(t, 0)) for _, t in data)
+
+
+def test_bytes_that_are_no_utf8_are_replaced(spark, tmp_path):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.unhex(F.lit("61FF6220C3")).cast("string").alias("text"))
+    want = plain(b"a\xffb \xc3".decode(errors="replace"), 1)
+    assert [np.frombuffer(p["ids"], "<u4").tolist() for p in packing.pack(docs, PATH, length=64).collect()] == [want] * 3
+    files = token_files.write_token_files(docs, str(tmp_path / "t"), PATH, end_id=1)
+    read = token_files.read_token_files(spark, str(tmp_path / "t"), files, docs.schema["doc_id"].dataType)
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in read.collect()] == [want] * 3
