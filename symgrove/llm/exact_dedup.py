@@ -15,8 +15,8 @@ shuffle, so a bucket sees at most SALTS rows per digest.
 
 Defined results: null counts as empty; of equal texts the row with the
 smallest doc_id stays, a null doc_id counting as largest; of rows that share
-text and doc_id one stays; other columns are carried; an empty table gives no
-rows.
+text and doc_id one stays; texts of any length are hashed whole; other columns
+are carried; an empty table gives no rows.
 """
 
 from __future__ import annotations

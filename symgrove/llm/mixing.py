@@ -187,21 +187,24 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         F.xxhash64("key", "source", "size").alias("order"),
         F.greatest(over - F.floor(over + TINY), F.lit(0.0)).alias("part"))
     chosen = stored(decisions(rated), "decisions").select(
-        F.col("key").alias("d_key"), F.col("source").alias("d_source"), F.col("size").alias("d_size"), "source_size", "target",
-        "alike", "whole", (F.col("certain") + F.col("part").cast("bigint")).alias("once_more"))
-    same = (F.col(key).eqNullSafe(F.col("d_key")) & F.col(source).eqNullSafe(F.col("d_source")) & (F.col("size") == F.col("d_size")))
+        F.col("key").alias("_d_key"), F.col("source").alias("_d_source"), F.col("size").alias("_d_size"), "source_size", "target",
+        F.col("alike").alias("_alike"), F.col("whole").alias("_whole"),
+        (F.col("certain") + F.col("part").cast("bigint")).alias("_once_more"))
+    same = (F.col(key).eqNullSafe(F.col("_d_key")) & F.col(source).eqNullSafe(F.col("_d_source")) & (F.col("size") == F.col("_d_size")))
     taken = sized.withColumn("_row", F.monotonically_increasing_id()).join(chosen, same)
-    dealt = taken.where("alike = 1").withColumn("_nth", F.lit(1))
-    if not chosen.where("alike > 1").isEmpty():
+    dealt = taken.where("_alike = 1").withColumn("_nth", F.lit(1))
+    if not chosen.where("_alike > 1").isEmpty():
         # A group of rows that are alike may be large: numbered in slices.
         dealt = dealt.unionByName(sliced_row_number(
-            taken.where("alike > 1"), ["d_key", "d_source", "d_size"], ["_row"], F.floor(F.col("_row") / SLICE_ROWS), "_nth"))
-    copies = F.col("whole") + (F.col("_nth") <= F.col("once_more")).cast("bigint")
+            taken.where("_alike > 1"), ["_d_key", "_d_source", "_d_size"], ["_row"], F.floor(F.col("_row") / SLICE_ROWS), "_nth"))
+    copies = F.col("_whole") + (F.col("_nth") <= F.col("_once_more")).cast("bigint")
     return dealt.withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies",
                                                      (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix, as often as it takes them, with the columns of docs."""
-    taken = mix(docs, **options).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    """The rows of the mix, as often as it takes them, with the columns of docs, whatever their names."""
+    clashing = {c: f"_own_{c}" for c in ("size", "source_size", "target", "copies", "taken", "copy") if c in docs.columns}
+    taken = mix(docs.withColumnsRenamed(clashing), **options).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(
+        *[F.col(clashing.get(c, c)).alias(c) for c in docs.columns])

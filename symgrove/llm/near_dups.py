@@ -21,7 +21,8 @@ their size, and no link that could change a component is lost. All steps are joi
 the shared folder, whose skewed keys adaptive execution can split.
 
 Defined results: a null, empty or blank text has an empty set and is linked
-with nothing; a text of fewer words than a shingle is one shingle; rows with
+with nothing; a text of fewer words than a shingle is one shingle; a text of
+any length has its full set; words are bytes, UTF-8 or not; rows with
 one doc_id are one document, linked with each other; a null doc_id is linked
 with nothing and kept, with a null component; other columns are not read; an
 empty table gives no rows.

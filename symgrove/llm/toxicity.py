@@ -16,21 +16,25 @@ smallest hashes; what is fetched from it are counts of the best VOTERS words
 per text, never texts. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: a null, empty or wordless text is scored like any text, by
-the patterns alone; repeated rows and equal keys are scored row by row; a
-label that is null or whose document is missing teaches nothing; repeated
-labels of one document count once, as the largest; without labels every score
-is NO_LABELS; an empty table gives no rows.
+the patterns alone; a text of any length is scored whole; bytes that are not
+UTF-8 are no letters; repeated rows and equal keys are scored row by row, and
+of the texts of one key the smallest teaches; a label that is null or whose
+document is missing teaches nothing; repeated labels of one document count
+once, as the largest; without labels every score is NO_LABELS; other columns
+are carried, one named like the score is replaced; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from symgrove.llm.langid import parts_of, word_parts
 from symgrove.llm.tables import stored
 from symgrove.llm.words import coded_words, text_slices
 
@@ -44,7 +48,6 @@ TRAIN_ROUNDS = 400
 NO_LABELS = 0.0
 THRESHOLD = 0.7
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A"):ord("Z") + 1] = True
 _LETTER = _UPPER.copy()
@@ -56,7 +59,7 @@ _SHOUT[[ord("!"), ord("?"), ord("*"), ord("#")]] = True
 def _features(word: bytes) -> set[str]:
     """Names of the lexicon candidates in one word: ``=word`` and ``beginning``."""
     found = set()
-    for run in _LETTERS.findall(word.decode(errors="replace").lower()):
+    for run in word_parts(word):
         found.add("=" + run)
         found.update(run[:n] for n in STEMS if len(run) > n)
     return found
@@ -96,28 +99,46 @@ class Model:
 PATTERNS = 10
 
 
+def lexicon_hits(words: pa.Array, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, voter) of distinct words that hold lexicon voters, all looked up together."""
+    runs, of_word = parts_of(words)
+    names = pa.array(list(lexicon), pa.string())
+    sizes = pc.utf8_length(runs).to_numpy(zero_copy_only=False)
+    found = [(of_word, pc.binary_join_element_wise(pa.scalar("="), runs, ""))]
+    for n in STEMS:
+        longer = np.flatnonzero(sizes > n)
+        found.append((of_word[longer], pc.utf8_slice_codeunits(runs.take(pa.array(longer)), 0, n)))
+    number = np.fromiter(lexicon.values(), np.int64, len(lexicon))
+    pairs = [np.zeros((0, 2), np.int64)]
+    for which, features in found:
+        at = pc.index_in(features.cast(pa.string()), value_set=names)
+        held = at.is_valid().to_numpy(zero_copy_only=False)
+        pairs.append(np.stack([which[held], number[at.drop_null().to_numpy()]], axis=1))
+    both = np.unique(np.concatenate(pairs), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def votes_of(data: np.ndarray, offsets: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:
     """One line per text: lexicon voters (1 if it fires), then patterns from 0 to 1."""
     n = len(offsets) - 1
     codes, words, first = coded_words(data, offsets)
-    counts = np.diff(first)
-    hits = [[lexicon[f] for f in _features(w) if f in lexicon] for w in words.to_pylist()]
-    hit = np.array([bool(h) for h in hits], dtype=bool)
+    counts, of_row = np.diff(first), np.repeat(np.arange(n), np.diff(first))
     votes = np.zeros((n, len(lexicon) + PATTERNS), dtype=np.float32)
-    places = np.flatnonzero(hit[codes]) if len(codes) else np.zeros(0, np.int64)
-    rows = np.searchsorted(first, places, side="right") - 1
-    for place, row in zip(places, rows):
-        votes[row, hits[codes[place]]] = 1
-    total = np.bincount(rows, minlength=n)
-    if len(places):
-        pairs = np.unique(np.stack([rows, codes[places]]), axis=1)
-        distinct = np.bincount(pairs[0], minlength=n)
-    else:
-        distinct = np.zeros(n, np.int64)
+    # Each text's distinct words, and how often they stand there.
+    pairs, times = np.unique(of_row * max(len(words), 1) + codes, return_counts=True)
+    row, word = pairs // max(len(words), 1), pairs % max(len(words), 1)
+    hit_word, voter = lexicon_hits(words, lexicon)
+    hits = np.bincount(hit_word, minlength=len(words)) if len(words) else np.zeros(1, np.int64)
+    at = np.flatnonzero(hits[word] > 0)
+    begin = np.concatenate([[0], np.cumsum(hits)])[word[at]]
+    fired = np.repeat(begin - np.concatenate([[0], np.cumsum(hits[word[at]])[:-1]]), hits[word[at]]) + np.arange(hits[word[at]].sum()) \
+        if len(at) else np.zeros(0, np.int64)
+    votes[np.repeat(row[at], hits[word[at]]), voter[fired]] = 1
+    total = np.bincount(row[at], weights=times[at], minlength=n)
+    distinct, kinds = np.bincount(row[at], minlength=n), np.bincount(row, minlength=n)
     sums = lambda flags: np.add.reduceat(np.append(flags, 0), offsets[:-1]) * (np.diff(offsets) > 0)
     letters = np.maximum(sums(_LETTER[data].astype(np.int64)), 1)
     size = np.maximum(np.diff(offsets), 1)
-    kinds = np.array([len(np.unique(codes[first[i]:first[i + 1]])) for i in range(n)])
     votes[:, len(lexicon):] = np.stack([
         total >= 1, total >= 2, total >= 3, distinct >= 2, distinct >= 3, total > 0.005 * counts,
         sums(_UPPER[data].astype(np.int64)) > 0.5 * letters, sums(_SHOUT[data].astype(np.int64)) > 0.03 * size,
@@ -171,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
               .orderBy(F.xxhash64("key"), "key").limit(sample_rows))
     # The sample's keys are sample_rows pairs at most.
     sample = stored(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-                    .join(F.broadcast(chosen), "key").dropDuplicates(["key"]), "toxicity-sample")
+                    .join(F.broadcast(chosen), "key").groupBy("key").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")),
+                    "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
     if not n_toxic or not n_other:

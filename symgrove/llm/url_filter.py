@@ -16,7 +16,9 @@ one with the longest string wins, then the one with the longer host; of rules
 equal in host and path ``block`` wins. Rules with a null or empty host or
 another verdict than allow or block are left out; a null path is empty and
 fits every path. URLs without a rule get the default verdict. Every row is
-judged, repeated ones too; other columns are carried, clashing ones replaced.
+judged, repeated and very long ones too; other columns are carried, clashing
+ones replaced; without pages there are no rows, without rules every page gets
+the default.
 """
 
 from __future__ import annotations

@@ -128,3 +128,11 @@ def test_rows_that_are_alike_are_dealt_by_count(spark, monkeypatch):
         assert abs(r["taken"] - r["target"]) <= 50 and r["most"] <= 2
     alike = {r["copies"] for r in mixed.where("doc_id IS NULL").select("copies").collect()}
     assert len(alike) == 2
+
+
+def test_mixed_rows_keep_columns_of_any_name(make_docs, odd_rows):
+    docs = make_docs(odd_rows).withColumns({"copies": F.lit(9), "alike": F.lit("a"), "whole": F.lit(1), "target": F.lit("t")})
+    rows = mixing.mixed_rows(docs)
+    assert rows.columns == docs.columns
+    for r in rows.collect():
+        assert (r["size"], r["copies"], r["alike"], r["whole"], r["target"]) == ("x", 9, "a", 1, "t")

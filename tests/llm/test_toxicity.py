@@ -66,3 +66,32 @@ def test_posterior_discounts_correlated_voters():
     labels = np.where(draw.random(4000) < 0.1, ~truth, truth).astype(float)
     belief = toxicity.posterior(np.hstack([independent, copied]), labels)
     assert ((belief > 0.5) == truth).mean() > max((labels == truth).mean(), 0.93)
+
+
+def plain_votes(text, lexicon):
+    """The votes of one text by loops."""
+    words = [w.lower() for w in text.encode().split()]
+    features = [toxicity._features(w) & set(lexicon) for w in words]
+    total, kinds = sum(map(bool, features)), len(set(words))
+    distinct = len({w for w, f in zip(words, features) if f})
+    raw = text.encode()
+    letters = max(sum(chr(c).isalpha() and c < 128 for c in raw), 1)
+    upper, shout = sum(65 <= c <= 90 for c in raw), sum(c in b"!?*#" for c in raw)
+    patterns = [total >= 1, total >= 2, total >= 3, distinct >= 2, distinct >= 3, total > 0.005 * len(words),
+                upper > 0.5 * letters, shout > 0.03 * max(len(raw), 1), kinds < 0.4 * len(words), len(words) < 20]
+    fired = set().union(*features) if features else set()
+    return [float(f in fired) for f in lexicon] + [float(x) for x in patterns]
+
+
+def test_votes_and_scores_equal_plain_loops(spark, sf, odd_rows):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet"))
+    model.lexicon = {**model.lexicon, **{f: len(model.lexicon) + i for i, f in enumerate(("=the", "word", "w1x", "=é"))
+                                         if f not in model.lexicon}}
+    model.weights = np.random.default_rng(0).normal(size=len(model.lexicon) + toxicity.PATTERNS)
+    texts = [r["text"] or "" for r in docs.collect()] + [r["text"] or "" for r in odd_rows] + ["", "WORDS! wording é-the", "the " * 90]
+    scored = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3), model).collect()
+    assert len(scored) == len(texts)
+    for r in scored:
+        logit = float(np.dot(plain_votes(r["text"], model.lexicon), model.weights)) + model.bias
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) < 1e-6, r["text"][:80]
