@@ -2,6 +2,15 @@
 
 Each stage reads what its predecessor kept and returns the rows that stay, with
 the columns of documents; the last returns pieces of packed sequences.
+
+Defined results, beside those of the operators: a null, empty or blank text is
+clean, counts as the empty text among exact copies, has no near copies, is of
+size 0 in the mix, which takes it as often as its source's rate says, and packs
+to its end mark. A null doc_id is no near copy of anything and stays there;
+rows that share a doc_id and have different texts are one document for near
+copies and rows of their own elsewhere. Texts of any length are read whole.
+Columns beyond those of documents are carried by all stages but the last,
+whatever their names. Of an empty table every stage gives no rows.
 """
 
 from __future__ import annotations
@@ -16,8 +25,8 @@ from symgrove.llm.tables import stored
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold of a model learned from the labels."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, into="toxicity_score")
-    return scored.where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    into = "toxicity_score" + "_" * max(map(len, docs.columns))     # a name that no column has
+    return toxicity.score(docs, model, into=into).where(F.col(into) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
