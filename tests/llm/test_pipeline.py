@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_duplicates import brute, sha
 from test_mixing import loop_targets
 from test_tokens import check_pieces, plain
@@ -76,3 +77,22 @@ def test_packing(stages):
 def test_run_repeats_the_stages(spark, stages):
     rows = corpus_pipeline.run(spark, stages["folder"]).collect()
     assert sum(r["length"] for r in rows) == sum(r["length"] for r in stages["packing"][1])
+
+
+def test_odd_rows_go_through_every_stage(spark, make_docs, odd_rows, tmp_path):
+    """Nulls, repeated rows, long texts and clashing columns, and an empty table."""
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = make_docs(odd_rows).withColumns({"toxicity_score": F.lit(0.9), "copies": F.lit(3)})
+    columns, texts = docs.columns, {(r["doc_id"], r["text"]) for r in odd_rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), "odd-stage")
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert {(r["doc_id"], r["text"]) for r in rows} <= texts and {r["copies"] for r in rows} == {3}
+        if name == "exact dedup":
+            assert len({sha(r["text"]) for r in rows}) == len(rows) == len({sha(t) for _, t in texts})
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    check_pieces(last, [plain(r["text"], 1) for r in docs.collect()])
+    empty = make_docs([])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
