@@ -8,11 +8,15 @@ above. Bounds are taken from one segment to many; a vector stays a survivor
 while its bound reaches the k-th best product that the query has so far, and
 exact products are computed for survivors alone.
 
-Vectors are packed into blocks of bounded size and dealt to shards; queries,
-in blocks too, go to every shard. A shard's task sees pairs of one query block
-and one vector block, keeps the best k of the current query block, and the
-tasks' lists are cut to k per query at the end. Nothing is left out: bounds
-only skip what can't be among the best.
+Vectors are dealt to shards by ranges of a coarse key, the size of the vector
+and the interleaved means of its segments, so that a shard's vectors resemble
+each other; a shard keeps the least and the greatest of each statistic. Queries
+first search the shard they lie in, which gives each a k-th best product. Then
+a query goes only to those other shards whose statistics allow a product that
+large. Within a shard a task sees pairs of one query block and one vector block
+of bounded size and keeps the best k of the current query block; the tasks'
+lists are cut to k per query at the end. Nothing is left out: bounds only skip
+what can't be among the best.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do rows with a null id; rows that share an id are vectors of
@@ -37,32 +41,74 @@ QUERIES_A_BLOCK = 512
 SHARD_ROWS = 1024
 MOST_SMALL_SHARDS = 64
 LARGE_SHARD_ROWS = 1 << 20
+# Shards at most, beyond which they grow instead; their statistics are sent to all tasks.
+MOST_SHARDS = 1 << 16
 SEGMENTS = (1, 4, 16)
+# Segments of the coarse key and of a shard's statistics, and bits of each mean in the key.
+COARSE, COARSE_BITS = 4, 8
 # Pairs whose exact products are computed at a time; share of pairs above which all of a block are multiplied at once.
 PAIRS = 1 << 17
 DENSE = 0.05
 
 
+def _table(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Lists of integers as lines, shorter ones extended by zeros."""
+    sizes = lists.value_lengths().to_numpy()
+    table = np.zeros((len(lists), int(sizes.max(initial=0)) if width is None else width), dtype=np.int64)
+    table[np.arange(table.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+    return table
+
+
+def _packed(number: int, shard: int, ids: np.ndarray, table: np.ndarray, least: np.ndarray | None = None) -> pa.RecordBatch:
+    """One block: its name, shard, ids, integers and, of queries, the least product that counts."""
+    columns = {"block": pa.array([number]), "shard": pa.array([shard]),
+               "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "ints": pa.array([table.tobytes()], pa.binary())}
+    if least is not None:
+        columns["least"] = pa.array([least.astype(np.float64).tobytes()], pa.binary())
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _numbers():
+    """Names for blocks that no other task gives."""
+    number = TaskContext.get().partitionId() << 33
+    while True:
+        yield number
+        number += 1
+
+
 def _blocks(rows: int):
-    """A function that packs batches of (id, ints) into blocks of at most so many rows."""
+    """A function that packs batches of (id, ints, shard) into blocks of one shard and at most so many rows."""
 
     def pack(batches):
-        number = TaskContext.get().partitionId() << 33          # no two blocks have one name
+        names = _numbers()
         for batch in batches:
-            for low in range(0, batch.num_rows, rows):
-                part = batch.slice(low, rows)
-                ids, lists = part.column(0), part.column(1)
-                sizes = lists.value_lengths().to_numpy()
-                table = np.zeros((len(ids), int(sizes.max())), dtype=np.int64)
-                table[np.arange(table.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
-                number += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([ids.to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                     pa.array([table.tobytes()], pa.binary())], names=["block", "ids", "ints"])
+            shards = batch.column(2).to_numpy()
+            edges = np.flatnonzero(np.diff(shards, prepend=-1, append=-1))
+            for begin, end in zip(edges, edges[1:]):
+                for low in range(begin, end, rows):
+                    part = batch.slice(low, min(rows, end - low))
+                    yield _packed(next(names), int(shards[low]), part.column(0).to_numpy(), _table(part.column(1)))
 
     return pack
 
 
+def _coarse(batches, width: int):
+    """(id, ints, place, stats): the coarse key and the segments' statistics, all of one width."""
+    for batch in batches:
+        table = _table(batch.column(1), width)
+        stats = statistics(table, COARSE)
+        size = np.sqrt((table.astype(np.float64) ** 2).sum(axis=1))
+        place = np.clip(np.frexp(size)[1], 0, 1023).astype(np.int64) << (COARSE * COARSE_BITS)
+        means = np.clip((stats[:, ::2] / np.maximum(size, 1e-9)[:, None] + 1) / 2, 0, 1) * ((1 << COARSE_BITS) - 1)
+        for bit in range(COARSE_BITS):
+            for i, column in enumerate(means.astype(np.int64).T):
+                place |= (column >> bit & 1) << (bit * COARSE + i)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(place), pa.FixedSizeListArray.from_arrays(
+                pa.array(np.pad(stats, ((0, 0), (0, 2 * COARSE - stats.shape[1]))).ravel()), 2 * COARSE).cast(pa.list_(pa.float64()))],
+            names=["id", "ints", "place", "stats"])
+
+
 def _unpack(ids: bytes, ints: bytes, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, np.int64)
     table = np.frombuffer(ints, np.int64).reshape(len(ids), -1)
@@ -97,10 +143,10 @@ def _exact(q: np.ndarray, x: np.ndarray, rows: np.ndarray, columns: np.ndarray)
 class _Best:
     """The k best (score, id) of each query of one block so far; ties to the smaller id."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, threshold: np.ndarray | None = None):
         self.k, self.rows = k, np.zeros(0, np.int64)
         self.ids = self.scores = self.rows
-        self.threshold = np.full(n, -np.inf)
+        self.threshold = np.full(n, -np.inf) if threshold is None else threshold.copy()
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         rows, ids, scores = (np.concatenate(x) for x in ((self.rows, rows), (self.ids, ids), (self.scores, scores)))
@@ -110,7 +156,7 @@ class _Best:
         kept = rank < self.k
         self.rows, self.ids, self.scores = rows[kept], ids[kept], scores[kept]
         full = rank[kept] == self.k - 1
-        self.threshold[self.rows[full]] = self.scores[full]
+        self.threshold[self.rows[full]] = np.maximum(self.threshold[self.rows[full]], self.scores[full])
 
 
 def search_block(query: tuple[np.ndarray, np.ndarray], block: tuple[np.ndarray, np.ndarray], best: _Best) -> int:
@@ -161,15 +207,20 @@ def top_k(vectors: DataFrame, is_query: str, key: str = "vec_id", vector: str =
     known = (vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(finite)
              .select(F.col(key).cast("bigint").alias("id"), F.transform(vector, component).cast("array<bigint>").alias("ints")))
     known = stored(known, "vectors")
-    rows = known.count()
-    shards = max(1, min(MOST_SMALL_SHARDS, rows // SHARD_ROWS), rows // LARGE_SHARD_ROWS)
-
-    kind = "block long, ids binary, ints binary"
-    blocks = known.mapInArrow(_blocks(min(VECTORS_A_BLOCK, max(1, rows // shards))), kind).withColumn(
-        "shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
-    queries = known.where(is_query).mapInArrow(_blocks(QUERIES_A_BLOCK), kind).select(
-        F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("ints").alias("query_ints"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"))
+    rows, width = known.agg(F.count("*"), F.coalesce(F.max(F.size("ints")), F.lit(0))).first()
+    shards = min(max(1, min(MOST_SMALL_SHARDS, rows // SHARD_ROWS), rows // LARGE_SHARD_ROWS), MOST_SHARDS)
+    placed = known.mapInArrow(lambda batches: _coarse(batches, width), "id long, ints array<long>, place long, stats array<double>")
+    dealt = stored(placed.repartitionByRange(shards, "place", "id").withColumn("shard", F.spark_partition_id().cast("bigint")),
+                   "vectors-by-shard")
+    ends = [f(F.col("stats")[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(2 * COARSE)]
+    # One row of 16 numbers per shard.
+    boxes = dealt.groupBy("shard").agg(*ends).orderBy("shard").collect()
+    names = np.array([b["shard"] for b in boxes])
+    low, high = (np.array([[b[f"{f}{i}"] for i in range(2 * COARSE)] for b in boxes]).reshape(-1, 2 * COARSE) for f in ("min", "max"))
+
+    kind = "block long, shard long, ids binary, ints binary"
+    blocks = stored(dealt.select("id", "ints", "shard").mapInArrow(_blocks(VECTORS_A_BLOCK), kind), "vector-blocks")
+    asked = dealt.where(is_query).select("id", "ints", "shard")
 
     def search(batches):
         current, query, best = None, None, None
@@ -180,20 +231,46 @@ def top_k(vectors: DataFrame, is_query: str, key: str = "vec_id", vector: str =
 
         for batch in batches:
             for i in range(batch.num_rows):
-                name, query_ids, query_ints, ids, ints = (batch.column(c)[i].as_py() for c in range(5))
+                name, query_ids, query_ints, least, ids, ints = (batch.column(c)[i].as_py() for c in range(6))
                 if name != current:                              # pairs of one query block follow each other
                     if best is not None:
                         yield result()
                     current, query = name, _unpack(query_ids, query_ints)
-                    best = _Best(len(query[0]), k)
+                    best = _Best(len(query[0]), k, None if least is None else np.frombuffer(least))
                 block = _unpack(ids, ints, query[1].shape[1])
                 wide = (query[0], np.pad(query[1], ((0, 0), (0, block[1].shape[1] - query[1].shape[1]))))
                 search_block(wide, block, best)
         if best is not None:
             yield result()
 
-    pairs = queries.join(blocks, "shard").select("query_block", "query_ids", "query_ints", "ids", "ints")
-    found = pairs.mapInArrow(search, f"query_id long, `{key}` long, score long")
+    def searched(queries: DataFrame) -> DataFrame:
+        pairs = queries.select(F.col("block").alias("query_block"), "shard", F.col("ids").alias("query_ids"),
+                               F.col("ints").alias("query_ints"), "least").join(blocks, "shard")
+        return pairs.select("query_block", "query_ids", "query_ints", "least", "ids", "ints").mapInArrow(
+            search, f"query_id long, `{key}` long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    at_home = asked.mapInArrow(_blocks(QUERIES_A_BLOCK), kind).withColumn("least", F.lit(None).cast("binary"))
+    first = stored(searched(at_home).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best-at-home")
+    reached = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
+
+    def send(batches):
+        blocks_ = _numbers()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, QUERIES_A_BLOCK):
+                part = batch.slice(begin, QUERIES_A_BLOCK)
+                ids, table, home = part.column(0).to_numpy(), _table(part.column(1), width), part.column(2).to_numpy()
+                least = part.column(3).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                stats = np.pad(statistics(table, COARSE), ((0, 0), (0, 2 * COARSE)))[:, :2 * COARSE]
+                for at in range(0, len(names), 1024):            # the greatest product that a shard's box allows
+                    parts = slice(at, at + 1024)
+                    bound = np.maximum(stats, 0) @ high[parts].T + np.minimum(stats, 0) @ low[parts].T
+                    wanted = (bound >= _least(least)[:, None]) & (home[:, None] != names[None, parts])
+                    for s in np.flatnonzero(wanted.any(axis=0)):
+                        rows_ = wanted[:, s]
+                        yield _packed(next(blocks_), int(names[at + s]), ids[rows_], table[rows_], least[rows_])
+
+    away = asked.join(reached.select(F.col("query_id").alias("id"), "least"), "id", "left").select("id", "ints", "shard", "least")
+    found = first.unionByName(searched(away.mapInArrow(send, kind + ", least binary")))
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", key, "score"))

@@ -56,6 +56,17 @@ def test_top_k_ties_repeats_and_bad_vectors(spark, monkeypatch):
     assert topk.top_k(df.where("false"), "id % 50 = 0").count() == 0
 
 
+def test_queries_go_only_to_shards_that_can_win(spark, monkeypatch):
+    """Groups of alike vectors: most shards are never searched for most queries, and results stay exact."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    draw = np.random.default_rng(4)
+    centres = np.repeat(draw.choice([-1.0, 1.0], size=(12, 4)) * draw.uniform(0.5, 2, size=(12, 1)), 8, axis=1)
+    rows = [(i, [float(x) for x in centres[i % 12] + draw.normal(size=32) * 0.05]) for i in range(1300)]
+    rows += [(2000 + i, v[:8 + i % 20]) for i, (_, v) in enumerate(rows[:150])]        # shorter ones among them
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    assert got_top_k(topk.top_k(df, "id % 50 = 0")) == brute_top_k([(r["vec_id"], r["embedding"]) for r in df.collect()], 5)
+
+
 def test_bounds_hold_and_spare_products():
     draw = np.random.default_rng(1)
     centres = np.repeat(draw.normal(size=(20, 16)) * 200, 4, axis=1)      # neighbouring components go together
