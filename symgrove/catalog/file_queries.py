@@ -29,9 +29,21 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
         "root", F.concat(F.lit(f"{root}/"), F.col("repo")))
 
 
+_TREES: dict[tuple[str, str], DataFrame] = {}
+
+
+def fixture_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, root) of the files view written out as a tree, once per application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _TREES:
+        path = scratch_path(spark, "tree")
+        write_tree(v.files(spark, sf), path).write.parquet(f"{path}-roots")
+        _TREES[key] = spark.read.parquet(f"{path}-roots")
+    return _TREES[key]
+
+
 def scan(spark: SparkSession, sf: str) -> DataFrame:
-    roots = write_tree(v.files(spark, sf), scratch_path(spark, "tree"))
-    return tree.scan_files(roots).select(
+    return tree.scan_files(fixture_tree(spark, sf)).select(
         "repo", "rel_path", "language", F.md5("content").alias("content_md5"),
         F.col("read_error").isNull().alias("readable"))
 
@@ -49,10 +61,8 @@ def map_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def skip_unreadable(spark: SparkSession, sf: str) -> DataFrame:
-    files = _supported(spark, sf)
-    roots = write_tree(files.drop("language"), scratch_path(spark, "tree"))
-    manifest = tree.list_tree(roots)
-    gone = roots.select("repo", "root", F.lit("gone/missing.py").alias("rel_path"))
+    manifest = f.map_language(tree.list_tree(fixture_tree(spark, sf))).drop("language")
+    gone = manifest.select("repo", "root", F.lit("gone/missing.py").alias("rel_path")).distinct()
     scanned = tree.read_files(manifest.unionByName(gone, allowMissingColumns=True))
     good, bad = f.split_readable(scanned)
     size = F.octet_length("content").cast("long")
