@@ -31,8 +31,9 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from symgrove.llm.order import positions, running_sums
 from symgrove.llm.tables import stored
 from symgrove.llm.words import word_count
 from symgrove.plans.skew import sliced_row_number
@@ -59,20 +60,19 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     targets are min(most * size, weight * level) for the one level that spends
     the whole sum.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("weight", F.element_at(
-        F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    filling = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, after = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    found = ranked.withColumn("level", level).withColumn(
-        "level", F.first(F.when(F.col("ratio") > F.col("level"), F.col("level")), ignorenulls=True).over(
-            filling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    named = positions(sizes.withColumn("unnamed", F.col("source").isNull()), ["unnamed", "source"], "sources-by-name", "rank")
+    weighed = named.withColumn("weight", F.element_at(
+        F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    weighed = weighed.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    filled = running_sums(positions(weighed, ["ratio", "rank"], "sources-by-ratio"), ["cap", "weight"])
+    # Two numbers: all words and all weights.
+    words, whole = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    # The first source, by ratio, that the level does not fill says what the level is. One number.
+    reach = (F.lit(float(words)) * F.lit(share) - F.col("cap_before")) / (F.lit(whole) - F.col("weight_before"))
+    level = filled.where(F.col("ratio") > reach).agg(F.min_by(reach, "position")).first()[0]
     # Without an open source (no words at all) every target is its cap.
-    return found.select("source", "n", "source_size",
-                        F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"))
+    target = F.col("cap") if level is None else F.least("cap", F.col("weight") * F.lit(level))
+    return weighed.select("source", "n", "source_size", target.alias("target"))
 
 
 def flight(part: np.ndarray, count: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.ndarray:

@@ -31,6 +31,20 @@ def positions(rows: DataFrame, order: Sequence[str], label: str, name: str = "po
             .select(*rows.columns, (F.col("_shift") + F.col("_id").bitwiseAND(F.lit(_LOW))).alias(name)))
 
 
+def running_sums(placed: DataFrame, columns: Sequence[str], slice_rows: int = 1 << 16, name: str = "position") -> DataFrame:
+    """placed, rows with their places, with ``<column>_before``: sums over all rows before.
+
+    Slices of places are summed by themselves and shifted by the slices before, one row a slice.
+    """
+    cut = placed.withColumn("_slice", F.floor(F.col(name) / slice_rows))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = cut.groupBy("_slice").agg(*[F.sum(c).alias(f"_all_{c}") for c in columns]).select(
+        "_slice", *[F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_shift_{c}") for c in columns])
+    before = Window.partitionBy("_slice").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(F.broadcast(shifts), "_slice").select(
+        *placed.columns, *[(F.col(f"_shift_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"{c}_before") for c in columns])
+
+
 def row_id() -> Column:
     """A number for each row of a table as it is read, to tell equal rows apart."""
     return F.monotonically_increasing_id()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symgrove.llm import mixing, queries
+from symgrove.llm import mixing, order, queries
 
 
 def loop_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -136,3 +136,17 @@ def test_mixed_rows_keep_columns_of_any_name(make_docs, odd_rows):
     assert rows.columns == docs.columns
     for r in rows.collect():
         assert (r["size"], r["copies"], r["alike"], r["whole"], r["target"]) == ("x", 9, "a", 1, "t")
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    sizes = {f"s{i:04d}": int(draw.integers(0, 50) ** 3) for i in range(900)} | {None: 777}
+    rows = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n bigint, source_size bigint").repartition(6)
+    want = loop_targets(sizes)
+    monkeypatch.setattr(mixing, "running_sums", lambda placed, columns: order.running_sums(placed, columns, slice_rows=37))
+    got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[s] == pytest.approx(want[s], rel=1e-9, abs=1e-6) for s in want)
+    nothing = {r["source"]: r["target"] for r in mixing.source_targets(rows.withColumn("source_size", F.lit(0).cast("bigint"))).collect()}
+    assert set(nothing.values()) == {0.0}
+    assert mixing.source_targets(rows.where("false")).count() == 0
