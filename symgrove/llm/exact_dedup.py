@@ -143,9 +143,17 @@ class DigestIndex:
 
     @classmethod
     def empty(cls, spark: SparkSession, expected_rows: int) -> "DigestIndex":
-        """Sized for about so many digests; more only make the buckets larger."""
+        """Sized for about so many digests; with more it is made anew with more buckets."""
         return cls(spark.createDataFrame([], INDEX), max(1, -(-expected_rows // BUCKET_DIGESTS)))
 
+    def _resized(self) -> "DigestIndex":
+        """This index, or if its buckets overflow one of as many as its digests need, made from the stored digests."""
+        # One number.
+        n = self.table.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
+        if n <= 2 * BUCKET_DIGESTS * self.buckets:
+            return self
+        return DigestIndex.empty(self.table.sparkSession, n)._with(self.live())
+
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).alias("bucket")
 
@@ -156,7 +164,10 @@ class DigestIndex:
         return DigestIndex(stored(merged, "digest-index"), self.buckets)
 
     def insert(self, rows: DataFrame) -> "DigestIndex":
-        """rows: (key, digest), one per document."""
+        """rows: (key, digest), one per document. Buckets that overflow are split."""
+        return self._inserted(rows)._resized()
+
+    def _inserted(self, rows: DataFrame) -> "DigestIndex":
         salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
         return self._with(rows.groupBy("digest", salt.alias("salt")).agg(F.min("key").alias("keep"), F.count("*").alias("n")))
 
@@ -177,8 +188,9 @@ def mark_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", in
     """
     docs = docs.drop("text_sha256", "keep_id", "group_size", "kept")
     digests = stored(docs.select(F.col(key).cast("bigint").alias("key"), text_digest(F.col(text)).alias("digest")), "digests")
-    index = index or DigestIndex.empty(docs.sparkSession, digests.count())
-    live = stored(index.insert(digests).live(), "live-digests")
+    # An index of its own is sized for all rows.
+    index = index.insert(digests) if index else DigestIndex.empty(docs.sparkSession, digests.count())._inserted(digests)
+    live = stored(index.live(), "live-digests")
     hashed = docs.withColumn("text_sha256", text_digest(F.col(text)))
     joined = hashed.join(live.select(F.col("digest").alias("text_sha256"), F.col("keep").alias("keep_id"),
                                      F.col("n").alias("group_size")), "text_sha256")

@@ -194,6 +194,20 @@ def test_index_inserts_and_deletes(spark):
     assert live[sha("t0")] == (0, 3) and live[sha("t1")] == (-1, 3) and live[sha("t900")] == (9, 1)
 
 
+def test_a_living_index_splits_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 8)
+    index, n = exact_dedup.DigestIndex.empty(spark, 8), 0
+    for size in (5, 40, 300):
+        rows = [(i, sha(f"text {i}")) for i in range(n, n + size)] + [(1000, sha("text 0"))]
+        index, n = index.insert(spark.createDataFrame(rows, "key bigint, digest string")), n + size
+        assert index.table.agg(F.max(F.size("digests"))).first()[0] <= 8 * 8
+    assert index.buckets >= 300 // 16
+    live = {r["digest"]: (r["keep"], r["n"]) for r in index.live().collect()}
+    assert live == {sha(f"text {i}"): (i, 4 if i == 0 else 1) for i in range(n)}
+    index = index.delete(spark.createDataFrame([(sha("text 7"),)], "digest string"))
+    assert len(index.live().collect()) == n - 1
+
+
 def test_cuckoo_filter_grows_and_forgets():
     keys = [sha(str(i)) for i in range(3000)]
     made = exact_dedup.CuckooFilter.sized(keys)
