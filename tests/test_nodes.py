@@ -105,7 +105,10 @@ def test_compaction_keeps_rows_keys_and_index(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="n30"):
         st.append_nodes(spark.createDataFrame([_node(30)], SCHEMA), path, "9", "w")
     assert m.vacuum(spark, path, st.PARTS) > 0
-    assert st.read_nodes(spark, path).count() == 17
+    table = m.Manifest(spark, path)
+    assert len(table.live) == 2 and not table.outdated and st.read_nodes(spark, path).count() == 17
+    st.append_nodes(spark.createDataFrame([_node(500 + i) for i in range(9)], SCHEMA), path, "5", "w")
+    assert st.compact(spark, path) and st.read_nodes(spark, path).count() == 26
 
 
 def test_of_two_compactions_of_the_same_batches_one_counts(spark, tmp_path):
