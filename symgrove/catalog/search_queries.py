@@ -48,13 +48,13 @@ def trigram_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def trigram_match(spark: SparkSession, sf: str) -> DataFrame:
     asked = _routed(spark, sf, "trigram")
-    hits = s.match_trigrams(asked.select("q").distinct(), s.trigram_postings(_docs(spark, sf)))
+    hits = s.match_trigrams(asked.select("q").distinct(), s.trigram_postings(s.spread_docs(_docs(spark, sf))))
     return asked.join(hits, "q").select("qid", "node_id")
 
 
 def _ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     asked, docs = _routed(spark, sf, "trigram"), _docs(spark, sf)
-    return asked, s.rank_matches(asked.select("q").distinct(), s.trigram_postings(docs),
+    return asked, s.rank_matches(asked.select("q").distinct(), s.trigram_postings(s.spread_docs(docs)),
                                  s.corpus_stats(docs))
 
 

@@ -5,7 +5,9 @@ joined to the symbols on one trigram only, the one that occurs in the fewest
 symbols; every token is then verified, and the rank computed, inside the row.
 Symbols are never grouped by query, only the best k hits are. The query side
 is measured first: within a fixed size it is broadcast and symbols are not
-shuffled at all (``small``), beyond it the same joins shuffle.
+shuffled at all (``small``). Beyond it many queries share a trigram, so the
+join is on up to KEY_CHARS characters around it; only rows that hold such a
+key are shuffled, and the symbol side is never broadcast.
 Shorter queries are LIKE patterns; the few shapes they can take are turned
 into join keys, so they need no theta join either.
 """
@@ -21,9 +23,13 @@ from symgrove.constants import BM25_B, BM25_K1, BM25_MIN_IDF, SEARCH_LIMIT
 from symgrove.functions import text as t
 from symgrove.operators.nodes import project_search
 from symgrove.plans.manifest import Commit, read_folders
-from symgrove.plans.sizing import fits_broadcast, gathered, hinted
+from symgrove.plans.sizing import BROADCAST_CHARS, fits_broadcast, gathered, hinted, stored
 
 MIN_GRAM = 3
+# Characters of a phrase, its rarest trigram among them, that many queries are joined on.
+KEY_CHARS = 6
+# Up to this many characters of query text, the trigrams and keys asked for are broadcast as filters.
+FILTER_CHARS = 1 << 22
 
 
 # --- S1, S2, S4: queries -------------------------------------------------------
@@ -53,6 +59,11 @@ def symbol_docs(nodes: DataFrame) -> DataFrame:
                         F.greatest(F.length("symbol_name") - (MIN_GRAM - 1), F.lit(0)).alias("dl"))
 
 
+def spread_docs(docs: DataFrame) -> DataFrame:
+    """docs dealt over all cores: names of millions of symbols lie in a few small files, and each becomes many rows."""
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, "node_id")
+
+
 def trigram_positions(docs: DataFrame) -> DataFrame:
     """(tri, node_id, pos), one row per trigram occurrence."""
     grams = F.posexplode_outer(t.ngrams(F.col("s"), MIN_GRAM))
@@ -63,12 +74,16 @@ def trigram_positions(docs: DataFrame) -> DataFrame:
 def trigram_postings(docs: DataFrame) -> DataFrame:
     """(tri, node_id, s, dl), one row per distinct trigram of a symbol.
 
-    The outer explode builds each array once: an inner one would be tested
-    for emptiness first. Rows without a trigram go in the filter.
+    Only positions are exploded, and a trigram counts where it occurs first:
+    all of it is generated code, unlike arrays of trigrams.
     """
-    grams = F.array_distinct(t.ngrams(F.col("s"), MIN_GRAM))
-    return docs.select(F.explode_outer(grams).alias("tri"), "node_id", "s", "dl") \
-        .where(F.col("tri").isNotNull())
+    places = F.sequence(F.lit(1), F.length("s") - (MIN_GRAM - 1))
+    return (
+        docs.where(F.length("s") >= MIN_GRAM)
+        .select("node_id", "s", "dl", F.explode(places).alias("at"))
+        .select(F.substring(F.col("s"), F.col("at"), F.lit(MIN_GRAM)).alias("tri"), "node_id", "s", "dl", "at")
+        .where(F.instr(F.col("s"), F.col("tri")) == F.col("at")).drop("at")
+    )
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -136,25 +151,79 @@ def _asked_only(postings: DataFrame, anchors: DataFrame, small: bool) -> DataFra
     return postings
 
 
-def _join_postings(postings: DataFrame, asked: DataFrame, small: bool, how: str = "inner") -> DataFrame:
-    return postings.join(hinted(asked, small), "tri", how)
+def _join_symbols(symbols: DataFrame, asked: DataFrame, key: str | list[str], small: bool, how: str = "inner") -> DataFrame:
+    """Rows made of symbols with what is asked of them.
+
+    Spark takes an exploded side for as small as the file it comes from, so
+    without the hint it would broadcast all postings.
+    """
+    return symbols.join(F.broadcast(asked), key, how) if small else symbols.hint("merge").join(asked, key, how)
+
+
+def _with_keys(asked: DataFrame) -> DataFrame:
+    """asked (phrase, tri) with ``key``, the phrase's characters around tri, and where tri begins in it."""
+    begin = F.greatest(F.lit(1), F.least(F.instr(F.col("phrase"), F.col("tri")), F.length("phrase") - (KEY_CHARS - 1)))
+    return asked.withColumn("key", F.substring(F.col("phrase"), begin, F.lit(KEY_CHARS))) \
+        .withColumn("shift", F.instr(F.col("key"), F.col("tri")) - 1)
+
+
+def _keyed(postings: DataFrame, asked: DataFrame, filtered: bool) -> DataFrame:
+    """(key, tri, node_id, s, dl) of the symbols that hold a key of ``asked``, one row per key and trigram.
+
+    A posting yields what the symbol holds around its own trigram, each text
+    where the symbol holds it first, if its trigram begins there as in a key
+    of this shape. The same text may come from another trigram, around which
+    other keys lie, so both together are the key.
+    """
+    shapes = asked.select("tri", "shift", F.length("key").alias("n")).distinct()
+    first = F.instr(F.col("s"), F.col("tri"))
+    again = F.call_function("locate", F.col("tri"), F.col("s"), first + 1)
+    starts = F.sequence(F.lit(1), F.length("s") - (MIN_GRAM - 1))
+    places = F.when(again == 0, F.array(first)).otherwise(
+        F.filter(starts, lambda i: F.substring(F.col("s"), i, F.lit(MIN_GRAM)) == F.col("tri")))
+    rows = (
+        _join_symbols(postings, shapes, "tri", filtered)
+        .select("tri", "node_id", "s", "dl", "n", "shift", F.explode(places).alias("at"))
+        .withColumn("at", F.col("at") - F.col("shift"))
+        .where((F.col("at") >= 1) & (F.col("at") + F.col("n") - 1 <= F.length("s")))
+        .withColumn("key", F.substring(F.col("s"), F.col("at"), F.col("n")))
+        .where((F.instr(F.col("s"), F.col("key")) == F.col("at")) & (F.instr(F.col("key"), F.col("tri")) == F.col("shift") + 1))
+        .select("key", "tri", "node_id", "s", "dl")
+    )
+    return _join_symbols(rows, asked.select("key", "tri").distinct(), ["key", "tri"], True, "left_semi") if filtered else rows
+
+
+def _candidates(postings: DataFrame, asked: DataFrame, small: bool, filtered: bool) -> DataFrame:
+    """Symbols with each row of ``asked`` whose trigram, or key of a large set of queries, they hold."""
+    if small:
+        return _join_symbols(postings, asked, "tri", True)
+    return _join_symbols(_keyed(postings, asked, filtered), asked, ["key", "tri"], False)
+
+
+def _measured(texts: DataFrame, small: bool | None) -> tuple[bool, bool]:
+    """Whether the query side is broadcast, and whether its trigrams and keys are."""
+    small = fits_broadcast(texts, "q") if small is None else small
+    return small, small or fits_broadcast(texts, "q", FILTER_CHARS)
 
 
 # --- S6, S7: matching and rank ---------------------------------------------------
 
-def phrase_anchors(phrases: DataFrame, postings: DataFrame, small: bool = False,
+def phrase_anchors(phrases: DataFrame, postings: DataFrame, filtered: bool = False,
                    counts: DataFrame | None = None) -> DataFrame:
-    """(phrase, tri, tri_df): the rarest trigram of each phrase, by stored counts if there are any."""
+    """(phrase, tri, tri_df): the rarest trigram of each phrase, by stored counts if there are any.
+
+    ``filtered`` says that the trigrams of all phrases may be broadcast.
+    """
     grams = phrases.select(
         "phrase", F.explode(F.array_distinct(t.ngrams(F.col("phrase"), MIN_GRAM))).alias("tri"))
     counts = postings.select("tri", F.lit(1).alias("df")) if counts is None else counts
     freq = (
-        _join_postings(counts, grams.select("tri").distinct(), small, "left_semi")
+        _join_symbols(counts, grams.select("tri").distinct(), "tri", filtered, "left_semi")
         .groupBy("tri").agg(F.sum("df").alias("tri_df"))
     )
     rarity = F.struct(F.coalesce("tri_df", F.lit(0)).alias("tri_df"), "tri")
     return (
-        grams.join(hinted(freq, small), "tri", "left")  # one row per trigram asked for
+        _join_symbols(grams, freq, "tri", filtered, "left")  # one row per trigram asked for
         .groupBy("phrase").agg(F.min(rarity).alias("a"))
         .select("phrase", "a.tri", "a.tri_df")
     )
@@ -167,14 +236,27 @@ def _token_rows(texts: DataFrame) -> DataFrame:
 
 
 def document_frequency(anchors: DataFrame, postings: DataFrame,
-                       small: bool = False) -> DataFrame:
+                       small: bool = False, filtered: bool = False) -> DataFrame:
     """(phrase, df): symbols that contain each phrase."""
+    asked = anchors.select("phrase", "tri") if small else _with_keys(anchors.select("phrase", "tri"))
     return (
-        _join_postings(postings.select("tri", "s"), anchors.select("phrase", "tri"), small)
+        _candidates(postings, asked, small, filtered)
         .where(F.contains("s", "phrase")).groupBy("phrase").agg(F.count("*").alias("df"))
     )
 
 
+def _asked_anchors(tokens: DataFrame, postings: DataFrame, small: bool, filtered: bool,
+                   counts: DataFrame | None = None) -> DataFrame:
+    """Anchors of the tokens; those of many are written once, as several joins read them."""
+    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, filtered, counts)
+    return anchors if small else stored(anchors, "search-anchors")
+
+
+def _planned(phrases: DataFrame, small: bool) -> DataFrame:
+    """Plans (q, phrase, tri, tokens), as they are joined to symbols: with keys, and written once, if they are many."""
+    return phrases.drop("phrase") if small else stored(_with_keys(phrases).drop("phrase"), "search-plans")
+
+
 def inverse_frequency(df: Column, n_docs: Column) -> Column:
     ratio = (n_docs - df + 0.5) / (df + 0.5)
     return F.when(ratio > 1, F.log(ratio)).otherwise(BM25_MIN_IDF)
@@ -183,16 +265,15 @@ def inverse_frequency(df: Column, n_docs: Column) -> Column:
 def match_trigrams(texts: DataFrame, postings: DataFrame,
                    small: bool | None = None) -> DataFrame:
     """(q, node_id) where the symbol contains every token of the query."""
-    small = fits_broadcast(texts, "q") if small is None else small
+    small, filtered = _measured(texts, small)
     tokens = _token_rows(gathered(texts, small))
-    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, small)
-    plans = (
+    anchors = _asked_anchors(tokens, postings, small, filtered)
+    plans = _planned(
         tokens.join(hinted(anchors, small), "phrase").groupBy("q")
-        .agg(F.min(F.struct("tri_df", "tri")).alias("a"), F.collect_list("phrase").alias("tokens"))
-        .select("q", "a.tri", "tokens")
-    )
+        .agg(F.min(F.struct("tri_df", "tri", "phrase")).alias("a"), F.collect_list("phrase").alias("tokens"))
+        .select("q", "a.phrase", "a.tri", "tokens"), small)
     held = F.forall("tokens", lambda w: F.contains(F.col("s"), w))
-    return _join_postings(postings, plans, small).where(held).select("q", "node_id")
+    return _candidates(postings, plans, small, filtered).where(held).select("q", "node_id")
 
 
 def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame,
@@ -203,23 +284,22 @@ def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame,
     ``grams`` the postings are scanned twice, to count phrases and to rank,
     both times only where the anchors are.
     """
-    small = fits_broadcast(texts, "q") if small is None else small
+    small, filtered = _measured(texts, small)
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     tokens = _token_rows(gathered(texts, small))
-    anchors = phrase_anchors(tokens.select("phrase").distinct(), postings, small, grams)
+    anchors = _asked_anchors(tokens, postings, small, filtered, grams)
     postings = _asked_only(postings, anchors, small)
-    frequent = document_frequency(anchors, postings, small)
+    frequent = document_frequency(anchors, postings, small, filtered)
     phrases = anchors.join(hinted(frequent, small), "phrase", "left")
     token = F.struct("phrase", (F.col("uses") * inverse_frequency(F.col("df"), n_docs))
                      .alias("weight"))
-    plans = (
+    plans = _planned(
         tokens.join(hinted(phrases, small), "phrase").groupBy("q")
-        .agg(F.min(F.struct("tri_df", "tri")).alias("a"),
+        .agg(F.min(F.struct("tri_df", "tri", "phrase")).alias("a"),
              F.sort_array(F.collect_list(token)).alias("tokens"),
              F.count("*").alias("n_tokens"), F.count("df").alias("n_found"))
         .where(F.col("n_found") == F.col("n_tokens"))
-        .select("q", "a.tri", "tokens")
-    )
+        .select("q", "a.phrase", "a.tri", "tokens"), small)
     held = F.forall("tokens", lambda w: F.contains(F.col("s"), w.phrase))
     length_norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
 
@@ -229,7 +309,7 @@ def rank_matches(texts: DataFrame, postings: DataFrame, stats: DataFrame,
 
     rank = F.aggregate("tokens", F.lit(0.0), lambda acc, w: acc - score(w))
     return (
-        _join_postings(postings, plans, small).where(held).withColumn("avgdl", avgdl)
+        _candidates(postings, plans, small, filtered).where(held).withColumn("avgdl", avgdl)
         .select("q", "node_id", rank.alias("rank"))
     )
 
@@ -272,7 +352,7 @@ def short_search(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
     """S3: (q, node_id, rank, pos), the k shortest names matching ``%q%``."""
     small = fits_broadcast(texts, "q") if small is None else small
     keys = gathered(texts, small).select("q", _short_key(F.col("q")).alias("key"))
-    names = nodes.select(
+    names = spread_docs(nodes.select("node_id", "symbol_name")).select(
         "node_id", F.length("symbol_name").cast("double").alias("rank"),
         F.explode_outer(_symbol_keys(t.ascii_lower(F.col("symbol_name")))).alias("key"))
     hits = names.join(hinted(keys.select("key").distinct(), small), "key", "left_semi")
@@ -291,9 +371,10 @@ def top_k(hits: DataFrame, group: str, k: int = SEARCH_LIMIT) -> DataFrame:
     return hits.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
 
 
-def attach_metadata(hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Symbol name, type and path of hits already cut to k."""
-    return hits.join(project_search(nodes), "node_id")
+def attach_metadata(hits: DataFrame, nodes: DataFrame, small: bool = False) -> DataFrame:
+    """Symbol name, type and path of hits already cut to k; never broadcasts the nodes, and ``small`` hits only."""
+    found = project_search(nodes)
+    return F.broadcast(hits).join(found, "node_id") if small else hits.join(found.hint("merge"), "node_id")
 
 
 def format_hit(name: Column, kind: Column, path: Column) -> Column:
@@ -306,7 +387,7 @@ def text_hits(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
     """(q, pos, node_id) of distinct normalised texts with their route."""
     small = fits_broadcast(texts, "q") if small is None else small
     docs = symbol_docs(nodes)
-    index = index or Index(trigram_postings(docs), corpus_stats(docs))
+    index = index or Index(trigram_postings(spread_docs(docs)), corpus_stats(docs))
     long_hits = top_k(rank_matches(
         texts.where("route = 'trigram'"), index.postings, index.stats, small, index.grams), "q", k)
     short_hits = short_search(texts.where("route = 'short'"), nodes, k, small)
@@ -326,6 +407,8 @@ def search_symbols(queries: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
     routed = route_queries(normalize_queries(queries))
     texts = routed.select("q", "route").distinct()
     small = fits_broadcast(texts, "q")
-    hits = attach_metadata(text_hits(texts, nodes, k, index, small), nodes)
+    # No more than BROADCAST_CHARS of hits either, at a row for every character of a text.
+    few = small and fits_broadcast(texts, "q", BROADCAST_CHARS // max(k, 1))
+    hits = attach_metadata(text_hits(texts, nodes, k, index, small), nodes, few)
     return routed.join(hits, "q").select(
         "qid", "pos", "node_id", "symbol_name", "node_type", "file_path")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from symgrove.session import scratch_path
+
 # Query tables up to this many characters in all are broadcast. The largest
 # table derived from them has one row per character.
 BROADCAST_CHARS = 1 << 18
@@ -27,3 +29,10 @@ def hinted(df: DataFrame, small: bool) -> DataFrame:
 def gathered(df: DataFrame, small: bool) -> DataFrame:
     """A measured small table in one partition, so that grouping it needs no shuffle; its scan stays spread."""
     return df.repartition(1) if small else df
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again, so that what uses it several times has it made once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -151,3 +151,51 @@ def test_stored_search_reads_its_own_buckets(spark, tmp_path):
     for line in scans:
         assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (?:=|IN)", line) and re.search(r"PushedFilters: \[[^\]]*tri", line)
     assert ranked.count() > 0
+
+
+def _numbered(spark):
+    names = [(f"n{i:03d}", f"{w}_bolt_{i}") for i, w in enumerate(["red", "tin", "bo", "aaaa"] * 75)]
+    names += [(f"z{i}", name) for i, name in enumerate(["_zzzzzz", "_zzzxyz", "xyz", "zxy", "zzx", "zzz_"])]
+    nodes = spark.createDataFrame(names, "node_id string, symbol_name string").withColumns(
+        {"node_type": F.lit("function"), "file_path": F.lit("src/a.py")})
+    asked = [f"bolt_{i}" for i in range(60)] + [f"red {i}" for i in range(100, 160)] + ["bolt_x", "a_bolt_1", "aaaa_b", "bol", "zzzzzz", "xyzzzz", "zzzxyz"]
+    return names, nodes, spark.createDataFrame(list(enumerate(asked)), "qid bigint, query string"), asked
+
+
+def test_many_queries_match_each_symbol_once(spark):
+    names, nodes, queries, asked = _numbered(spark)
+    texts = s.normalize_queries(queries).select("q")
+    want = sorted((q, n) for q in asked for n, name in names
+                  if all(w in name for w in q.split() if len(w) > 2))
+    for filtered in (True, False):
+        postings = s.trigram_postings(s.symbol_docs(nodes))
+        s.FILTER_CHARS, before = (s.FILTER_CHARS if filtered else 0), s.FILTER_CHARS
+        got = s.match_trigrams(texts, postings, False).collect()
+        s.FILTER_CHARS = before
+        assert sorted((r.q, r.node_id) for r in got) == want
+
+
+def _broadcast(plan):
+    """The sides of a physical plan that are broadcast."""
+    lines = plan.split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            side = [line]
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i]:
+                    break
+                side.append(lines[j])
+            yield "\n".join(side)
+
+
+def test_symbols_are_never_broadcast(spark, tmp_path):
+    _, nodes, queries, _ = _numbered(spark)
+    nodes.write.parquet(str(tmp_path / "symbols_here"))
+    nodes = spark.read.parquet(str(tmp_path / "symbols_here"))
+    texts = s.normalize_queries(queries).select("q")
+    postings, stats = s.trigram_postings(s.symbol_docs(nodes)), s.corpus_stats(s.symbol_docs(nodes))
+    hits = s.top_k(s.rank_matches(texts, postings, stats, False), "q", 3).select("q", "pos", "node_id")
+    for found in (s.match_trigrams(texts, postings, False), hits, s.attach_metadata(hits, nodes)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in _broadcast(plan) if "symbols_here" in x]
