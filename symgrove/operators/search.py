@@ -114,20 +114,18 @@ def _bucket(tri: Column) -> Column:
 def write_index(docs: DataFrame, path: str, folder: str, salts: int = 8) -> None:
     """Store the postings of one batch of symbols, and how many symbols each trigram has.
 
-    Postings are laid out by a bucket of the trigram and sorted by trigram
-    within files, so a search reads the buckets, and in them the blocks, of
-    its own trigrams. The salt spreads a trigram found in many symbols over
-    several write tasks.
+    Symbols are dealt over ``salts`` tasks; each makes the postings of its
+    own, so postings are not shuffled. They are laid out by a bucket of the
+    trigram and sorted by trigram within files, so a search reads the buckets,
+    and in them the parts, of its own trigrams.
     """
-    postings = trigram_postings(docs)
+    postings = trigram_postings(docs.repartition(salts, "node_id"))
     (
         postings.withColumn("bucket", _bucket(F.col("tri")))
-        .withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(salts)))
-        .repartition("bucket", "salt").drop("salt")
         .sortWithinPartitions("bucket", "tri")
         .write.partitionBy("bucket").parquet(f"{path}/postings/folder={folder}")
     )
-    postings.groupBy("tri").agg(F.count("*").alias("df")).sortWithinPartitions("tri") \
+    trigram_postings(spread_docs(docs)).groupBy("tri").agg(F.count("*").alias("df")).sortWithinPartitions("tri") \
         .write.parquet(f"{path}/grams/folder={folder}")
 
 
@@ -332,30 +330,39 @@ def _short_key(q: Column) -> Column:
     )
 
 
-def _symbol_keys(s: Column) -> Column:
-    """Every short key a folded symbol name satisfies."""
-    def tagged(tag: str, grams: Column) -> Column:
-        return F.transform(grams, lambda g: F.concat(F.lit(tag), g))
+def _symbol_keys(names: DataFrame) -> DataFrame:
+    """names (s, ...) with ``key``, one row per short key that a folded name satisfies.
 
-    chars = t.characters(s)
-    inner = F.greatest(F.size(chars) - 1, F.lit(0))
-    lengths = F.filter(F.array(F.lit("len0"), F.when(F.length(s) >= 1, "len1"),
-                               F.when(F.length(s) >= 2, "len2")), lambda k: k.isNotNull())
-    return F.array_distinct(F.concat(
-        lengths, tagged("char:", chars), tagged("pair:", t.ngrams(s, 2)),
-        tagged("after:", F.slice(chars, F.lit(2), inner)),
-        tagged("before:", F.slice(chars, F.lit(1), inner))))
+    Only positions are exploded, and a key counts where the name holds it
+    first: all of it is generated code, unlike arrays of keys.
+    """
+    s, at = F.col("s"), F.col("at")
+    char, pair, last = F.substring(s, at, F.lit(1)), F.substring(s, at, F.lit(2)), F.length(s)
+    first = F.instr(s, char) == at
+    lengths = [F.when((at == 0) & (last >= n), f"len{n}") for n in range(3)]
+    inner = at >= 1
+    keys = F.array(
+        *lengths,
+        F.when(inner & first, F.concat(F.lit("char:"), char)),
+        F.when(inner & (at < last) & (F.instr(s, pair) == at), F.concat(F.lit("pair:"), pair)),
+        F.when((at >= 2) & (F.call_function("locate", char, s, F.lit(2)) == at), F.concat(F.lit("after:"), char)),
+        F.when(inner & (at < last) & first, F.concat(F.lit("before:"), char)))
+    return names.withColumn("at", F.explode(F.sequence(F.lit(0), last))) \
+        .withColumn("key", F.explode(keys)).where(F.col("key").isNotNull()).drop("at")
 
 
 def short_search(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
                  small: bool | None = None) -> DataFrame:
-    """S3: (q, node_id, rank, pos), the k shortest names matching ``%q%``."""
-    small = fits_broadcast(texts, "q") if small is None else small
+    """S3: (q, node_id, rank, pos), the k shortest names matching ``%q%``.
+
+    Keys that are asked for are broadcast as a filter up to FILTER_CHARS, so
+    that a name's other keys are not shuffled.
+    """
+    small, filtered = _measured(texts, small)
     keys = gathered(texts, small).select("q", _short_key(F.col("q")).alias("key"))
     names = spread_docs(nodes.select("node_id", "symbol_name")).select(
-        "node_id", F.length("symbol_name").cast("double").alias("rank"),
-        F.explode_outer(_symbol_keys(t.ascii_lower(F.col("symbol_name")))).alias("key"))
-    hits = names.join(hinted(keys.select("key").distinct(), small), "key", "left_semi")
+        "node_id", F.length("symbol_name").cast("double").alias("rank"), t.ascii_lower(F.col("symbol_name")).alias("s"))
+    hits = _symbol_keys(names).drop("s").join(hinted(keys.select("key").distinct(), filtered), "key", "left_semi")
     return keys.join(top_k(hits, "key", k), "key").select("q", "node_id", "rank", "pos")
 
 
@@ -390,7 +397,8 @@ def text_hits(texts: DataFrame, nodes: DataFrame, k: int = SEARCH_LIMIT,
     index = index or Index(trigram_postings(spread_docs(docs)), corpus_stats(docs))
     long_hits = top_k(rank_matches(
         texts.where("route = 'trigram'"), index.postings, index.stats, small, index.grams), "q", k)
-    short_hits = short_search(texts.where("route = 'short'"), nodes, k, small)
+    # Short texts are few kinds, also among very many queries: measured by themselves.
+    short_hits = short_search(texts.where("route = 'short'"), nodes, k, small or None)
     return long_hits.select("q", "pos", "node_id").unionByName(
         short_hits.select("q", "pos", "node_id"))
 

@@ -21,7 +21,8 @@ from symgrove.schemas import CODE_NODES
 
 PARTS = ("nodes", "keys", "index/postings", "index/grams")
 KEYS_PER_BUCKET = 1 << 12
-ROWS_PER_SALT = 1 << 17
+# Symbols whose postings one task makes and sorts: at least so many, up to eight tasks, and at most so many.
+LEAST_PER_SALT, ROWS_PER_SALT = 1 << 15, 1 << 17
 # Bucket numbers that are sent along as a pushed filter; a batch that hits more reads all keys.
 LISTED_BUCKETS = 10_000
 _STORED = T.StructType([
@@ -70,8 +71,8 @@ def _derive(rows: DataFrame, path: str, folder: str, facts: dict[str, int]) -> d
     while buckets * KEYS_PER_BUCKET < facts["rows"]:
         buckets *= 2
     _write_keys(rows, path, folder, buckets)
-    # Small batches need no salt, which would only make more files.
-    salts = min(8, 1 + facts["rows"] // ROWS_PER_SALT)
+    # No more salts than cores or memory ask for, as each makes a file per bucket.
+    salts = max(min(8, 1 + facts["rows"] // LEAST_PER_SALT), 1 + facts["rows"] // ROWS_PER_SALT)
     search.write_index(search.symbol_docs(rows), f"{path}/index", folder, salts)
     return {**facts, "key_buckets": buckets}
 

@@ -199,3 +199,30 @@ def test_symbols_are_never_broadcast(spark, tmp_path):
     for found in (s.match_trigrams(texts, postings, False), hits, s.attach_metadata(hits, nodes)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in _broadcast(plan) if "symbols_here" in x]
+
+
+def test_short_queries_among_many_leave_other_keys_unshuffled(spark, tmp_path):
+    _, nodes, _, _ = _numbered(spark)
+    nodes.write.parquet(str(tmp_path / "symbols_here"))
+    nodes = spark.read.parquet(str(tmp_path / "symbols_here"))
+    texts = spark.createDataFrame([("_1",), ("2",), ("%",), ("ab",)], "q string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = s.short_search(texts, nodes, small=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    semi = [line for line in plan.split("\n") if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
+    assert found.exceptAll(s.short_search(texts, nodes, small=True)).isEmpty() and found.count() == 30
+
+
+def test_postings_are_written_by_the_task_that_has_their_symbol(spark, tmp_path):
+    nodes = _nodes(spark)
+    s.write_index(s.symbol_docs(nodes), str(tmp_path), "one", salts=3)
+    postings = spark.read.parquet(str(tmp_path / "postings")).withColumn("task", F.regexp_extract(
+        F.input_file_name(), r"/part-(\d+)", 1))
+    assert postings.select("task").distinct().count() == 3
+    assert postings.groupBy("node_id").agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()
+    want = s.trigram_postings(s.symbol_docs(nodes)).select("tri", "node_id", "s", "dl")
+    got = postings.select("tri", "node_id", "s", "dl")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
