@@ -12,6 +12,14 @@ from symgrove.plans.storage import append_nodes, compact
 from symgrove.schemas import FILES
 
 
+def spread_files(files: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """files dealt over all cores: a batch is a few table files, which as many tasks would scan for symbols.
+
+    The number is fixed: text shrinks so much on its way that its bytes would ask for one task.
+    """
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, *key)
+
+
 def ingest_stream(spark: SparkSession, drop_dir: str, nodes_path: str, checkpoint: str,
                   files_per_batch: int = 1000, key: tuple[str, ...] = ("repo", "rel_path"),
                   id_path: Column | None = None, compact_every: int = 32) -> StreamingQuery:
@@ -27,7 +35,7 @@ def ingest_stream(spark: SparkSession, drop_dir: str, nodes_path: str, checkpoin
         .parquet(drop_dir)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        files = map_language(prune_dirs(batch))
+        files = spread_files(map_language(prune_dirs(batch)), key)
         append_nodes(symbol_nodes(files, key, id_path=id_path), nodes_path, str(batch_id),
                      writer_of(batch, checkpoint))
         if compact_every and (batch_id + 1) % compact_every == 0:

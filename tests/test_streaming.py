@@ -85,3 +85,13 @@ def test_two_streams_of_runs_and_compaction(spark, tmp_path):
     some = latest_runs(spark, out, [1, 1001])
     assert some.exceptAll(want.where("run_id IN (1, 1001)")).isEmpty() and some.count() == \
         want.where("run_id IN (1, 1001)").count()
+
+
+def test_files_of_a_batch_are_scanned_by_several_tasks(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    _drop(spark, source, "x", [f"name_{i}" for i in range(40)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ingest_stream(spark, source, table, str(tmp_path / "check")).awaitTermination()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert read_nodes(spark, table).count() == 40
+    assert len(list((tmp_path / "table" / "nodes").rglob("part-*.parquet"))) > 1
