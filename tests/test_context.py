@@ -105,3 +105,27 @@ def test_token_counter_is_pluggable(spark):
     words = g.count_tokens(nodes, lambda text: F.size(F.split(text, " "))).first()
     assert words.n_tok == 3
     assert g.count_tokens(nodes, token_column="n").first().n_tok == 7
+
+
+def _plan(found):
+    spark = found.sparkSession
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    return plan
+
+
+def test_stored_arrays_are_made_once(spark):
+    edges, nodes = _edges(spark, [("a", "b"), ("c", "b")]), _nodes(spark, [("a", "x"), ("b", "y")])
+    limited = g.limit_stored_neighbours(g.fill_neighbours(nodes, g.limit_neighbours(edges)))
+    assert sorted(tuple(r) for r in limited.collect()) == [
+        ("a", "child", "b", 1), ("b", "parent", "a", 1), ("b", "parent", "c", 2)]
+    assert "Union" not in _plan(limited)
+
+
+def test_neighbours_are_not_sorted_for_joins(spark):
+    edges, nodes = _edges(spark, [("a", "b"), ("c", "b")]), _nodes(spark, [("a", "x"), ("b", "y")])
+    found = g.blast_radius(g.limit_neighbours(edges), g.count_tokens(nodes))
+    assert "SortMergeJoin" not in _plan(found)
+    assert sorted((r.target_id, r.nbr_id) for r in found.collect()) == [("a", "b"), ("b", "a")]
