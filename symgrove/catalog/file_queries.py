@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symgrove import rules as ru
@@ -14,16 +14,24 @@ from symgrove.session import scratch_path
 from symgrove.sources import tree
 
 
+def _write_batch(batch: pa.RecordBatch, root: str) -> int:
+    for repo, rel, content in zip(*[batch.column(name) for name in ("repo", "rel_path", "content")]):
+        tree.write_bytes(f"{root}/{repo}/{rel}", content.as_buffer())
+    return batch.num_rows
+
+
+def write_files(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Write batches of (repo, rel_path, content); texts go to disk out of the batch, one by one, and are copied nowhere."""
+    for batch in batches:
+        written = _write_batch(batch, root)
+        del batch       # the next one is received without it
+        yield pa.RecordBatch.from_pydict({"n": [written]})
+
+
 def write_tree(files: DataFrame, root: str) -> DataFrame:
     """Write (repo, rel_path, content) as files below root/repo; returns roots."""
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for repo, rel, content in zip(batch["repo"], batch["rel_path"], batch["content"]):
-                tree.write_bytes(f"{root}/{repo}/{rel}", content.encode())
-            yield pd.DataFrame({"n": [len(batch)]})
-
     tasks = files.sparkSession.sparkContext.defaultParallelism
-    files.repartition(tasks, "repo", "rel_path").mapInPandas(write, "n long") \
+    files.repartition(tasks, "repo", "rel_path").mapInArrow(lambda batches: write_files(batches, root), "n long") \
         .agg(F.sum("n")).collect()
     return files.select("repo").distinct().withColumn(
         "root", F.concat(F.lit(f"{root}/"), F.col("repo")))

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symgrove.operators.files import map_language, searched_dirs
@@ -22,7 +23,8 @@ from symgrove.session import scratch_path
 
 _ENTRY = "repo string, root string, rel_path string, is_dir boolean, n_bytes bigint, list_error string"
 _LIST_ROWS = 10_000
-_READ_BYTES = 32 << 20
+_READ_BYTES = 4 << 20
+_READ = pa.schema([("repo", pa.string()), ("rel_path", pa.string()), ("content", pa.binary()), ("read_error", pa.string())])
 
 
 def local_path(path: str) -> str:
@@ -102,11 +104,19 @@ def _read_bytes(path: str) -> bytes:
         return stream.read()
 
 
-def _read_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["repo", "rel_path", "content", "read_error"]
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    """rows as one batch; the list is emptied, so that a file is not held twice while the next ones are read."""
+    columns = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(columns, _READ)], schema=_READ)
+    rows.clear()
+    return batch
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files of the rows, sent on whenever _READ_BYTES are held, however many bytes a task reads."""
     for batch in batches:
         rows, held = [], 0
-        for repo, root, rel in zip(batch["repo"], batch["root"], batch["rel_path"]):
+        for repo, root, rel in zip(*[batch.column(name).to_pylist() for name in ("repo", "root", "rel_path")]):
             try:
                 content, error = _read_bytes(os.path.join(root, rel)), None
             except Exception as failure:  # noqa: BLE001 - any failure skips the file only
@@ -114,10 +124,10 @@ def _read_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((repo, rel, content, error))
             held += len(content or b"")
             if held >= _READ_BYTES:
-                yield pd.DataFrame(rows, columns=columns)
-                rows, held = [], 0
+                content, held = None, 0
+                yield _sent(rows)
         if rows:
-            yield pd.DataFrame(rows, columns=columns)
+            yield _sent(rows)
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -161,7 +171,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
     size = F.col("n_bytes") if "n_bytes" in manifest.columns else F.lit(None).cast("bigint")
     files = manifest.select("repo", "root", "rel_path", size.alias("n_bytes"))
     return byte_packed(files, "n_bytes", ["repo", "rel_path"]).drop("n_bytes") \
-        .mapInPandas(_read_rows, SCANNED_FILES)
+        .mapInArrow(_read_rows, SCANNED_FILES)
 
 
 def scan_files(roots: DataFrame) -> DataFrame:

@@ -82,6 +82,36 @@ def test_read_tasks_hold_equal_bytes(spark, tmp_path, monkeypatch):
     assert skew.byte_packed(files.limit(0), "n_bytes", ["repo", "rel_path"]).count() == 0
 
 
+def _peak(batches):
+    """Rows of the batches, bytes of the largest, and the most bytes that Python and Arrow held meanwhile."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rows, largest, most, before = 0, 0, 0, pa.total_allocated_bytes()
+    tracemalloc.start()
+    for batch in batches:
+        rows, largest = rows + batch.num_rows, max(largest, batch.nbytes)
+        most = max(most, pa.total_allocated_bytes() - before)
+        del batch
+    most += tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, largest, most
+
+
+def test_files_are_read_and_written_a_few_at_a_time(tmp_path):
+    import pyarrow as pa
+
+    from symgrove.catalog import file_queries
+    names = [f"d/{i}.py" for i in range(60)]
+    given = pa.RecordBatch.from_pydict({"repo": ["r"] * 60, "rel_path": names, "content": ["é" * (1 << 19)] * 60})
+    rows, _, most = _peak(file_queries.write_files(iter([given, given.slice(0, 0)]), str(tmp_path)))
+    assert rows == 2 and most < 4 << 20
+    assert all((tmp_path / "r" / n).read_bytes() == "é".encode() * (1 << 19) for n in names)
+    paths = pa.RecordBatch.from_pydict({"repo": ["r"] * 61, "root": [f"{tmp_path}/r"] * 61, "rel_path": [*names, "gone"]})
+    rows, largest, most = _peak(tree._read_rows(iter([paths])))
+    assert rows == 61 and largest < 6 << 20 and most < 20 << 20     # 60 MB in all
+
+
 def test_unreadable_directory_is_a_row(spark, tmp_path, monkeypatch):
     _write(tmp_path, {"a/x.py": "1", "b/y.py": "2"})
     os.symlink(tmp_path / "nowhere", tmp_path / "a" / "lost.py")
