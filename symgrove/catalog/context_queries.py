@@ -14,7 +14,7 @@ def _limited(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return g.count_tokens(v.nodes(spark, sf))
+    return g.count_tokens(v.symbols(spark, sf), texts=v.texts(spark, sf))
 
 
 def _radius(spark: SparkSession, sf: str) -> DataFrame:

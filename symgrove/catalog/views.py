@@ -70,9 +70,13 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_suppkey") % docs).alias("doc_id")))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source text by the doc_id that symbols name."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source_code"))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source_code"))
-    return symbols(spark, sf_dir).join(docs, "doc_id").select(
+    return symbols(spark, sf_dir).join(texts(spark, sf_dir), "doc_id").select(
         "node_id", "node_type", "file_path", "symbol_name", "source_code", "language")
 
 

@@ -118,11 +118,17 @@ def fill_neighbours(nodes: DataFrame, limited: DataFrame) -> DataFrame:
 
 
 def count_tokens(nodes: DataFrame, counter: TokenCounter = default_token_count,
-                 token_column: str | None = None) -> DataFrame:
+                 token_column: str | None = None, texts: DataFrame | None = None,
+                 text_id: str = "doc_id") -> DataFrame:
     """(node_id, n_len, n_tok), the only facts packing needs of a node.
 
     Stored nodes carry both, so their text is only read for another counter.
+    Nodes that only name their text, by ``text_id`` of ``texts``, get the
+    numbers of texts counted where they are read: no text is shuffled.
     """
+    if texts is not None:
+        counted = count_tokens(texts.withColumnRenamed(text_id, "node_id"), counter, token_column)
+        return nodes.select("node_id", text_id).join(counted.withColumnRenamed("node_id", text_id), text_id).drop(text_id)
     if {"n_len", "n_tok"} <= set(nodes.columns) and counter is default_token_count and not token_column:
         return nodes.select("node_id", "n_len", "n_tok")
     tokens = F.col(token_column) if token_column else counter(F.col("source_code"))
@@ -170,23 +176,25 @@ def _packed(radius: DataFrame, max_tokens: int) -> DataFrame:
     """Every neighbour with its size rank, base, running sum and kept flag.
 
     Sums never fall, so a prefix condition equals stopping at the first
-    overflow. Both windows are satisfied by one partitioning on target_id.
+    overflow. Both windows are satisfied by one partitioning on target_id and
+    one sort, which tells targets apart by a hash first as in G2.
     """
-    by_size = W.partitionBy("target_id", "role").orderBy("n_len", "nbr_id")
+    target = ["_hash", "target_id"]
+    by_size = W.partitionBy(*target, "role").orderBy("n_len", "nbr_id")
     running = by_size.rowsBetween(W.unboundedPreceding, W.currentRow)
     fits = F.col("t_tok") <= max_tokens
     kept_child = (F.col("role") == "child") & fits & \
         (F.col("t_tok") + F.col("cum") <= max_tokens)
     child_tokens = F.coalesce(
-        F.sum(F.when(kept_child, F.col("n_tok"))).over(W.partitionBy("target_id")), F.lit(0))
+        F.sum(F.when(kept_child, F.col("n_tok"))).over(W.partitionBy(*target)), F.lit(0))
     kept_parent = (F.col("role") == "parent") & fits & (F.col("base") < max_tokens) & \
         (F.col("base") + F.col("cum") <= max_tokens)
     return (
-        radius
+        radius.withColumn("_hash", F.xxhash64("target_id"))
         .withColumns({"rank": F.row_number().over(by_size), "cum": F.sum("n_tok").over(running)})
         .withColumn("base", F.when(F.col("role") == "child", F.col("t_tok"))
                     .otherwise(F.col("t_tok") + child_tokens))
-        .withColumn("kept", kept_child | kept_parent)
+        .withColumn("kept", kept_child | kept_parent).drop("_hash")
     )
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from symgrove.operators import context as g
 
@@ -129,3 +130,24 @@ def test_neighbours_are_not_sorted_for_joins(spark):
     found = g.blast_radius(g.limit_neighbours(edges), g.count_tokens(nodes))
     assert "SortMergeJoin" not in _plan(found)
     assert sorted((r.target_id, r.nbr_id) for r in found.collect()) == [("a", "b"), ("b", "a")]
+
+
+def test_texts_are_counted_before_they_meet_nodes(spark):
+    symbols = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1), ("d", 3), ("e", 9)], "node_id string, doc_id int")
+    texts = spark.createDataFrame([(1, "12345"), (2, ""), (3, None), (4, "x")], "doc_id int, source_code string")
+    counted = g.count_tokens(symbols, texts=texts)
+    assert counted.columns == ["node_id", "n_len", "n_tok"]
+    assert sorted(map(tuple, counted.collect())) == [("a", 5, 2), ("b", 0, 0), ("c", 5, 2), ("d", None, None)]
+    own = g.count_tokens(symbols, lambda text: F.length(text) * 3, texts=texts)
+    assert {r.node_id: r.n_tok for r in own.collect()} == {"a": 15, "b": 0, "c": 15, "d": None}
+
+
+def test_stats_shuffle_no_text_and_sort_targets_by_hash(spark):
+    from symgrove.catalog import context_queries
+    plan = _plan(context_queries.prune_stats(spark, "/root/testdata/sf0.001"))
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines()]
+    lines = plan.splitlines()
+    for at in [i for i, line in enumerate(lines) if "length(" in line]:
+        joins = [i for i, line in enumerate(lines[:at]) if "Join" in line and "doc_id" in line]
+        assert joins and depth[joins[-1]] < depth[at]       # texts are measured below the join that gives them to nodes
+    assert any("length(" in line for line in lines) and "Sort [_hash" in plan
